@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, decontam, langid, linededup, packing, sharding, simhash
+from ledgerlens.llm import chat, decontam, langid, linededup, longmatch, neighbours, packing, pages, sharding, simhash
 
 #: File of the public word BPE; None: where the installed package has it.
 TOKENIZER: str | None = None
@@ -41,6 +41,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(given.union(extra)))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10, "vec_id", "embedding")
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -61,19 +67,30 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(docs, language_model(docs))
 
 
+def op8_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longmatch.passage_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(_table(spark, sf_dir, "documents"), sharding.tree_of(40))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_chat_format": op4_chat_format,
+    "op5_neighbours": op5_neighbours,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
+    "op8_long_matches": op8_long_matches,
     "op9_sharding": op9_sharding,
+    "op10_page_text": op10_page_text,
 }
 
 ORACLES: dict[str, str] = {
