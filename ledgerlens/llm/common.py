@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCRATCH = "ledgerlens-scratch"
+_APPS: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,19 +36,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which ends its lineage.
 
     A lost executor costs no more than the stage that runs then. The files stay
-    until ``drop_scratch``, since the caller's plan still reads them.
+    until ``drop_scratch`` or the end of the driver, since the caller's plan still reads them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{SCRATCH}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _scratch(spark: SparkSession) -> str:
+    """This application's own folder, which goes with its driver."""
+    app = spark.sparkContext.applicationId
+    if app not in _APPS:
+        _APPS.add(app)
+        atexit.register(drop_scratch, spark)
+    return f"{shared_folder(spark)}/{SCRATCH}/{app}"
+
+
 def drop_scratch(spark: SparkSession) -> None:
-    """Deletes all scratch tables of this folder; call it when no result is still to be read."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{SCRATCH}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes this application's scratch tables; call it when no result is still to be read."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
