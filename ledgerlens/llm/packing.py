@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -29,58 +30,59 @@ CAPACITY, END, SALTS = 4096, 1, 64
 class WordTokenizer:
     """Ids of the word BPE, by way of the words that were met before.
 
-    Its pre-tokenizer parts words at white space and gives each word's last token a mark
-    of its own, so that a text's ids are those of its white-space-separated chunks in a
-    row. Chunks are remembered in a table of at most ``most`` entries, emptied when full. New chunks of plain letters,
-    without a full stop or comma at their end, are encoded many at a time and parted after the marked tokens.
+    Its pre-tokenizer parts words at white space, and letters from punctuation, and gives each
+    word's last token a mark of its own, so that a text's ids are those of its chunks in a row.
+    Chunks end at white space and before a full stop or comma between a letter and white space; A-Z are
+    put in lower case first, unless a special token or a combining mark could make that matter.
+    Chunks are remembered in a table of at most ``most`` entries, emptied when full. New chunks of plain letters
+    are encoded many at a time and parted after the marked tokens.
     """
 
-    PLAIN = re.compile(rb"([A-Za-z]+)([.,]?)")
+    #: Letters of ASCII and Latin-1, which have no other composed form.
+    _LETTER = rb"[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+    PLAIN = re.compile(rb"(?:" + _LETTER + rb")+")
+    STOP = re.compile(rb"[.,](?=[ \n])(?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.inner, self.most = Tokenizer.from_file(path), most
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.inner.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.bases: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_bases(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 256):
-            group = words[at : at + 256]
-            ids = self._encode([b" ".join(group).decode()])[0]
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            for word, piece in zip(group, np.split(ids, cuts[:-1]), strict=True):
-                self.bases[word] = piece.tobytes()
+    def chunks(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.lower()
+        return self.STOP.sub(rb" \g<0>", raw).split()
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > self.most:
-            self.known = {}
-        if len(self.bases) > self.most:
-            self.bases = {}
-        plain, other = [], []
-        for c in chunks:
-            if c not in self.known:
-                m = self.PLAIN.fullmatch(c)
-                plain.append((c, m[1].lower(), m[2])) if m else other.append(c)
-        wanted = {x for _, word, mark in plain for x in (word,) if x not in self.bases}
-        self._learn_bases(sorted(wanted))
-        if b"." not in self.known:
-            self.known[b"."], self.known[b","] = (x.tobytes() for x in self._encode([".", ","]))
-        for c, word, mark in plain:
-            self.known[c] = self.bases[word] + (self.known[mark] if mark else b"")
-        for c, ids in zip(other, self._encode([c.decode("utf-8", "surrogatepass") for c in other]), strict=True):
-            self.known[c] = ids.tobytes()
+        new = chunks.difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known, new = {}, chunks
+        match = self.PLAIN.fullmatch
+        plain = list(filter(match, new))
+        for at in range(0, len(plain), 512):
+            group = plain[at : at + 512]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(group).decode().lower()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(group, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        other = list(new.difference(plain))
+        for at in range(0, len(other), 512):
+            group = other[at : at + 512]
+            found = self.inner.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in group], add_special_tokens=False)
+            self.known.update(zip(group, (array("I", e.ids).tobytes() for e in found), strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
-        chunks = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        chunks = list(map(self.chunks, texts))
         self.learn(set().union(*chunks))
         get = self.known.__getitem__
         for c in chunks:
