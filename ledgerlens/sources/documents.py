@@ -13,6 +13,8 @@ def extracted(spark: SparkSession, folder: str, ticker: str | None = None) -> Da
     """One row for each extracted document (JSON file) of a folder but the manifest; broken files have ``broken`` set, their other columns null."""
     rows = spark.read.schema(f"{DOCUMENT}, broken string").options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="broken", pathGlobFilter="*.json").json(folder)
     rows = rows.withColumn("file_name", F.col("_metadata.file_name")).where("file_name <> 'manifest.json'")
+    # Spark reads the column of broken records only together with others.
+    rows = rows.withColumn("broken", F.when(F.col("document_id").isNull() | F.col("broken").isNotNull(), F.col("broken")))
     return rows.where(F.upper("file_name").startswith(ticker.upper())) if ticker else rows
 
 

@@ -51,8 +51,8 @@ def tool_arguments(arguments: Column, schema: str) -> Column:
     return F.from_json(arguments, schema, {"mode": "PERMISSIVE"})
 
 
-def event_stream(messages: DataFrame) -> DataFrame:
-    """The client's events of a stream of messages (conv_id, turn, role, text, ts): ``open`` first, ``complete`` after a pause of a minute, in order by key."""
+def event_stream(messages: DataFrame, pause_ms: int = 60_000) -> DataFrame:
+    """The client's events of a stream of messages (conv_id, turn, role, text, ts): ``open`` first, ``complete`` after a pause (of a minute), in order by key."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["conv_id", "type", "content"]
@@ -68,7 +68,7 @@ def event_stream(messages: DataFrame) -> DataFrame:
                     rows.append((key[0], "message", text))
                 seen = max(seen, int(turn))
         state.update((seen,))
-        state.setTimeoutDuration(60_000)
+        state.setTimeoutDuration(pause_ms)
         yield pd.DataFrame(rows, columns=columns)
 
     return messages.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, type string, content string", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
