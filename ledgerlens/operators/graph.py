@@ -8,7 +8,7 @@ Spark to broadcast by its size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How many rows lookups return, and the longest path.
@@ -186,10 +186,12 @@ def extract_entities(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     single = each.where("size = 1").join(patterns.where("kind = 'token'"), F.lower("said") == F.lower("pattern"))
     hit = phrases.unionByName(single)
     hit = hit.where(F.length("said").between(2, 100))
-    over = Window.partitionBy("document_id", "page")
-    spans_of = F.collect_list(F.struct("position", "size")).over(over)
-    inside = F.exists(spans_of, lambda o: (o["size"] > F.col("size")) & (o["position"] <= F.col("position")) & (o["position"] + o["size"] >= F.col("position") + F.col("size")))
-    return hit.withColumn("_in", inside).where("NOT _in").select("document_id", "page", F.col("said").alias("raw_text"), F.col("label").alias("type"), "position").distinct()
+    # Whatever lies inside a longer match, as (position, size), of which a match of n words has fewer than n * n.
+    sizes = F.sequence(F.lit(1), F.col("size") - 1)
+    parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.col("size") - n), lambda d: F.struct((F.col("position") + d).alias("position"), n.alias("size")))))
+    inside = hit.where("size > 1").select("document_id", "page", F.explode(parts).alias("i")).select("document_id", "page", "i.*").distinct()
+    kept = hit.join(inside, ["document_id", "page", "position", "size"], "left_anti")
+    return kept.select("document_id", "page", F.col("said").alias("raw_text"), F.col("label").alias("type"), "position").distinct()
 
 
 def merged_by_text(found: DataFrame, order: list[str], confidence: str = "confidence", kind: str = "type", keys: list[str] | None = None) -> DataFrame:
