@@ -38,8 +38,7 @@ def blank(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Search terms in order of the text, repeats included."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(found, lambda t: (F.length(t) >= SHORTEST) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) >= SHORTEST) & ~t.isin(*STOPWORDS))
 
 
 def bucket(token: Column) -> Column:

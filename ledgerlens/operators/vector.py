@@ -141,6 +141,15 @@ def best_of_parent(rows: DataFrame, score: str = "rrf_score", position: str = "p
     return rows.withColumn("_n", rank).where("_n = 1").drop("_n")
 
 
+def multi_variant_hybrid(vectors: DataFrame, index: DataFrame, variants: list[list[float]], terms: DataFrame, k: int = SPARSE_TOP, filters: dict[str, object] | None = None, id_col: str = "id", vector_col: str = "values") -> DataFrame:
+    """Hybrid search for each of a few query variants, terms given as (variant, idx, w): one pass over the vectors and one over the index."""
+    hits = index.join(F.broadcast(terms.select("variant", "idx", F.col("w").alias("qw"))), "idx").groupBy(F.col("id").alias(id_col), "variant").agg(F.sum(F.col("w") * F.col("qw")).alias("sparse"))
+    scores = F.array(*(F.struct(F.lit(i).alias("variant"), dot(F.col(vector_col), vector(v)).alias("dense")) for i, v in enumerate(variants)))
+    each = vectors.where(equal_to(filters)).select(id_col, F.explode(scores).alias("_s")).select(id_col, "_s.variant", "_s.dense")
+    both = each.join(hits, [id_col, "variant"], "left").withColumn("score", F.col("dense") + F.coalesce("sparse", F.lit(0.0)))
+    return joined_variants(top_k_by_variant(both, k, id_col=id_col), id_col=id_col)
+
+
 def storable(records: DataFrame, metadata: list[str], dimension: int, values: str = "values") -> DataFrame:
     """Records whose vectors have the index's dimension and whose metadata isn't too large to store."""
     size = F.octet_length(F.to_json(F.struct(*metadata)))

@@ -69,12 +69,9 @@ class Retriever:
         lists = dense.select(F.lit("dense").alias("label"), F.lit(0).alias("list"), F.col("pos").alias("rank"), "id")
 
         def hybrid() -> DataFrame:
-            spark, each = c.chunks.sparkSession, None
-            for i, (text, v) in enumerate(zip(analysis.variants, vectors, strict=True)):
-                terms = spark.range(1).select(F.explode(vector.term_weights(F.lit(text))).alias("t")).select("t.*")
-                rows = vector.hybrid_top_k(c.chunks, c.sparse, v, terms, vector.SPARSE_TOP, filters).withColumn("variant", F.lit(i))
-                each = rows if each is None else each.union(rows)
-            return vector.joined_variants(each)
+            asked = [F.struct(F.lit(i).alias("variant"), vector.term_weights(F.lit(text)).alias("terms")) for i, text in enumerate(analysis.variants)]
+            terms = c.chunks.sparkSession.range(1).select(F.explode(F.array(*asked)).alias("v")).select("v.variant", F.explode("v.terms").alias("t")).select("variant", "t.*")
+            return vector.multi_variant_hybrid(c.chunks, c.sparse, vectors, terms, vector.SPARSE_TOP, filters)
 
         sparse = self._optional("bm25", hybrid)
         if sparse is not None:

@@ -147,17 +147,17 @@ def vector_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.delete_where(_vectors(spark, sf_dir), {"label": 2}).select("id")
 
 
-#: Documents as chunks of one parent each, for the whole retrieval plan.
+#: A question to chunks that have a vector of the embeddings and the text of the document with its id.
 QUESTION = "the revenue of that region and other things"
 
 
 @query("retrieve_pipeline")
 def retrieve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embedder = HashedTerms(32)
-    d = table(spark, sf_dir, "documents")
-    chunks = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("parent_id"), F.col("source").alias("document_id"), embedder.column(F.col("text")).alias("values"), "text", F.col("text").alias("parent_text"), (F.col("doc_id") % 7).alias("start_page"), F.upper("lang").alias("ticker"))
-    corpus = retrieve.Corpus(chunks, vector.sparse_index(d, "doc_id", "text"))
-    found = retrieve.Retriever(corpus, embedder).retrieve(QUESTION, filters={"ticker": "EN"})
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    rows = e.join(d, e.vec_id == d.doc_id)
+    chunks = rows.select(F.col("vec_id").alias("id"), F.expr("vec_id div 4").alias("parent_id"), F.col("source").alias("document_id"), F.col("embedding").alias("values"), "text", F.col("text").alias("parent_text"), (F.col("vec_id") % 7).alias("start_page"), F.upper("lang").alias("ticker"))
+    corpus = retrieve.Corpus(chunks, vector.sparse_index(rows, "vec_id", "text"))
+    found = retrieve.Retriever(corpus, HashedTerms(64)).retrieve(QUESTION, filters={"ticker": "EN"})
     return found.select("id", F.round("rrf_score", 9).alias("rrf_score"), F.array_join("sources", "+").alias("sources"), "relevance_score", F.md5("compressed_text").alias("compressed"))
 
 
