@@ -260,9 +260,15 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
 
 
 def fit_on(pages: DataFrame, key_col: str = "page_id", html_col: str = "html", most: int = SAMPLE_PAGES) -> np.ndarray:
-    """Fits the model on the ``most`` pages whose keys' hashes are least."""
-    some = pages.select(F.xxhash64(F.col(key_col)).alias("h"), F.col(html_col).alias("html")).orderBy("h", F.xxhash64("html")).limit(most)
-    return fit([r.html for r in some.select("html").toLocalIterator()])
+    """Fits the model on one page of each of the ``most`` keys whose hashes are least.
+
+    The hashes are ordered without the pages, so a task passes on ``most`` numbers at most; the pages of
+    the keys found are then read, and the least of each key is taken, in each task before the shuffle.
+    """
+    hashed = pages.select(F.xxhash64(F.col(key_col)).alias("h"), F.col(html_col).alias("html"))
+    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    some = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
+    return fit([r.html for r in some.toLocalIterator()] if last is not None else [])
 
 
 def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
