@@ -67,8 +67,9 @@ def shard_rows(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: st
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("bigint") + 16).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.select("*", F.concat(shard_of(F.col("doc_id"), tree).cast("string"), F.lit(":"), shard_of(F.col("doc_id"), grown(tree)).cast("string")).alias("_both"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).cast("int").alias("_salt"))
-    rows = stored(rows.select("doc_id", "size", "text_crc32", "_salt", F.split_part("_both", F.lit(":"), F.lit(1)).cast("int").alias("shard"), F.split_part("_both", F.lit(":"), F.lit(2)).cast("int").alias("grown_shard")), "sharded")
+    key = F.col("doc_id")
+    rows = rows.select("*", shard_of(key, tree).alias("shard"), shard_of(key, grown(tree)).alias("grown_shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).cast("int").alias("_salt"))
+    rows = stored(rows, "sharded")
     counts = rows.groupBy("shard", "_salt").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("shard", "_salt", before.alias("_base"))
