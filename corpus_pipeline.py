@@ -15,7 +15,7 @@ from ledgerlens.llm.queries import language_model, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, having no letters, go."""
+    """Documents whose texts have no letters go, whether or not a language could be learned."""
     return langid.identified(docs, language_model(docs))
 
 

@@ -50,6 +50,11 @@ def letters(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LETTERS)
 
 
+def lettered(text: str | None) -> bool:
+    """Whether a text has any letter; null has none."""
+    return bool(text) and _LETTER.search(text) is not None
+
+
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n) of all rows (text, lang), added up in each task before the shuffle."""
     schema = "lang string, gram bigint, n bigint"
@@ -136,11 +141,11 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A learned language and its share of all counts for each text; ``und`` and 0 for texts without letters.
 
-        Texts of which no gram is known get the most common language with score 0; ties go to the first in order.
+        With no language learned, all texts are ``und``. Texts of which no gram is known get the most common language with score 0; ties go to the first in order.
         """
         if not texts:
             return [], []
-        some = [bool(t) and _LETTER.search(t) is not None for t in texts]
+        some = [lettered(t) for t in texts]
         if not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         counts = self.counts([letters(t) for t in texts])
@@ -179,14 +184,15 @@ def predictions(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows, all columns kept, of texts that have a language; ``und`` ones go."""
+    """The rows, all columns kept, of texts that have letters. ``und`` with letters stays: no language was learned, or one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                langs, _ = shared.value.predict(part.column(part.schema.get_field_index("text")).to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                langs, _ = shared.value.predict(texts)
+                yield part.filter(pa.array([x != UNKNOWN or lettered(t) for x, t in zip(langs, texts, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pyarrow.parquet as pq
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -31,6 +32,24 @@ def test_equals_plain_version(spark):
     assert got == want and bad
 
 
+def test_unlabelled_documents_are_packed(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(-1, "!!! 123", None, None, 7), (-2, None, None, None, 0), (-3, "", None, None, 0)], docs.schema)
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.withColumn("lang", F.lit(None).cast("string")).union(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = (sorted((r.doc_id, r.length) for r in corpus_pipeline.run(spark, sf).collect()) for sf in (str(tmp_path), SF))
+    assert got == want and got
+
+
+def test_language_stage_rejects_by_letters_alone(spark):
+    rows = [(i, t, lang) for i in range(30) for t, lang in ((f"words {i}", None), ("42 !", None), (None, None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    late = docs.withColumn("lang", F.when(langid.held_out(), "en"))
+    for given in (docs, late, docs.withColumn("lang", F.lit("und"))):
+        got = corpus_pipeline.identify_language(spark, given, SF).collect()
+        assert sorted(r.doc_id for r in got) == list(range(30)) and all(r.text.startswith("words") for r in got)
+
+
 def test_near_stage_keeps_one_of_each_group(spark):
     text = "some words that make up a text of a few shingles in all"
     rows = [(3, text, "en", "s", 1), (None, text, "en", "s", 1), (None, text, "en", "s", 1), (2, text.upper(), "en", "s", 1), (2, text.upper(), "en", "s", 1), (9, "other words altogether", None, None, None), (None, "alone without id", "en", "s", 1), (None, "alone without id", "en", "s", 1)]
