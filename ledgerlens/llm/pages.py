@@ -45,7 +45,11 @@ _BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 _GOOD_WORDS = frozenset("article content entry main post story".split())
-HARD, SOFT = 9.0, 3.0
+#: Of an article these are its title and byline, elsewhere the site's.
+_HEAD_WORDS = frozenset("header masthead".split())
+#: Names that say what stands beside or inside an element, not what it is.
+_ELSEWHERE = re.compile(r"(?<![\w-])(?:has|with|without|no)[-_][\w-]*")
+HARD, WORD, SOFT = 9.0, 6.0, 3.0
 
 
 @dataclass(slots=True)
@@ -57,8 +61,13 @@ class Block:
     heading: bool
 
 
-def _evidence(tag: str, attributes: str, within: float) -> float:
-    """What an element says of its text: within its parents' evidence, the strongest objection counts."""
+def _evidence(tag: str, attributes: str, within: float) -> tuple[float, bool, bool]:
+    """What an element says of its text: within its parents' evidence, the strongest objection counts.
+
+    A bad word in its class or id counts apart, since it may name only a part: second is whether there is one.
+    Third is whether the element is an article that lifts the words around it; one named like a comment isn't.
+    """
+    named, plain = False, True
     say = -HARD if tag in _AGAINST else HARD / 2 if tag in _FOR else 0.0
     if tag == "header":
         say = -HARD if within <= 0 else -SOFT
@@ -70,9 +79,11 @@ def _evidence(tag: str, attributes: str, within: float) -> float:
                 if name == "role":
                     say = min(say, -HARD) if value in _ROLES else max(say, HARD / 2) if value in ("main", "article") else say
                 elif name in ("class", "id"):
-                    words = set(_WORDS.findall(value))
-                    if tag not in ("html", "body", "article", "main") and words & _BAD_WORDS:
-                        say = -HARD
+                    words = set(_WORDS.findall(_ELSEWHERE.sub(" ", value)))
+                    if bad := words & _BAD_WORDS - (_HEAD_WORDS if within > 0 else frozenset()):
+                        plain = plain and bool(words & _GOOD_WORDS)
+                    if bad and tag not in ("html", "body", "article", "main"):
+                        named = True
                     elif words & _GOOD_WORDS and say == 0:
                         say = SOFT
                 elif name == "itemprop":
@@ -81,13 +92,36 @@ def _evidence(tag: str, attributes: str, within: float) -> float:
                     say = -HARD
             elif name == "hidden":
                 say = -HARD
-    return min(say, within) if say < 0 else max(say, within) if within >= 0 else within
+    total = min(say, within) if say < 0 else max(say, within) if within >= 0 else within
+    return total, named, say >= HARD / 2 and total > 0 and plain and not named
+
+
+def _weigh(blocks: list[Block], named: list[tuple[int, ...]]) -> None:
+    """Takes the cost of the named elements around each block off its evidence; of several the highest counts.
+
+    It is ``WORD``, except where no unnamed text, headings aside, is known to be the article's: then an element
+    with over half of the page's text costs less the more it has, and nothing if it has all.
+    """
+    sizes: dict[int, int] = {}
+    for b, around in zip(blocks, named, strict=True):
+        if b.evidence > -HARD:
+            for e in around:
+                sizes[e] = sizes.get(e, 0) + len(b.text)
+    known = any(b.evidence > 0 and not b.heading and not around for b, around in zip(blocks, named, strict=True))
+    total = sum(len(b.text) for b in blocks if b.evidence > -HARD)
+    for b, around in zip(blocks, named, strict=True):
+        if around and b.evidence > -WORD:
+            share = 1.0 if known else max(min(1.0, 2 - 2 * sizes[e] / total) for e in around)
+            b.evidence -= share * (b.evidence + WORD)
 
 
 def blocks_of(html: str | None) -> list[Block]:
     """The blocks of a page in its order, white space inside each being one space."""
     out: list[Block] = []
     stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
+    # Of each element on the stack, the named ones around it and whether an article is.
+    around: list[tuple[tuple[int, ...], bool]] = [((), False)]
+    named: list[tuple[int, ...]] = []
     text: list[str] = []
     links = serial = 0
     in_link = 0
@@ -100,6 +134,7 @@ def blocks_of(html: str | None) -> list[Block]:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
                 name, say, parent = stack[-1]
+                named.append(around[len(stack) - 1][0])
                 out.append(Block(joined, say, parent, links, any(t in ("h1", "h2", "h3") for t, _, _ in stack[-3:])))
             text.clear()
         links = 0
@@ -145,12 +180,18 @@ def blocks_of(html: str | None) -> list[Block]:
             elif tag == "li" and stack[-1][0] == "li":
                 stack.pop()
         within = stack[-1][1]
+        del around[len(stack) :]
+        names, inside = around[-1]
         if tag in _BREAKS or attributes:
             serial += 1
-            stack.append((tag, _evidence(tag, attributes, within), serial if tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr") else stack[-1][2]))
+            say, bad, lifts = _evidence(tag, attributes, within)
+            names = (*names, serial) if bad else () if lifts and not inside else names
+            stack.append((tag, say, serial if tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr") else stack[-1][2]))
         else:
             stack.append((tag, within, stack[-1][2]))
+        around.append((names, inside or tag == "article"))
     end()
+    _weigh(out, named)
     return out
 
 
@@ -171,7 +212,7 @@ def fit(pages: list[str | None], rounds: int = 300) -> np.ndarray:
         blocks = blocks_of(page)
         if blocks:
             x = shape(blocks)
-            sure = [i for i, b in enumerate(blocks) if b.evidence <= -HARD or b.evidence >= HARD / 2]
+            sure = [i for i, b in enumerate(blocks) if b.evidence <= -WORD or b.evidence >= HARD / 2]
             rows.append(x[sure])
             labels += [blocks[i].evidence > 0 for i in sure]
     weights = np.zeros(8)

@@ -48,3 +48,28 @@ def test_table(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, TEXT, len(TEXT)), (1, TEXT, len(TEXT)), (2, "", 0)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_names_of_wrappers_lose_nothing():
+    prose = "<p>The first paragraph of this page is long enough, and it has some commas, too.</p><p>So is the second one, which ends the text, as one can see.</p>"
+    text = " ".join(prose.replace("</p>", "").split("<p>")[1:])
+    rest = '<nav><a href="/">Menu</a></nav><div class="sidebar"><p>Related things</p></div>'
+    for w in (fit([PAGE]), np.zeros(8)):
+        for name in ('class="content-sidebar-wrap"', 'id="page" class="has-sidebar"', 'class="with-header"', 'class="footer-widget-page"'):
+            for tag in ("article", 'article class="post has-header"', "main", 'div role="main"'):
+                assert main_text(f"<div {name}>{rest}<{tag}>{prose}</{tag.split()[0]}></div>", w) == text
+                assert main_text(f"<main><div {name}>{rest}<{tag}>{prose}</{tag.split()[0]}></div></main>", w) == text
+            assert main_text(f"<div {name}>{prose}</div>", w) == text
+            assert main_text(f"<article><div {name}>{prose}</div></article>", w) == text
+            assert main_text(PAGE.replace("<header>", f"<div {name}><header>").replace("</body>", "</div></body>"), w) == TEXT
+        assert main_text(f'<article><div class="entry-header"><h1>Title</h1></div>{prose}<div class="ad">Buy now</div></article>', w) == f"Title {text}"
+
+
+def test_named_parts_still_go():
+    prose = "<p>The first paragraph of this page is long enough, and it has some commas, too.</p>"
+    text = prose[3:-4]
+    for w in (fit([PAGE]), np.zeros(8)):
+        for part in ('<div class="comments">{}</div>', '<div id="comments"><article class="comment">{}</article></div>', '<div class="no-js sponsored">{}</div>', '<div hidden><article>{}</article></div>'):
+            part = part.format(prose.replace("first", "other") * 9)
+            assert main_text(f"<article>{prose}</article>{part}", w) == text
+            assert main_text(f"<article>{prose}{part}</article>", w) == text
