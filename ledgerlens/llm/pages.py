@@ -32,7 +32,10 @@ BESIDE, BESIDE_KIN, KIN = 0.5, 1.0, 0.6
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _WORDS = re.compile(r"[a-z]+")
-_RAW = frozenset("script style noscript template iframe noembed noframes xmp svg math object canvas audio video textarea select title".split())
+#: Only these reach to the end of the page if their end tag is missing.
+_RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
+#: What these hold isn't text of the page, but that of math and object may be.
+_EMBEDDED = frozenset("noscript template svg math object canvas audio video select".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BREAKS = frozenset(
     "address article aside blockquote body br button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -69,6 +72,8 @@ def _evidence(tag: str, attributes: str, within: float) -> tuple[float, bool, bo
     """
     named, plain = False, True
     say = -HARD if tag in _AGAINST else HARD / 2 if tag in _FOR else 0.0
+    if tag == "object" and within <= 0:
+        say = -SOFT
     if tag == "header":
         say = -HARD if within <= 0 else -SOFT
     if attributes:
@@ -115,6 +120,33 @@ def _weigh(blocks: list[Block], named: list[tuple[int, ...]]) -> None:
             b.evidence -= share * (b.evidence + WORD)
 
 
+def _ends(page: str) -> dict[int, int]:
+    """Of embedded elements with an end tag of their own, by where they start, where they end."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    at, size = 0, len(page)
+    while at < size:
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if m[1] or m[4]:
+            if begun.get(tag):
+                out[begun[tag].pop()] = at
+        elif (m[3] or m[6] or "").endswith("/"):
+            continue
+        elif tag in _RAW and not (tag == "title" and begun.get("svg")):
+            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else size
+        elif tag == "select":
+            begun[tag] = [m.start()]
+        elif tag in _EMBEDDED:
+            begun.setdefault(tag, []).append(m.start())
+        elif tag in _CLOSES["p"] and tag not in ("div", "hr"):
+            # No select holds these.
+            begun.pop("select", None)
+    return out
+
+
 def blocks_of(html: str | None) -> list[Block]:
     """The blocks of a page in its order, white space inside each being one space."""
     out: list[Block] = []
@@ -127,6 +159,8 @@ def blocks_of(html: str | None) -> list[Block]:
     in_link = 0
     page = html or ""
     at, size = 0, len(page)
+    ends: dict[int, int] | None = None
+    loose = False
 
     def end() -> None:
         nonlocal links
@@ -155,8 +189,29 @@ def blocks_of(html: str | None) -> list[Block]:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else size
             continue
-        if tag in _BREAKS:
+        if tag in _EMBEDDED and not closing and not attributes.endswith("/"):
+            ends = _ends(page) if ends is None else ends
+            if tag not in ("math", "object"):
+                if m.start() in ends:
+                    at = ends[m.start()]
+                    continue
+                # Without an end tag it lasts until an element it can't hold.
+                end()
+                del around[len(stack) :]
+                around.append(around[-1])
+                stack.append((f"<{tag}", -HARD, stack[-1][2]))
+                loose = True
+                continue
+            if m.start() not in ends:
+                continue
+        if tag in _BREAKS or loose or tag == "object" and stack[-1][1] <= 0:
             end()
+        if loose and not closing and tag in _BREAKS and tag != "option":
+            loose = False
+            for k, x in enumerate(stack):
+                if x[0].startswith("<"):
+                    del stack[k:]
+                    break
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -182,7 +237,7 @@ def blocks_of(html: str | None) -> list[Block]:
         within = stack[-1][1]
         del around[len(stack) :]
         names, inside = around[-1]
-        if tag in _BREAKS or attributes:
+        if tag in _BREAKS or attributes or tag == "object":
             serial += 1
             say, bad, lifts = _evidence(tag, attributes, within)
             names = (*names, serial) if bad else () if lifts and not inside else names

@@ -73,3 +73,24 @@ def test_named_parts_still_go():
             part = part.format(prose.replace("first", "other") * 9)
             assert main_text(f"<article>{prose}</article>{part}", w) == text
             assert main_text(f"<article>{prose}{part}</article>", w) == text
+
+
+def test_missing_end_tags_cut_nothing():
+    prose = "<p>The first paragraph of this page is long enough, and it has some commas, too.</p>"
+    text = prose[3:-4]
+    for w in (fit([PAGE]), np.zeros(8)):
+        for tag in "select object svg math canvas audio video noscript template".split():
+            for page in ("<{0} a=b><article>{1}</article>", "<{0}><div>{1}</div>", "<div><{0}></div><article>{1}</article><{0}></{0}>", "<article>{1}<{0}></article>"):
+                assert main_text(page.format(tag, prose), w) == text, (tag, page)
+        assert main_text(f"<select><option>No<option>Never<article>{prose}</article><select><option>No</select>", w) == text
+        assert main_text(f"<select><option>No<option>Never<article>{prose}</article></select>", w) == text
+        assert main_text(f"<article>{prose}<svg><title>No</svg>{prose}</article>", w) == f"{text} {text}"
+        for tag in ("script", "style", "textarea", "title"):
+            assert main_text(f"<article>{prose}<{tag}>{prose}</article>", w) == text
+
+
+def test_words_within_math_and_object_stay():
+    for w in (fit([PAGE]), np.zeros(8)):
+        page = "<article><p>So, for all n, <math><mi>n</mi><mo>+</mo><mn>1</mn></math> is <object data='a.svg'>the next</object> one<svg><text>no</text></svg>, as <select><option>no</select>one <video><p>no</p></video>sees.</p></article>"
+        assert main_text(page, w) == "So, for all n, n+1 is the next one, as one sees."
+    assert main_text("<nav><math><mi>n</mi></math><object>no</object></nav><article><p>Yes.</p></article>", w) == "Yes."
