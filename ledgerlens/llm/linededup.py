@@ -227,9 +227,12 @@ class LineIndex:
     def filters(self) -> DataFrame:
         return self.table.where("cells IS NOT NULL").select("shard", "cells")
 
-    def duplicates(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_mb: int = 32) -> DataFrame:
+    def duplicates(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_mb: int = 32, batch: bool = False) -> DataFrame:
         """(doc_id, hi, lo): keys each document loses, being held by a smaller id. ``docs`` are the indexed documents.
 
+        If ``docs`` are a ``batch``, the last documents inserted, all others in the index come before them: a key that
+        one of those holds goes from the whole batch. Only the batch is read for it, since the counts tell whether others hold a key.
+
         The filters are broadcast if they take ``most_mb`` MB at most. If they are larger, all
         lines go on to the exact check, with the same result.
         """
@@ -253,7 +256,11 @@ class LineIndex:
 
         given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
         found = stored(arrow_rows(given, lines, "doc_id bigint, hi bigint, lo bigint"), "line-candidates")
-        first = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        first = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *([F.count("*").alias("m")] if batch else []))
+        if batch:
+            others = first.join(self.counts.where(F.col("n") >= SHARED), ["hi", "lo"]).select("hi", "lo", "first", (F.col("n") > F.col("m")).alias("before"))
+            return found.join(others, ["hi", "lo"]).where("before OR doc_id > first").select("doc_id", "hi", "lo").distinct()
+        first = first.where("first < last")
         exact = first.join(self.counts.where(F.col("n") >= SHARED), ["hi", "lo"]).select("hi", "lo", "first")
         return found.join(exact, ["hi", "lo"]).where("doc_id > first").select("doc_id", "hi", "lo").distinct()
 
@@ -310,14 +317,15 @@ def without_lines(text: str | None, gone: list[dict]) -> tuple[bytes, int, int]:
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None, batch: bool = False) -> DataFrame:
     """All columns of ``docs`` as they are, with ``_gone``: the keys whose lines the row is to lose.
 
-    Without an index, one is built of ``docs``. Rows of one id count as one document; rows without an id
+    Without an index, one is built of ``docs``. With one, ``docs`` are all documents in it, which are read again, or, with
+    ``batch``, those inserted last, judged against all before them (see ``LineIndex.duplicates``). Rows of one id count as one document; rows without an id
     together come after all others. Null and empty texts are one empty line.
     """
     index = index or LineIndex.empty(docs.sparkSession).insert(docs, text_col)
-    lost = index.duplicates(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("_gone")).withColumnRenamed("doc_id", "_line_id")
+    lost = index.duplicates(docs, id_col, text_col, batch=batch).groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("_gone")).withColumnRenamed("doc_id", "_line_id")
     return docs.join(lost, F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)) == F.col("_line_id"), "left").drop("_line_id")
 
 
@@ -332,9 +340,9 @@ def line_digests(docs: DataFrame) -> DataFrame:
     return arrow_rows(marked, digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
-def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None) -> DataFrame:
-    """The rows with their texts deduplicated, in the columns of ``docs``; a null text stays null."""
-    marked = dedup_lines(docs, id_col, text_col, index)
+def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None, batch: bool = False) -> DataFrame:
+    """The rows with their texts deduplicated, in the columns of ``docs``; a null text stays null. ``index`` and ``batch`` as in ``dedup_lines``."""
+    marked = dedup_lines(docs, id_col, text_col, index, batch)
     at, names = docs.columns.index(text_col), docs.columns
 
     def clean(*columns: list) -> dict[str, list]:

@@ -81,6 +81,18 @@ def test_deletion_undoes_insertion(spark):
     assert sum(int((held.cells > 0).sum()) for held in [held]) == len(shared)
 
 
+def test_batch_is_judged_against_older_documents(spark):
+    docs = sorted(corpus(4)) + [(2001, "line number 1 of many\nonly in the last text"), (2003, "only in the last text")]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: t for i, t, *_ in plain(docs)}
+    index = LineIndex.empty(spark, 8)
+    for part in (docs[:40], docs[40:70], docs[70:]):
+        index = index.insert(make(part))
+        got = {r.doc_id: r.text or "" for r in clean_lines(make(part), index=index, batch=True).collect()}
+        assert got == {i: want[i] for i, _ in part}
+    assert {r.doc_id: r.text or "" for r in clean_lines(make(docs), index=index).collect()} == want
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     hi, lo = rng.integers(-(2**63), 2**63 - 1, (2, 3000))
