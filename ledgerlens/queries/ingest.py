@@ -1,6 +1,6 @@
 """Consolidation, table changes, the manifest and chunking, over stand-ins of extracted pages.
 
-Customers stand for companies and files, orders for yearly metrics, lineitems for pages of their order, conversations for reference documents.
+Customers stand for companies and files, orders for yearly metrics, lineitems for pages of their order, conversations for pages with and without text; documents are chunked themselves.
 """
 
 from __future__ import annotations
@@ -182,8 +182,9 @@ def text_page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("int").alias("page_number"), F.col("role").alias("section"), "text")
-    return chunking.chunk_documents(pages, 256, 50)
+    """Every document is one page, its source the section."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.col("source").alias("section"), "text")
+    return chunking.chunk_documents(pages)
 
 
 @query("chunk_semantic")
@@ -193,10 +194,10 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_parent_child")
 def chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.children_of(_parents(spark, sf_dir), 64, 12)
+    return chunking.children_of(_parents(spark, sf_dir))
 
 
 @query("chunk_stats")
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = _parents(spark, sf_dir)
-    return chunking.chunk_stats(parents, chunking.children_of(parents, 64, 12))
+    return chunking.chunk_stats(parents, chunking.children_of(parents))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import chunking, load
 from ledgerlens.plans import ingest
 from ledgerlens.providers import HashedTerms
+from ledgerlens.queries import ingest as queries
 from ledgerlens.sources import documents as source
 from ledgerlens.sources import quotes
 
@@ -179,3 +180,17 @@ def test_manifest_decisions(spark):
 def test_warnings_count_zero_as_missing(spark):
     row = spark.range(1).select(load.load_warnings(F.array(F.struct(F.lit(2024).alias("fiscal_year"), F.lit(0.0).alias("revenue"), F.lit(2.0).alias("net_income"))), F.lit(0), F.lit(3), F.lit(None).cast("int"), F.lit(True)).alias("w")).first()
     assert row.w == ["Missing revenue for year 2024", "No segment revenue", "No risk factors"]
+
+
+def test_chunk_queries_take_whole_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {i: chunking.chunk_text(t, 1024, 50) for i, t in texts.items()}
+    got: dict = {}
+    for r in queries.QUERIES["chunk_semantic"](spark, sf).orderBy("parent_index").collect():
+        got.setdefault(r.document_id, []).append(r.text)
+    assert got == {i: c for i, c in want.items() if c} and max(map(len, got.values())) > 3
+    children = {(i, c, k) for i, cs in want.items() for c, t in enumerate(cs) for k in range(len(chunking.chunk_text(t, 256, 50)))}
+    rows = queries.QUERIES["chunk_parent_child"](spark, sf).collect()
+    assert len(rows) == len(children) and {r.child_id for r in rows} == {f"{i}_parent_{c}_child_{k}" for i, c, k in children}
+    assert sum(r.children for r in queries.QUERIES["chunk_stats"](spark, sf).collect()) == len(children)
