@@ -1,7 +1,7 @@
 """What the corpus operators share: scratch tables, Arrow helpers and components.
 
 Scratch tables go to the folder named by ``spark.checkpoint.dir``, which every
-executor sees. Only a session without that setting (a test) gets a local folder.
+executor sees. Only a local session without that setting (a test) gets a local folder.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="ledgerlens-")
     atexit.register(shutil.rmtree, local, ignore_errors=True)
     context.setCheckpointDir(f"file://{local}")
@@ -66,6 +68,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch on its way to Python. Spark's default would keep tens of MB of texts at once in each task, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Puts the session's Arrow batches from Spark's default size to ``BATCH_BYTES``; a size that the user chose stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864"):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def arrow_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, rows: int = 512) -> DataFrame:
     """Maps column lists to column lists, at most ``rows`` rows at a time.
 
@@ -88,26 +101,57 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(spark)
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+#: A key with more rows than one of ``HOT`` equal shares of a table is hot, so there are fewer than ``HOT`` of them; none with ``FEW`` rows or less is.
+HOT, FEW = 1000, 200
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", sizes: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each key at most, so that no key's rows meet in one task.
+
+    The rows of a hot key in ``left`` are dealt to several tasks by a hash of all their columns, and its row
+    of ``right`` goes to each of these. Which keys are hot is counted beforehand; only they come to the driver and are broadcast, fewer than
+    ``HOT`` of them, and copies of rows of ``right`` are fewer than 2 x ``HOT``. ``how`` is ``inner`` or ``left``.
+    ``left`` is read more than once. ``sizes`` has the rows of each key of ``left`` as ``n``, and ``total`` is no less than all of them, if these are known.
+    """
+    total = left.count() if total is None else total
+    limit = max(FEW, total // HOT)
+    if total <= limit:
+        return left.join(right, on, how)
+    counted = left.groupBy(*on).agg(F.count("*").alias("n")) if sizes is None else sizes
+    found = counted.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_tasks"))
+    rows = found.collect()
+    if not rows:
+        return left.join(right, on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, found.schema))
+    dealt = left.join(hot, on, "left").select(*left.columns, F.pmod(F.xxhash64(*left.columns), F.coalesce("_tasks", F.lit(1))).cast("int").alias("_task"))
+    copies = right.join(hot, on, "left").select(*right.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1)).alias("_task"))
+    return dealt.join(copies, [*on, "_task"], how).drop("_task")
+
+
+def connected_components(edges: DataFrame, name: str = "components", most: int = 200) -> DataFrame:
     """Components of the undirected graph with edges (a, b), both long.
 
     Returns (node, component), the component being its smallest node, for every node
     that has an edge to another. Alternates large-star and small-star steps, which end in stars after a
-    number of rounds that is logarithmic in practice. Each round is written to the
-    shared folder; nothing but two numbers comes to the driver. Joins and aggregates
-    combine before they shuffle, so that a node with very many neighbours is no hot spot.
+    number of rounds that is logarithmic in practice; if they haven't after ``most`` rounds, it raises. Each round is written to the
+    shared folder; nothing but two numbers comes to the driver. Neighbours of a node with very many of
+    them are dealt to several tasks.
     """
     edges = stored(_canonical(edges), f"{name}-edges")
     before = None
-    for turn in range(200):
+    for turn in range(most):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now
-        edges = stored(_canonical(_star(_star(edges, large=True), large=False)), f"{name}-{turn}")
+        large = stored(_large_star(edges, now[0]), f"{name}-large-{turn}")
+        edges = stored(_canonical(_small_star(large, 2 * now[0])), f"{name}-{turn}")
+    else:
+        raise RuntimeError(f"components haven't settled after {most} rounds")
     stars = edges.select(F.col("a").alias("component"), F.col("b").alias("node"))
     return stars.select("node", "component").union(stars.select("component", "component").distinct())
 
@@ -117,12 +161,18 @@ def _canonical(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links the neighbours of each node to the smallest of them and the node itself."""
-    if large:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Links the larger neighbours of each node to the smallest of them all and the node itself; of ``n`` edges."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    joined = spread_join(both, near.select("a", F.least("a", "m").alias("m")), ["a"], sizes=near.select("a", "n"), total=2 * n)
+    return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+
+
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Links each node and its smaller neighbours to the smallest of these; of at most ``n`` edges."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select("b", "m").toDF("a", "b").union(least.select("a", "m").toDF("a", "b")).where("a <> b")
+    near = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = near.select("a", "m")
+    joined = spread_join(down, least, ["a"], sizes=near.select("a", "n"), total=n)
+    return joined.select("b", "m").toDF("a", "b").union(least.toDF("a", "b")).where("a <> b")

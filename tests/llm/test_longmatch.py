@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerlens.llm.longmatch import LENGTH, passage_digests, repeated_windows, without_passages
+from ledgerlens.llm.longmatch import LENGTH, RunIndex, passage_digests, repeated_windows, without_passages
 
 
 def plain(texts):
@@ -46,7 +46,7 @@ def corpus(seed):
     return texts + texts[:9]
 
 
-@pytest.mark.parametrize(("seed", "crowd"), [(1, 20_000), (2, 3)])
+@pytest.mark.parametrize(("seed", "crowd"), [(1, 20_000), (2, 3), (3, 0)])
 def test_equals_brute_force(spark, seed, crowd):
     texts = corpus(seed)
     rows = [(i, t, "x") for i, t in enumerate(texts)]
@@ -88,3 +88,32 @@ def test_windows_of_one_gram():
     for f, t, le, g in zip(flags, texts, left, group, strict=True):
         want = {368 - le + k for k in range(len(t) - LENGTH + 1) if seen[g, 368 - le + k, t[k : k + LENGTH]] > 1}
         assert set(np.flatnonzero(f).tolist()) == want
+
+
+def test_index_follows_runs_and_counts_copies():
+    """Rows that differ in one byte only: a column has two runs where they differ, and no more than that is kept."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(97, 123, 700).astype(np.uint8)
+    texts = []
+    for i in range(40):
+        t = base.copy()
+        t[600] = 48 + i % 10
+        texts.append(t.tobytes())
+    group, begin = np.zeros(40, int), np.full(40, 20)
+    index = RunIndex.of(texts, begin, group)
+    assert sorted(set(index.column.tolist())) == [620, 621] or set(index.column.tolist()) == {620}
+    assert len(index.column) <= 40 + 10 and index.length.sum() % 40 == 0
+    assert sorted(set(index.symbol.tolist())) == list(range(48, 58))
+    one = repeated_windows([texts[0]], np.array([300]), np.array([0]))
+    assert not one.any()
+    assert repeated_windows([texts[0]], np.array([300]), np.array([0]), np.array([2]))[0, 68 : 68 + 301].all()
+
+
+def test_very_long_texts(spark):
+    """Texts of 20 MB, cut into pieces at other places: all that they share goes, and nothing else."""
+    shared = np.random.default_rng(6).integers(97, 123, 20_000_000).astype(np.uint8).tobytes().decode()
+    own = np.random.default_rng(7).integers(97, 123, 3_000_000).astype(np.uint8).tobytes().decode()
+    rows = [(1, shared), (2, "head " + shared[1_000:] + " tail"), (3, own), (4, own[:300])]
+    got = {r.doc_id: tuple(r[1:4]) for r in passage_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[1] == (20_000_000, 19_999_000, 1) and got[2] == (19_999_010, 19_999_000, 1)
+    assert got[3] == (3_000_000, 0, 0) and got[4] == (300, 0, 0)
