@@ -9,8 +9,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 SCRATCH = "ledgerlens-scratch"
 _APPS: set[str] = set()
+_RECORDS = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +46,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in getattr(_RECORDS, "open", ()):
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,14 +60,31 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{SCRATCH}/{app}"
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables; call it when no result is still to be read."""
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Lists the scratch tables that this thread stores meanwhile, so that the caller can drop those it doesn't need."""
+    made: list[str] = []
+    _RECORDS.open = [*getattr(_RECORDS, "open", ()), made]
+    try:
+        yield made
+    finally:
+        _RECORDS.open = [x for x in _RECORDS.open if x is not made]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables that no plan still reads."""
     context = spark.sparkContext
-    if context._jsc is not None:
-        path = context._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables; call it when no result is still to be read."""
+    if spark.sparkContext._jsc is not None:
+        drop_tables(spark, [_scratch(spark)])
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks of a shuffle; deployments set it to the size of their data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -109,27 +131,46 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 HOT, FEW = 1000, 200
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", sizes: DataFrame | None = None, total: int | None = None) -> DataFrame:
-    """``left`` joined with ``right``, which has a row for each key at most, so that no key's rows meet in one task.
+def dealt(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFrame | None = None, total: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Both tables with a column ``_task``: hot keys of ``left`` are dealt to several tasks, and their rows of ``right`` go to each of these; None if there are no hot keys.
 
-    The rows of a hot key in ``left`` are dealt to several tasks by a hash of all their columns, and its row
-    of ``right`` goes to each of these. Which keys are hot is counted beforehand; only they come to the driver and are broadcast, fewer than
-    ``HOT`` of them, and copies of rows of ``right`` are fewer than 2 x ``HOT``. ``how`` is ``inner`` or ``left``.
-    ``left`` is read more than once. ``sizes`` has the rows of each key of ``left`` as ``n``, and ``total`` is no less than all of them, if these are known.
+    See ``spread_join``.
     """
     total = left.count() if total is None else total
     limit = max(FEW, total // HOT)
     if total <= limit:
-        return left.join(right, on, how)
+        return None
     counted = left.groupBy(*on).agg(F.count("*").alias("n")) if sizes is None else sizes
     found = counted.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_tasks"))
     rows = found.collect()
     if not rows:
-        return left.join(right, on, how)
+        return None
     hot = F.broadcast(left.sparkSession.createDataFrame(rows, found.schema))
-    dealt = left.join(hot, on, "left").select(*left.columns, F.pmod(F.xxhash64(*left.columns), F.coalesce("_tasks", F.lit(1))).cast("int").alias("_task"))
+    parts = left.join(hot, on, "left").select(*left.columns, F.pmod(F.xxhash64(*left.columns), F.coalesce("_tasks", F.lit(1))).cast("int").alias("_task"))
     copies = right.join(hot, on, "left").select(*right.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1)).alias("_task"))
-    return dealt.join(copies, [*on, "_task"], how).drop("_task")
+    return parts, copies
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", sizes: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each key at most, so that no key's rows meet in one task.
+
+    The rows of a hot key in ``left`` are dealt to several tasks by a hash of all their columns, and its row
+    of ``right`` goes to each of these. Which keys are hot is counted beforehand; only they come to the driver and are broadcast, about
+    ``HOT`` of them at most, and copies of rows of ``right`` are at most about 2 x ``HOT``. ``how`` is ``inner`` or ``left``.
+    ``left`` is read more than once. ``sizes`` has the rows of each key of ``left`` as ``n``, and ``total`` is no less than all of them, if these are known.
+    """
+    both = dealt(left, right, on, sizes, total)
+    if both is None:
+        return left.join(right, on, how)
+    return both[0].join(both[1], [*on, "_task"], how).drop("_task")
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """The name, with underscores added until no column of the tables has it."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame, name: str = "components", most: int = 200) -> DataFrame:

@@ -3,7 +3,7 @@
 A line's key is the line without white space at its ends, A-Z lower-cased. The index
 has, for each shard of the key space,
 
-* an exact table (hi, lo, n): how many documents hold the key with that 128-bit hash;
+* exact counts (hi, lo, n): how many documents hold the key with that 128-bit hash;
 * a cuckoo filter of the keys that at least ``SHARED`` documents hold.
 
 Inserting documents adds to the counts, and keys that reach ``SHARED`` enter the
@@ -11,9 +11,11 @@ filter. Deleting documents subtracts, and keys that fall below leave it; a cucko
 forget a key, which a Bloom filter can't. So an index after any insertions and deletions
 equals one built from the documents that remain.
 
-To deduplicate, each line asks the filters first. The few lines they let through are
+To deduplicate, each line asks the filter of its shard, where that lies: keys and filters are
+dealt by shard, and the keys are streamed past the filter. The few that it lets through are
 checked against the exact counts, the smallest document of each key is found, and
-the others lose the line.
+the others lose the line. Counts are added up by Spark before anything is shuffled; a task's Python holds one filter, the
+shared keys of one shard while that is built, and a small batch of keys.
 """
 
 from __future__ import annotations
@@ -25,14 +27,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import _arrow_schema, arrow_rows, partitions, stored
+from ledgerlens.llm.common import _arrow_schema, dealt, fresh, partitions, spread_join, stored
 
 SHARED, LEAST, BLANK = 2, 10, b" \t\n\r\x0b\x0c"
-#: Stands for a null id, after all others.
-LAST_ID = (1 << 63) - 1
 
 
 class Full(Exception):
@@ -40,9 +40,9 @@ class Full(Exception):
 
 
 class CuckooFilter:
-    """A set of 128-bit keys as 16-bit marks in buckets of four, each mark in one of two buckets."""
+    """A set of 128-bit keys as 16-bit marks in buckets of four, each mark in one of two buckets. Keys are given as arrays of their halves."""
 
-    SLOTS, KICKS = 4, 200
+    SLOTS, ROUNDS = 4, 400
 
     def __init__(self, cells: np.ndarray):
         self.cells = cells.reshape(-1, self.SLOTS)
@@ -54,300 +54,295 @@ class CuckooFilter:
             buckets *= 2
         return cls(np.zeros(buckets * cls.SLOTS, np.uint16))
 
-    @staticmethod
-    def marks(hi: np.ndarray) -> np.ndarray:
-        return np.maximum((hi.view(np.uint64) >> np.uint64(48)).astype(np.uint16), np.uint16(1))
+    def _homes(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mark = np.maximum((hi.view(np.uint64) >> np.uint64(48)).astype(np.uint16), np.uint16(1))
+        one = lo & (len(self.cells) - 1)
+        return mark, one, self._other(mark, one)
 
-    @staticmethod
-    def _hop(mark: int) -> int:
-        return (mark * 0x5BD1E995) >> 7
+    def _other(self, mark: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return bucket ^ (((mark.astype(np.int64) * 0x5BD1E995) >> 7) & (len(self.cells) - 1))
 
-    def _homes(self, hi: int, lo: int) -> tuple[int, int, int]:
-        last, mark = len(self.cells) - 1, max((hi & (1 << 64) - 1) >> 48, 1)
-        one = lo & last
-        return mark, one, one ^ self._hop(mark) & last
-
-    def add(self, hi: int, lo: int) -> None:
+    def may_hold(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        mark, one, two = self._homes(hi, lo)
+        return ((self.cells[one] == mark[:, None]) | (self.cells[two] == mark[:, None])).any(axis=1)
+
+    def _take(self, wanted: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key a slot of either bucket that holds ``wanted``, and which keys get it: one key a slot."""
+        first, second = self.cells[one] == wanted[:, None], self.cells[two] == wanted[:, None]
+        in_one, in_two = first.any(axis=1), second.any(axis=1)
+        slot = np.where(in_one, one * self.SLOTS + first.argmax(axis=1), two * self.SLOTS + second.argmax(axis=1))
+        able = np.flatnonzero(in_one | in_two)
+        return slot, able[np.unique(slot[able], return_index=True)[1]]
+
+    def add(self, hi: np.ndarray, lo: np.ndarray) -> None:
+        """All keys at once, round by round; marks that a mark pushes out move to their other bucket."""
         mark, one, two = self._homes(hi, lo)
-        for home in (one, two):
-            row = self.cells[home]
-            for s in range(self.SLOTS):
-                if not row[s]:
-                    row[s] = mark
-                    return
-        at = two
-        for kick in range(self.KICKS):
-            s = (mark + kick) % self.SLOTS
-            mark, self.cells[at, s] = int(self.cells[at, s]), mark
-            at ^= self._hop(mark) & len(self.cells) - 1
-            row = self.cells[at]
-            for s in range(self.SLOTS):
-                if not row[s]:
-                    row[s] = mark
-                    return
+        flat = self.cells.reshape(-1)
+        for turn in range(self.ROUNDS):
+            slot, lucky = self._take(np.zeros(len(mark), np.uint16), one, two)
+            flat[slot[lucky]] = mark[lucky]
+            left = np.ones(len(mark), bool)
+            left[lucky] = False
+            mark, one, two = mark[left], one[left], two[left]
+            if not len(mark):
+                return
+            full = np.flatnonzero((self.cells[one] != 0).all(axis=1) & (self.cells[two] != 0).all(axis=1))
+            slot = two[full] * self.SLOTS + (mark[full] + turn) % self.SLOTS
+            pushed, which = np.unique(slot, return_index=True)
+            movers = full[which]
+            old = flat[pushed]
+            flat[pushed] = mark[movers]
+            mark[movers], one[movers] = old, two[movers]
+            two[movers] = self._other(old, one[movers])
         raise Full
 
-    def remove(self, hi: int, lo: int) -> None:
-        """Forgets a key that was added."""
+    def remove(self, hi: np.ndarray, lo: np.ndarray) -> None:
+        """Forgets keys that were added."""
         mark, one, two = self._homes(hi, lo)
-        for home in (one, two):
-            row = self.cells[home]
-            for s in range(self.SLOTS):
-                if row[s] == mark:
-                    row[s] = 0
-                    return
-        raise KeyError((hi, lo))
+        flat = self.cells.reshape(-1)
+        while len(mark):
+            slot, lucky = self._take(mark, one, two)
+            if not len(lucky):
+                raise KeyError(f"{len(mark)} keys that the filter doesn't hold")
+            flat[slot[lucky]] = 0
+            left = np.ones(len(mark), bool)
+            left[lucky] = False
+            mark, one, two = mark[left], one[left], two[left]
 
     @classmethod
-    def of(cls, hi: list[int], lo: list[int]) -> CuckooFilter:
+    def of(cls, hi: np.ndarray, lo: np.ndarray) -> CuckooFilter:
         room = len(hi)
         while True:
             found = cls.sized(room)
             try:
-                for a, b in zip(hi, lo, strict=True):
-                    found.add(a, b)
+                found.add(hi, lo)
                 return found
             except Full:
                 room = max(2 * room, int(found.cells.size))
 
 
-class Screen:
-    """The filters of all shards, asked for many keys at once."""
-
-    def __init__(self, shards: int, filters: list[tuple[int, bytes]]):
-        self.shards = shards
-        self.offset, self.last = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
-        parts = [np.zeros((1, CuckooFilter.SLOTS), np.uint16)]
-        at = 1
-        for shard, cells in filters:
-            table = np.frombuffer(cells, np.uint16).reshape(-1, CuckooFilter.SLOTS)
-            self.offset[shard], self.last[shard] = at, len(table) - 1
-            parts.append(table)
-            at += len(table)
-        self.cells = np.concatenate(parts)
-
-    def may_hold(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        shard = shard_of(hi, self.shards)
-        offset, last, mark = self.offset[shard], self.last[shard], CuckooFilter.marks(hi)
-        one = lo & last
-        two = one ^ (((mark.astype(np.int64) * 0x5BD1E995) >> 7) & last)
-        return ((self.cells[offset + one] == mark[:, None]) | (self.cells[offset + two] == mark[:, None])).any(axis=1)
-
-
-def shard_of(hi: np.ndarray, shards: int) -> np.ndarray:
-    return (hi & 0xFFFFFFFF) % shards
+def _shard(shards: int) -> Column:
+    return F.pmod(F.col("hi").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(shards)).cast("int").alias("shard")
 
 
 def _digest(line: bytes) -> bytes | None:
     """The 128-bit hash of a line's key; None if the key is shorter than ``LEAST`` code points."""
     key = line.strip(BLANK)
-    if len(key) < LEAST or len(key) < 4 * LEAST and len(key.decode("utf-8", "surrogatepass")) < LEAST:
+    if len(key) < LEAST or len(key) < 4 * LEAST and len(key.decode("utf-8", "replace")) < LEAST:
         return None
     return xxhash.xxh3_128_digest(key)
 
 
-def _keys(text: str | None) -> set[bytes]:
-    found = set(map(_digest, (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")))
-    found.discard(None)
-    return found
+def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, hi, lo) for each key of each row, once a row."""
+    schema = "doc_id bigint, hi bigint, lo bigint"
+    arrow, flush = _arrow_schema(docs.sparkSession, schema), 1 << 16
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, owners, counts, size = [], [], [], 0
 
-def _pairs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+        def out() -> pa.RecordBatch:
+            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            ids = pa.array(owners, pa.int64()).take(pa.array(np.repeat(np.arange(len(owners)), counts)))
+            return pa.RecordBatch.from_arrays([ids, pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], schema=arrow)
 
+        for batch in batches:
+            for own, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = set(map(_digest, (text.as_py() or b"").lower().split(b"\n")))
+                found.discard(None)
+                if found:
+                    digests.append(b"".join(found))
+                    owners.append(own.as_py())
+                    counts.append(len(found))
+                    size += len(found)
+                if size >= flush:
+                    yield out()
+                    digests, owners, counts, size = [], [], [], 0
+        if size:
+            yield out()
 
-def _sums(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of values for each distinct row of keys, in key order."""
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-    at = np.flatnonzero(new)
-    return rows[at], *(np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values)
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")).mapInArrow(run, schema)
 
 
-def key_counts(docs: DataFrame, shards: int, sign: int = 1) -> DataFrame:
-    """(shard, hi, lo, old, delta, cells): how many of these documents hold each key, added up in each task before anything is shuffled."""
-    schema = "shard int, hi bigint, lo bigint, old bigint, delta bigint, cells binary"
-    arrow, flush = _arrow_schema(docs.sparkSession, schema), 1_000_000
+_FILTERS = "shard int, cells binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                keys, n = _sums(np.stack(_pairs(held), axis=1), np.ones(len(held), np.int64))
-                held.clear()
-                for at in range(0, len(keys), 50_000):
-                    hi, lo, some = keys[at : at + 50_000, 0], keys[at : at + 50_000, 1], n[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard_of(hi, shards).astype(np.int32)), pa.array(hi), pa.array(lo), pa.array(np.zeros_like(hi)), pa.array(sign * some), pa.nulls(len(hi), pa.binary())], schema=arrow)
+def _changed_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filters of shards, from rows sorted by shard, a shard's old filter first: (shard, cells, hi, lo, change), ``change`` being -1, 1 or 0 for keys that leave, enter or stay."""
+    schema = pa.schema([("shard", pa.int32()), ("cells", pa.binary())])
 
-        for batch in batches:
-            for text in batch.column(0):
-                held.extend(_keys(text.as_py()))
-                if len(held) > flush:
-                    yield from out()
-        yield from out()
+    def made(shard: int, cells: bytes | None, parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+        hi, lo, change = (np.ascontiguousarray(c) for c in rows.T)
+        try:
+            if cells is None:
+                raise Full
+            held = CuckooFilter(np.frombuffer(cells, np.uint16).copy())
+            held.remove(hi[change < 0], lo[change < 0])
+            held.add(hi[change > 0], lo[change > 0])
+        except Full:
+            held = CuckooFilter.of(hi[change >= 0], lo[change >= 0])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([held.cells.tobytes()], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, schema)
+    now, cells, parts = None, None, []
+    for b in batches:
+        shards = b.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for at, to in zip(cuts, cuts[1:], strict=False):
+            if to == at:
+                continue
+            if int(shards[at]) != now:
+                if now is not None:
+                    yield made(now, cells, parts)
+                now, cells, parts = int(shards[at]), None, []
+            part = b.slice(at, to - at)
+            if part.column("cells")[0].is_valid:
+                cells, part = part.column("cells")[0].as_py(), part.slice(1)
+            parts.append(np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("hi", "lo", "change")], axis=1))
+    if now is not None:
+        yield made(now, cells, parts)
+
+
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys that their shard's filter may hold: rows (shard, _task, cells, doc_id, hi, lo), sorted, the filter first."""
+    held, now = None, None
+    for b in batches:
+        both = np.stack([b.column("shard").to_numpy().astype(np.int64), b.column("_task").to_numpy().astype(np.int64)], axis=1)
+        cuts = [0, *(np.flatnonzero((both[1:] != both[:-1]).any(axis=1)) + 1).tolist(), len(both)]
+        for at, to in zip(cuts, cuts[1:], strict=False):
+            if to == at:
+                continue
+            part = b.slice(at, to - at)
+            if tuple(both[at]) != now:
+                held, now = None, tuple(both[at])
+            if part.column("cells")[0].is_valid:
+                held, part = CuckooFilter(np.frombuffer(part.column("cells")[0].as_py(), np.uint16)), part.slice(1)
+            if held is not None and part.num_rows:
+                may = held.may_hold(part.column("hi").to_numpy(), part.column("lo").to_numpy())
+                yield part.select(["doc_id", "hi", "lo"]).filter(pa.array(may))
 
 
 @dataclass
 class LineIndex:
-    """``table``: (shard, hi, lo, n, cells); rows with ``cells`` are the shards' filters, others the exact counts."""
+    """``counts``: (shard, hi, lo, n), how many documents hold each key; ``filters``: (shard, cells)."""
 
-    table: DataFrame
+    counts: DataFrame
+    filters: DataFrame
     shards: int
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int | None = None) -> LineIndex:
-        """By default four shards for each shuffle partition; a shard's keys have to fit into a task."""
-        schema = "shard int, hi bigint, lo bigint, n bigint, cells binary"
-        return cls(spark.createDataFrame([], schema), shards or 4 * partitions(spark))
+        """By default four shards for each shuffle partition; the shared keys of a shard, 16 bytes each, have to fit into a task."""
+        return cls(spark.createDataFrame([], "shard int, hi bigint, lo bigint, n bigint"), spark.createDataFrame([], _FILTERS), shards or 4 * partitions(spark))
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
-        return self._changed(docs.select(F.col(text_col).alias("text")), 1)
+        return self._changed(line_keys(docs.withColumn(fresh("_id", docs), F.lit(0)), fresh("_id", docs), text_col), 1)
 
     def delete(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
-        """Takes documents out again, given with the texts they were inserted with."""
-        return self._changed(docs.select(F.col(text_col).alias("text")), -1)
-
-    def _changed(self, docs: DataFrame, sign: int) -> LineIndex:
-        spark = docs.sparkSession
-        was = self.table.select("shard", "hi", "lo", F.col("n").alias("old"), F.lit(0).cast("bigint").alias("delta"), "cells")
-        rows = was.union(key_counts(docs, self.shards, sign)).repartition(min(self.shards, partitions(spark)), "shard")
-        return LineIndex(stored(rows.mapInArrow(_merge, self.table.schema), "line-index"), self.shards)
-
-    @property
-    def counts(self) -> DataFrame:
-        return self.table.where("cells IS NULL").select("hi", "lo", "n")
-
-    @property
-    def filters(self) -> DataFrame:
-        return self.table.where("cells IS NOT NULL").select("shard", "cells")
-
-    def duplicates(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_mb: int = 32, batch: bool = False) -> DataFrame:
+        """Takes documents out again, given with the texts they were inserted with. It is an error to delete what isn't there."""
+        return self._changed(line_keys(docs.withColumn(fresh("_id", docs), F.lit(0)), fresh("_id", docs), text_col), -1)
+
+    def _changed(self, keys: DataFrame, sign: int) -> LineIndex:
+        new = keys.groupBy("hi", "lo").agg((F.lit(sign) * F.count("*")).alias("delta")).select(_shard(self.shards), "hi", "lo", F.lit(0).cast("bigint").alias("old"), "delta")
+        both = self.counts.select("shard", "hi", "lo", F.col("n").alias("old"), F.lit(0).cast("bigint").alias("delta")).union(new)
+        summed = both.groupBy("shard", "hi", "lo").agg(F.sum("old").alias("old"), F.sum(F.col("old") + F.col("delta")).alias("n"))
+        checked = F.when(F.col("n") >= 0, F.col("n")).otherwise(F.raise_error(F.lit("a document was deleted that the index doesn't hold")))
+        exact = stored(summed.select("shard", "hi", "lo", "old", checked.alias("n")), "line-counts")
+        change = (F.col("n") >= SHARED).cast("int") - (F.col("old") >= SHARED).cast("int")
+        moved = exact.where((F.col("n") >= SHARED) | (F.col("old") >= SHARED)).select("shard", F.lit(None).cast("binary").alias("cells"), "hi", "lo", change.alias("change"))
+        nothing = F.lit(0).cast("bigint")
+        rows = moved.union(self.filters.select("shard", "cells", nothing, nothing, F.lit(0)))
+        rows = rows.repartition(min(self.shards, partitions(keys.sparkSession)), "shard").sortWithinPartitions("shard", F.col("cells").isNull())
+        return LineIndex(exact.where("n > 0").select("shard", "hi", "lo", "n"), stored(rows.mapInArrow(_changed_filters, _FILTERS), "line-filters"), self.shards)
+
+    def _lost(self, keys: DataFrame, batch: bool) -> DataFrame:
+        """(doc_id, hi, lo) of ``keys`` to be lost; rows of one id may repeat."""
+        spark = keys.sparkSession
+        asked = keys.select(_shard(self.shards), "doc_id", "hi", "lo")
+        parts, filters = dealt(asked, self.filters, ["shard"]) or (asked.withColumn("_task", F.lit(0)), self.filters.withColumn("_task", F.lit(0)))
+        none = F.lit(None).cast("bigint")
+        rows = parts.select("shard", "_task", F.lit(None).cast("binary").alias("cells"), "doc_id", "hi", "lo").union(filters.select("shard", "_task", "cells", none, F.lit(0).cast("bigint"), F.lit(0).cast("bigint")))
+        rows = rows.repartition(partitions(spark), "shard", "_task").sortWithinPartitions("shard", "_task", F.col("cells").isNull())
+        found = stored(rows.mapInArrow(_screened, "doc_id bigint, hi bigint, lo bigint"), "line-candidates")
+        # Rows without an id come after all others and count as one document.
+        place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+        first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("m"))
+        shared = self.counts.where(F.col("n") >= SHARED).select("hi", "lo", F.col("n").alias("_n"))
+        before = F.col("_n") > F.col("m") if batch else F.lit(False)
+        exact = stored(first.join(shared, ["hi", "lo"]).where(before | (F.col("first") < F.col("last"))).select("hi", "lo", "first", before.alias("before"), F.col("m").alias("n")), "line-shared")
+        joined = spread_join(found, exact.drop("n"), ["hi", "lo"], sizes=exact.select("hi", "lo", "n"))
+        return joined.where(F.col("before") | (place > F.col("first"))).select("doc_id", "hi", "lo")
+
+    def duplicates(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: bool = False) -> DataFrame:
         """(doc_id, hi, lo): keys each document loses, being held by a smaller id. ``docs`` are the indexed documents.
 
         If ``docs`` are a ``batch``, the last documents inserted, all others in the index come before them: a key that
         one of those holds goes from the whole batch. Only the batch is read for it, since the counts tell whether others hold a key.
-
-        The filters are broadcast if they take ``most_mb`` MB at most. If they are larger, all
-        lines go on to the exact check, with the same result.
         """
-        spark = docs.sparkSession
-        size = self.filters.agg(F.sum(F.octet_length("cells"))).first()[0] or 0
-        screen = None
-        if size <= most_mb << 20:
-            screen = spark.sparkContext.broadcast(Screen(self.shards, [(r.shard, bytes(r.cells)) for r in self.filters.collect()]))
-
-        def lines(ids: list, texts: list) -> dict[str, list]:
-            held, owner = [], []
-            for i, text in zip(ids, texts, strict=True):
-                keys = list(_keys(text))
-                held += keys
-                owner += [LAST_ID if i is None else i] * len(keys)
-            hi, lo = _pairs(held)
-            if screen is not None and held:
-                may = screen.value.may_hold(hi, lo)
-                hi, lo, owner = hi[may], lo[may], np.array(owner, np.int64)[may]
-            return {"doc_id": owner, "hi": hi, "lo": lo}
-
-        given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-        found = stored(arrow_rows(given, lines, "doc_id bigint, hi bigint, lo bigint"), "line-candidates")
-        first = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *([F.count("*").alias("m")] if batch else []))
-        if batch:
-            others = first.join(self.counts.where(F.col("n") >= SHARED), ["hi", "lo"]).select("hi", "lo", "first", (F.col("n") > F.col("m")).alias("before"))
-            return found.join(others, ["hi", "lo"]).where("before OR doc_id > first").select("doc_id", "hi", "lo").distinct()
-        first = first.where("first < last")
-        exact = first.join(self.counts.where(F.col("n") >= SHARED), ["hi", "lo"]).select("hi", "lo", "first")
-        return found.join(exact, ["hi", "lo"]).where("doc_id > first").select("doc_id", "hi", "lo").distinct()
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up counts and keeps the filters in step, for the shards of one task."""
-    filters: dict[int, CuckooFilter] = {}
-    keys, olds, deltas = [], [], []
-    for b in batches:
-        real = b.column("cells").is_null().to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(~real).tolist():
-            filters[b.column("shard")[i].as_py()] = CuckooFilter(np.frombuffer(b.column("cells")[i].as_py(), np.uint16).copy())
-        get = lambda name: b.column(name).to_numpy(zero_copy_only=False)[real]  # noqa: B023, E731
-        keys.append(np.stack([get("shard").astype(np.int64), get("hi"), get("lo")], axis=1))
-        olds.append(get("old"))
-        deltas.append(get("delta"))
-    if not keys:
-        return
-    rows, old, delta = _sums(np.concatenate(keys), np.concatenate(olds), np.concatenate(deltas))
-    now = old + delta
-    schema = pa.schema([("shard", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
-    for shard in np.unique(rows[:, 0]).tolist():
-        mine = rows[:, 0] == shard
-        held = mine & (now >= SHARED)
-        try:
-            if shard not in filters:
-                raise Full
-            for change, which in (("remove", mine & (old >= SHARED) & (now < SHARED)), ("add", held & (old < SHARED))):
-                for _, hi, lo in rows[which].tolist():
-                    getattr(filters[shard], change)(hi, lo)
-        except Full:
-            filters[shard] = CuckooFilter.of(rows[held, 1].tolist(), rows[held, 2].tolist())
-    left = now > 0
-    for at in range(0, int(left.sum()), 50_000):
-        some, n = rows[left][at : at + 50_000], now[left][at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].astype(np.int32)), pa.array(some[:, 1]), pa.array(some[:, 2]), pa.array(n), pa.nulls(len(some), pa.binary())], schema=schema)
-    for shard, f in filters.items():
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([0], pa.int64()) for _ in range(3)), pa.array([f.cells.tobytes()], pa.binary())], schema=schema)
-
-
-def without_lines(text: str | None, gone: list[dict]) -> tuple[bytes, int, int]:
-    """The text left, in UTF-8, with the number of its lines and of those dropped."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
+        return self._lost(stored(line_keys(docs, id_col, text_col), "line-keys"), batch).distinct()
+
+
+def without_lines(raw: bytes, gone: set[bytes]) -> tuple[bytes, int, int]:
+    """The text left, with the number of its lines and of those dropped: those whose keys' hashes are ``gone``."""
     lines = raw.split(b"\n")
     if not gone:
         return raw, len(lines), 0
-    lost = {(g["hi"], g["lo"]) for g in gone}
+    kept = [line for line in lines if _digest(line.lower()) not in gone]
+    return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
-    def stays(line: bytes) -> bool:
-        digest = _digest(line.lower())
-        return digest is None or (int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)) not in lost
 
-    kept = [line for line in lines if stays(line)]
-    return b"\n".join(kept), len(lines), len(lines) - len(kept)
+def _digests(gone: pa.ListScalar) -> set[bytes]:
+    """The hashes of a list of (hi, lo); none if it is null."""
+    if not gone.is_valid:
+        return set()
+    data = np.stack([gone.values.field(c).to_numpy() for c in ("hi", "lo")], axis=1).astype(">i8").tobytes()
+    return {data[at : at + 16] for at in range(0, len(data), 16)}
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None, batch: bool = False) -> DataFrame:
-    """All columns of ``docs`` as they are, with ``_gone``: the keys whose lines the row is to lose.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None, batch: bool = False, gone_col: str = "_gone") -> DataFrame:
+    """All columns of ``docs`` as they are, with ``gone_col``: the hashes (hi, lo) of the keys whose lines the row is to lose.
 
     Without an index, one is built of ``docs``. With one, ``docs`` are all documents in it, which are read again, or, with
     ``batch``, those inserted last, judged against all before them (see ``LineIndex.duplicates``). Rows of one id count as one document; rows without an id
     together come after all others. Null and empty texts are one empty line.
     """
-    index = index or LineIndex.empty(docs.sparkSession).insert(docs, text_col)
-    lost = index.duplicates(docs, id_col, text_col, batch=batch).groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("_gone")).withColumnRenamed("doc_id", "_line_id")
-    return docs.join(lost, F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)) == F.col("_line_id"), "left").drop("_line_id")
+    keys = stored(line_keys(docs, id_col, text_col), "line-keys")
+    index = index or LineIndex.empty(docs.sparkSession)._changed(keys, 1)
+    own = fresh("_line_id", docs)
+    lost = index._lost(keys, batch).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("hi", "lo")).alias(gone_col))
+    return docs.join(lost, docs[id_col].cast("bigint").eqNullSafe(lost[own]), "left").select(*(docs[c] for c in docs.columns), gone_col)
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of documents (doc_id, text)."""
+    schema = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string"
+    arrow = _arrow_schema(docs.sparkSession, schema)
 
-    def digest(ids: list, texts: list, gone: list) -> dict[str, list]:
-        out = [without_lines(t, g) for t, g in zip(texts, gone, strict=True)]
-        return {"doc_id": ids, "n_lines": [x[1] for x in out], "n_dropped": [x[2] for x in out], "kept_sha256": [hashlib.sha256(x[0]).hexdigest() for x in out]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, gone in zip(batch.column(1), batch.column(2), strict=True):
+                raw, n, dropped = without_lines(text.as_py() or b"", _digests(gone))
+                out.append((n, dropped, hashlib.sha256(raw).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(arrow)[1:], strict=True))], schema=arrow)
 
-    marked = dedup_lines(docs.select("doc_id", "text")).select("doc_id", "text", "_gone")
-    return arrow_rows(marked, digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    marked = dedup_lines(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"), "_gone")
+    return marked.mapInArrow(run, schema)
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None, batch: bool = False) -> DataFrame:
     """The rows with their texts deduplicated, in the columns of ``docs``; a null text stays null. ``index`` and ``batch`` as in ``dedup_lines``."""
-    marked = dedup_lines(docs, id_col, text_col, index, batch)
-    at, names = docs.columns.index(text_col), docs.columns
-
-    def clean(*columns: list) -> dict[str, list]:
-        out = dict(zip(names, columns, strict=False))
-        out[text_col] = [t if not g else without_lines(t, g)[0].decode("utf-8", "surrogatepass") for t, g in zip(columns[at], columns[-1], strict=True)]
-        return out
+    gone_col = fresh("_gone", docs)
+    marked = dedup_lines(docs, id_col, text_col, index, batch, gone_col)
+    at, kept = docs.columns.index(text_col), len(docs.columns)
 
-    return arrow_rows(marked, clean, docs.schema.toDDL())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field(at).type
+            texts = [t.as_py() if not g.is_valid else without_lines(t.as_py().encode("utf-8", "surrogatepass"), _digests(g))[0].decode("utf-8", "surrogatepass") for t, g in zip(batch.column(at), batch.column(kept), strict=True)]
+            columns = batch.columns[:kept]
+            columns[at] = pa.array(texts, kind)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    return marked.mapInArrow(run, docs.schema)

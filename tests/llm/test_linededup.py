@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from ledgerlens.llm import linededup
-from ledgerlens.llm.linededup import CuckooFilter, Full, LineIndex, Screen, clean_lines, line_digests
+from ledgerlens.llm.linededup import CuckooFilter, Full, LineIndex, clean_lines, line_digests
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -49,15 +49,37 @@ def test_digests(spark):
     assert line_digests(df.limit(0)).count() == 0
 
 
-def test_same_without_broadcast_and_with_more_columns(spark):
+def test_any_number_of_shards_and_more_columns(spark):
     docs = corpus(2)
-    df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, key string")
-    index = LineIndex.empty(spark, 8).insert(df)
-    few = sorted(tuple(r) for r in index.duplicates(df).collect())
-    assert few and few == sorted(tuple(r) for r in index.duplicates(df, most_mb=-1).collect())
-    left = {r.doc_id: r for r in clean_lines(df).collect()}
+    df = spark.createDataFrame([(i, t, "k", 5, 6) for i, t in docs], "doc_id long, text string, key string, _gone long, _line_id long")
+    few = sorted(tuple(r) for r in LineIndex.empty(spark, 8).insert(df).duplicates(df).collect())
+    assert few and few == sorted(tuple(r) for r in LineIndex.empty(spark, 1).insert(df).duplicates(df).collect())
+    cleaned = clean_lines(df)
+    assert cleaned.columns == df.columns
+    left = {r.doc_id: r for r in cleaned.collect()}
     assert {i: r.text for i, r in left.items()} == {i: (None if dict(docs)[i] is None else t) for i, t, *_ in plain(docs)}
-    assert all(r.key == "k" for r in left.values())
+    assert all((r.key, r["_gone"], r["_line_id"]) == ("k", 5, 6) for r in left.values())
+
+
+def test_a_very_common_line_and_a_very_long_text(spark):
+    """The common line's rows are dealt to several tasks; the text has 300,000 lines of its own and one of the others' lines."""
+    docs = [(i, f"the line that all documents have\nline number {i} of one document\nline of half {i % 2}") for i in range(3000)]
+    docs.append((5000, "\n".join(f"long text line {i:09d}" for i in range(300_000)) + "\nThe line that all documents have "))
+    got = sorted(tuple(r) for r in line_digests(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == digests(plain(docs))
+
+
+def test_an_id_of_the_largest_number_is_no_null(spark):
+    docs = [(2**63 - 1, "a line in two documents"), (None, "a line in two documents")]
+    got = {r.doc_id: r.n_dropped for r in line_digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {2**63 - 1: 0, None: 1}
+
+
+def test_deleting_what_is_not_there_is_an_error(spark):
+    one = spark.createDataFrame([(1, "a line of some document")], "doc_id long, text string")
+    other = spark.createDataFrame([(2, "a line of another document")], "doc_id long, text string")
+    with pytest.raises(Exception, match="doesn't hold"):
+        LineIndex.empty(spark, 8).insert(one).delete(other)
 
 
 def test_repeated_and_null_ids(spark):
@@ -75,10 +97,10 @@ def test_deletion_undoes_insertion(spark):
     assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, fresh.counts.collect()))
     assert sorted(map(tuple, index.duplicates(make(two)).collect())) == sorted(map(tuple, fresh.duplicates(make(two)).collect()))
     shared = [(r.hi, r.lo) for r in index.counts.where("n >= 2").collect()]
-    held = Screen(8, [(r.shard, bytes(r.cells)) for r in index.filters.collect()])
-    hi, lo = (np.array(x, np.int64) for x in zip(*shared, strict=True))
-    assert held.may_hold(hi, lo).all()
-    assert sum(int((held.cells > 0).sum()) for held in [held]) == len(shared)
+    held = {r.shard: CuckooFilter(np.frombuffer(bytes(r.cells), np.uint16)) for r in index.filters.collect()}
+    for hi, lo in shared:
+        assert held[(hi & 0xFFFFFFFF) % 8].may_hold(np.array([hi]), np.array([lo])).all()
+    assert sum(int((f.cells > 0).sum()) for f in held.values()) == len(shared)
 
 
 def test_batch_is_judged_against_older_documents(spark):
@@ -96,17 +118,19 @@ def test_batch_is_judged_against_older_documents(spark):
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     hi, lo = rng.integers(-(2**63), 2**63 - 1, (2, 3000))
-    f = CuckooFilter.of(hi.tolist(), lo.tolist())
-    screen = Screen(1, [(0, f.cells.tobytes())])
-    assert screen.may_hold(hi, lo).all()
+    f = CuckooFilter.of(hi, lo)
+    assert f.may_hold(hi, lo).all() and int((f.cells > 0).sum()) == 3000
     others = rng.integers(-(2**63), 2**63 - 1, (2, 20_000))
-    assert screen.may_hold(*others).mean() < 0.005
-    for a, b in zip(hi[:2000].tolist(), lo[:2000].tolist(), strict=True):
-        f.remove(a, b)
-    screen = Screen(1, [(0, f.cells.tobytes())])
-    assert screen.may_hold(hi[2000:], lo[2000:]).all() and screen.may_hold(hi[:2000], lo[:2000]).mean() < 0.01
-    tiny = CuckooFilter.sized(1)
+    assert f.may_hold(*others).mean() < 0.005
+    f.remove(hi[:2000], lo[:2000])
+    assert f.may_hold(hi[2000:], lo[2000:]).all() and f.may_hold(hi[:2000], lo[:2000]).mean() < 0.01
+    assert int((f.cells > 0).sum()) == 1000
+    tight = CuckooFilter(np.zeros(4 * 1024, np.uint16))
+    tight.add(hi[:2900], lo[:2900])
+    tight.add(hi[2900:], lo[2900:])
+    assert tight.may_hold(hi, lo).all()
     with pytest.raises(Full):
-        for a in range(100):
-            tiny.add(a << 50, a)
+        CuckooFilter.sized(1).add(np.arange(100) << 50, np.arange(100))
+    with pytest.raises(KeyError):
+        CuckooFilter.sized(9).remove(hi[:1], lo[:1])
     assert linededup.SHARED == 2
