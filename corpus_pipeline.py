@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontam, langid, linededup, packing, simhash
-from ledgerlens.llm.common import stored
+from ledgerlens.llm.common import drop_tables, fresh, recorded, stored
 from ledgerlens.llm.queries import language_model, tokenizer_path
 
 
@@ -26,12 +26,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays, ids of null counting as largest; of repeated rows, one stays."""
-    own = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(linededup.LAST_ID)).alias("i"), F.xxhash64("text").alias("h"))
-    groups = simhash.near_duplicates(docs.select(own.alias("own"), "text"), "own", "text")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id.i").alias("_i"), F.col("doc_id.h").alias("_h")).distinct()
-    keyed = docs.withColumns({"_i": own["i"], "_h": own["h"]}).join(kept, ["_i", "_h"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_i", "_h").orderBy("lang", "source"))
-    return keyed.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    names = [fresh(x, docs) for x in ("_none", "_id", "_hash")]
+    keys = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.xxhash64("text")]
+    groups = simhash.near_duplicates(docs.select(F.struct(*(k.alias(n) for k, n in zip(keys, names, strict=True))).alias("own"), "text"), "own", "text")
+    kept = groups.where("doc_id = component_id").select(*(F.col(f"doc_id.{n}").alias(n) for n in names)).distinct()
+    keyed = docs.withColumns(dict(zip(names, keys, strict=True))).join(kept, names, "left_semi")
+    number = fresh("_number", keyed)
+    first = F.row_number().over(Window.partitionBy(*names).orderBy("lang", "source"))
+    return keyed.withColumn(number, first).where(F.col(number) == 1).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's output written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each one's output written and read again; what a stage has read and its own scratch tables go once its output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with recorded() as made:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_tables(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
