@@ -1,5 +1,7 @@
-"""What the corpus operators share: scratch tables, Arrow helpers and components.
+"""What the corpus operators share: kept and scratch tables, Arrow helpers, joins on hot keys and components.
 
+A table that is read more than once within an operator is kept on the executors' disks; what a lost
+executor kept is computed again from its lineage, which is short. Where lineage and plans would grow, a scratch table ends them.
 Scratch tables go to the folder named by ``spark.checkpoint.dir``, which every
 executor sees. Only a local session without that setting (a test) gets a local folder.
 """
@@ -15,12 +17,14 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCRATCH = "ledgerlens-scratch"
 _APPS: set[str] = set()
 _RECORDS = threading.local()
+_KEPT: list[DataFrame] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +55,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Keeps a table on the executors' disks, as it is first read, to be read again; nothing is written to the shared folder, and lineage stays.
+
+    It stays until ``drop_scratch`` or the end of the application. Each call's table is its own, so that none is taken for an older one over files that have changed.
+    """
+    df = df.where(F.lit(uuid.uuid4().hex).isNotNull()).persist(StorageLevel.DISK_ONLY)
+    _KEPT.append(df)
+    for made in getattr(_RECORDS, "open", ()):
+        made.append(df)
+    return df
+
+
 def _scratch(spark: SparkSession) -> str:
     """This application's own folder, which goes with its driver."""
     app = spark.sparkContext.applicationId
@@ -61,9 +77,9 @@ def _scratch(spark: SparkSession) -> str:
 
 
 @contextmanager
-def recorded() -> Iterator[list[str]]:
-    """Lists the scratch tables that this thread stores meanwhile, so that the caller can drop those it doesn't need."""
-    made: list[str] = []
+def recorded() -> Iterator[list[str | DataFrame]]:
+    """Lists the scratch tables (their paths) and kept tables that this thread makes meanwhile, so that the caller can drop those it doesn't need."""
+    made: list[str | DataFrame] = []
     _RECORDS.open = [*getattr(_RECORDS, "open", ()), made]
     try:
         yield made
@@ -71,18 +87,23 @@ def recorded() -> Iterator[list[str]]:
         _RECORDS.open = [x for x in _RECORDS.open if x is not made]
 
 
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes scratch tables that no plan still reads."""
+def drop_tables(spark: SparkSession, tables: list[str | DataFrame]) -> None:
+    """Deletes scratch tables and lets kept tables go; a plan that still reads a kept one computes it again."""
     context = spark.sparkContext
-    for name in paths:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    for table in tables:
+        if isinstance(table, str):
+            path = context._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            table.unpersist()
+            _KEPT[:] = [t for t in _KEPT if t is not table]
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables; call it when no result is still to be read."""
+    """Deletes this application's scratch tables and lets go what it kept; call it when no result is still to be read."""
     if spark.sparkContext._jsc is not None:
-        drop_tables(spark, [_scratch(spark)])
+        drop_tables(spark, [_scratch(spark), *_KEPT])
+    _KEPT.clear()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -179,18 +200,19 @@ def connected_components(edges: DataFrame, name: str = "components", most: int =
     Returns (node, component), the component being its smallest node, for every node
     that has an edge to another. Alternates large-star and small-star steps, which end in stars after a
     number of rounds that is logarithmic in practice; if they haven't after ``most`` rounds, it raises. Each round is written to the
-    shared folder; nothing but two numbers comes to the driver. Neighbours of a node with very many of
+    shared folder, which ends lineage; no edges come to the driver. Neighbours of a node with very many of
     them are dealt to several tasks.
     """
-    edges = stored(_canonical(edges), f"{name}-edges")
-    before = None
+    edges, before = stored(_canonical(edges), f"{name}-edges"), None
     for turn in range(most):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now
-        large = stored(_large_star(edges, now[0]), f"{name}-large-{turn}")
-        edges = stored(_canonical(_small_star(large, 2 * now[0])), f"{name}-{turn}")
+        with recorded() as made:
+            large = kept(_large_star(edges, now[0]))
+            edges = stored(_canonical(_small_star(large, 2 * now[0])), f"{name}-{turn}")
+        drop_tables(edges.sparkSession, made[:-1])
     else:
         raise RuntimeError(f"components haven't settled after {most} rounds")
     stars = edges.select(F.col("a").alias("component"), F.col("b").alias("node"))

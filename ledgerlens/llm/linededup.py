@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import _arrow_schema, dealt, fresh, partitions, spread_join, stored
+from ledgerlens.llm.common import _arrow_schema, dealt, fresh, kept, partitions, spread_join, stored
 
 SHARED, LEAST, BLANK = 2, 10, b" \t\n\r\x0b\x0c"
 
@@ -242,18 +242,20 @@ class LineIndex:
         """Takes documents out again, given with the texts they were inserted with. It is an error to delete what isn't there."""
         return self._changed(line_keys(docs.withColumn(fresh("_id", docs), F.lit(0)), fresh("_id", docs), text_col), -1)
 
-    def _changed(self, keys: DataFrame, sign: int) -> LineIndex:
+    def _changed(self, keys: DataFrame, sign: int, lasting: bool = True) -> LineIndex:
+        """``lasting`` tables end lineage, which would grow with each change of an index; one query's own index is part of its plan."""
+        put = stored if lasting else lambda df, _: df
         new = keys.groupBy("hi", "lo").agg((F.lit(sign) * F.count("*")).alias("delta")).select(_shard(self.shards), "hi", "lo", F.lit(0).cast("bigint").alias("old"), "delta")
         both = self.counts.select("shard", "hi", "lo", F.col("n").alias("old"), F.lit(0).cast("bigint").alias("delta")).union(new)
         summed = both.groupBy("shard", "hi", "lo").agg(F.sum("old").alias("old"), F.sum(F.col("old") + F.col("delta")).alias("n"))
         checked = F.when(F.col("n") >= 0, F.col("n")).otherwise(F.raise_error(F.lit("a document was deleted that the index doesn't hold")))
-        exact = stored(summed.select("shard", "hi", "lo", "old", checked.alias("n")), "line-counts")
+        exact = put(summed.select("shard", "hi", "lo", "old", checked.alias("n")), "line-counts")
         change = (F.col("n") >= SHARED).cast("int") - (F.col("old") >= SHARED).cast("int")
         moved = exact.where((F.col("n") >= SHARED) | (F.col("old") >= SHARED)).select("shard", F.lit(None).cast("binary").alias("cells"), "hi", "lo", change.alias("change"))
         nothing = F.lit(0).cast("bigint")
         rows = moved.union(self.filters.select("shard", "cells", nothing, nothing, F.lit(0)))
         rows = rows.repartition(min(self.shards, partitions(keys.sparkSession)), "shard").sortWithinPartitions("shard", F.col("cells").isNull())
-        return LineIndex(exact.where("n > 0").select("shard", "hi", "lo", "n"), stored(rows.mapInArrow(_changed_filters, _FILTERS), "line-filters"), self.shards)
+        return LineIndex(exact.where("n > 0").select("shard", "hi", "lo", "n"), put(rows.mapInArrow(_changed_filters, _FILTERS), "line-filters"), self.shards)
 
     def _lost(self, keys: DataFrame, batch: bool) -> DataFrame:
         """(doc_id, hi, lo) of ``keys`` to be lost; rows of one id may repeat."""
@@ -269,8 +271,8 @@ class LineIndex:
         first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("m"))
         shared = self.counts.where(F.col("n") >= SHARED).select("hi", "lo", F.col("n").alias("_n"))
         before = F.col("_n") > F.col("m") if batch else F.lit(False)
-        exact = stored(first.join(shared, ["hi", "lo"]).where(before | (F.col("first") < F.col("last"))).select("hi", "lo", "first", before.alias("before"), F.col("m").alias("n")), "line-shared")
-        joined = spread_join(found, exact.drop("n"), ["hi", "lo"], sizes=exact.select("hi", "lo", "n"))
+        exact = first.join(shared, ["hi", "lo"]).where(before | (F.col("first") < F.col("last"))).select("hi", "lo", "first", before.alias("before"))
+        joined = spread_join(found, exact, ["hi", "lo"])
         return joined.where(F.col("before") | (place > F.col("first"))).select("doc_id", "hi", "lo")
 
     def duplicates(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: bool = False) -> DataFrame:
@@ -279,7 +281,7 @@ class LineIndex:
         If ``docs`` are a ``batch``, the last documents inserted, all others in the index come before them: a key that
         one of those holds goes from the whole batch. Only the batch is read for it, since the counts tell whether others hold a key.
         """
-        return self._lost(stored(line_keys(docs, id_col, text_col), "line-keys"), batch).distinct()
+        return self._lost(kept(line_keys(docs, id_col, text_col)), batch).distinct()
 
 
 def without_lines(raw: bytes, gone: set[bytes]) -> tuple[bytes, int, int]:
@@ -306,8 +308,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``batch``, those inserted last, judged against all before them (see ``LineIndex.duplicates``). Rows of one id count as one document; rows without an id
     together come after all others. Null and empty texts are one empty line.
     """
-    keys = stored(line_keys(docs, id_col, text_col), "line-keys")
-    index = index or LineIndex.empty(docs.sparkSession)._changed(keys, 1)
+    keys = kept(line_keys(docs, id_col, text_col))
+    index = index or LineIndex.empty(docs.sparkSession)._changed(keys, 1, lasting=False)
     own = fresh("_line_id", docs)
     lost = index._lost(keys, batch).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("hi", "lo")).alias(gone_col))
     return docs.join(lost, docs[id_col].cast("bigint").eqNullSafe(lost[own]), "left").select(*(docs[c] for c in docs.columns), gone_col)

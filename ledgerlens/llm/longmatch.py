@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import _arrow_schema, arrow_rows, partitions, spread_join, stored
+from ledgerlens.llm.common import _arrow_schema, arrow_rows, kept, partitions, spread_join, stored
 
 LENGTH, GRAM = 400, 32
 WINDOW = LENGTH - GRAM + 1
@@ -310,50 +311,45 @@ def _parted(rows: DataFrame, size: int) -> DataFrame:
     return arrow_rows(rows, part, _ROW, rows=64)
 
 
-def _repeats(rows: DataFrame, crowd: int) -> DataFrame:
-    """(a, ctx, left, right, first, beyond) for the rows of mixed grams, several for some contexts."""
-    parts = partitions(rows.sparkSession)
-    names = rows.columns
-    found = None
+def _repeats(rows: DataFrame, groups: DataFrame, crowd: int) -> DataFrame:
+    """(a, ctx, left, right, first, beyond) for the rows of mixed grams, several for some contexts; ``groups`` has the ``rows`` and occurrences ``n`` of each (a, sub)."""
+    parts, names, found = partitions(rows.sparkSession), rows.columns, []
     for size in (PART, 1):
-        groups = stored(rows.groupBy("a", "sub").agg(F.count("*").alias("rows"), F.sum("n").alias("n")), "passage-groups")
-        crowded = stored(groups.where((F.col("rows") > crowd) & (F.col("n") > 1)).select("a", "sub", "rows"), "passage-crowded")
-        if crowded.isEmpty():
-            crowded = None
-            few = rows
-        else:
-            few = spread_join(rows, crowded.withColumnRenamed("rows", "_rows"), ["a", "sub"], "left").where("_rows IS NULL").select(*names)
-        some = few.repartition(parts, "a", "sub").sortWithinPartitions("a", "sub", "ctx", "left", "right", "low").mapInArrow(_indexed, _FOUND)
-        found = some if found is None else found.unionByName(some)
-        if crowded is None:
-            return found
-        many = spread_join(rows, crowded.withColumnRenamed("rows", "_rows"), ["a", "sub"]).select(*names)
-        each = stored(_parted(many, size), "passage-parts")
-        shared = each.groupBy("a", "sub").agg(F.sum("n").alias("_n")).where("_n > 1")
-        rows = stored(spread_join(each, shared, ["a", "sub"]).select(*names), "passage-shared")
-    # All rows of a part of one window are equal: it is a run of at least two.
-    single = rows.select(*_CONTEXT, F.array(-F.col("low")).alias("first"), F.array(1 - F.col("low")).alias("beyond"))
-    return found.unionByName(single)
+        crowded = groups.where((F.col("rows") > crowd) & (F.col("n") > 1)).select("a", "sub", F.col("rows").alias("_rows"))
+        many = not crowded.isEmpty()
+        if many:
+            rows, crowded = stored(rows, "passage-rows"), stored(crowded, "passage-crowded")
+        few = spread_join(rows, crowded, ["a", "sub"], "left").where("_rows IS NULL").select(*names) if many else rows
+        found.append(few.repartition(parts, "a", "sub").sortWithinPartitions("a", "sub", "ctx", "left", "right", "low").mapInArrow(_indexed, _FOUND))
+        if not many:
+            break
+        each = stored(_parted(spread_join(rows, crowded, ["a", "sub"]).select(*names), size), "passage-parts")
+        groups = kept(each.groupBy("a", "sub").agg(F.count("*").alias("rows"), F.sum("n").alias("n")))
+        shared = groups.where("n > 1").select("a", "sub", F.col("rows").alias("_rows"))
+        rows = spread_join(each, shared, ["a", "sub"], sizes=groups.select("a", "sub", F.col("rows").alias("n"))).select(*names)
+    else:
+        # All rows of a part of one window are equal: it is a run of at least two.
+        found.append(rows.select(*_CONTEXT, F.array(-F.col("low")).alias("first"), F.array(1 - F.col("low")).alias("beyond")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """(t1, t2, row, spans array<struct<begin, end>>): byte ranges to remove from the texts with that key, not merged; ``row`` is one row that has the text."""
     keyed = _keyed(docs, id_col, text_col).where(F.octet_length("raw") >= LENGTH)
-    every = stored(text_anchors(keyed), "passage-anchors")
+    every = kept(text_anchors(keyed))
     kind = F.struct("ctx", "left", "right")
-    grams = stored(every.groupBy("a").agg(F.count("*").alias("n"), (F.min(kind) != F.max(kind)).alias("mixed")).where("n > 1"), "passage-grams")
+    grams = kept(every.groupBy("a").agg(F.count("*").alias("n"), (F.min(kind) != F.max(kind)).alias("mixed")).where("n > 1"))
     total = every.count()
     place = ["t1", "t2", "at", *_CONTEXT]
     held = spread_join(every, grams.select("a", "mixed"), ["a"], sizes=grams.select("a", "n"), total=total)
     # Copies of a text become one here, counted.
     held = stored(held.groupBy(*place, "mixed").agg(F.count("*").alias("n"), F.min("row").alias("row")), "passage-repeats")
     mixed = held.where("mixed")
-    contexts = stored(mixed.groupBy(*_CONTEXT).agg(F.sum("n").alias("n"), F.min(F.struct("row", "t1", "t2", "at")).alias("one")), "passage-contexts")
+    contexts = kept(mixed.groupBy(*_CONTEXT).agg(F.sum("n").alias("n"), F.min(F.struct("row", "t1", "t2", "at")).alias("one")))
     wanted = contexts.groupBy("one.row", "one.t1", "one.t2").agg(F.collect_list(F.struct(F.col("one.at").alias("at"), *_CONTEXT, "n")).alias("places"))
     fetched = keyed.select("row", "t1", "t2", "raw").join(wanted, ["row", "t1", "t2"]).select("raw", "places")
-    rows = stored(_cut(fetched), "passage-rows")
-    found = _repeats(rows, crowd).groupBy(*_CONTEXT).agg(F.flatten(F.collect_list(F.arrays_zip("first", "beyond"))).alias("runs"))
-    found = stored(found, "passage-found")
+    sizes = contexts.groupBy("a").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).withColumn("sub", F.lit(0).cast("bigint"))
+    found = _repeats(_cut(fetched), sizes, crowd).groupBy(*_CONTEXT).agg(F.flatten(F.collect_list(F.arrays_zip("first", "beyond"))).alias("runs"))
     singles = spread_join(mixed, found, _CONTEXT, sizes=contexts.select(*_CONTEXT, "n"), total=total)
     runs = singles.select("t1", "t2", "row", "at", F.explode("runs").alias("r"))
     span = lambda begin, end: F.struct(begin.alias("begin"), end.alias("end")).alias("span")
@@ -407,7 +403,7 @@ def _kept(keyed: DataFrame, found: DataFrame, schema: str, row) -> DataFrame:
 
     joined = keyed.where(F.octet_length("raw") >= LENGTH).select("row", "t1", "t2", "raw").join(found, ["row", "t1", "t2"]).select("t1", "t2", "raw", "spans")
     # Rows that repeat, id and all, give the same row more than once.
-    return stored(joined.mapInArrow(run, f"t1 bigint, t2 bigint, {schema}"), "passage-kept").dropDuplicates(["t1", "t2"])
+    return joined.mapInArrow(run, f"t1 bigint, t2 bigint, {schema}").dropDuplicates(["t1", "t2"])
 
 
 def passage_digests(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -417,7 +413,7 @@ def passage_digests(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     a null text is empty. Texts are read piece by piece, so a very long one costs no more than some times its own size.
     """
     keyed = _keyed(docs, "doc_id", "text")
-    rows = stored(keyed.select("doc_id", "t1", "t2", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.sha2("raw", 256).alias("all_sha256")), "passage-documents")
+    rows = keyed.select("doc_id", "t1", "t2", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.sha2("raw", 256).alias("all_sha256"))
 
     def digest(raw: np.ndarray, gone: np.ndarray) -> tuple:
         return int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(raw[~gone]).hexdigest()

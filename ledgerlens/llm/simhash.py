@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import arrow_rows, connected_components, partitions, stored
+from ledgerlens.llm.common import arrow_rows, connected_components, kept, partitions, spread_join, stored
 
 SHINGLE, SEED, DISTANCE, BLOCKS = 3, 42, 2, 4
 
@@ -90,10 +90,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint, thus a group. ``component_id`` is the group's smallest non-null id. An
     empty table gives an empty result.
     """
-    fps = stored(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    fps = kept(fingerprints(docs, id_col, text_col))
+    classes = kept(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(close_pairs(classes.select("fp"), bucket), "simhash").withColumnRenamed("node", "fp")
     named = classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     groups = named.join(least, "component").select("fp", "component_id")
-    return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(fps, groups, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
