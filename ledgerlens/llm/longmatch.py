@@ -26,7 +26,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -246,7 +245,7 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[::2].tolist(), edges[1::2].tolist()
 
 
-_ROW = "a bigint, sub bigint, ctx bigint, left int, right int, low int, high int, n bigint, raw binary"
+_ROW = "a bigint, sub bigint, ctx bigint, left int, right int, low int, high int, n bigint, many boolean, raw binary"
 _FOUND = "a bigint, ctx bigint, left int, right int, first array<int>, beyond array<int>"
 
 
@@ -293,44 +292,62 @@ def _indexed(batches: Iterator[pa.RecordBatch], most: int = 2_048) -> Iterator[p
         yield flush(pa.Table.from_batches(held))
 
 
-def _parted(rows: DataFrame, size: int) -> DataFrame:
-    """Rows cut to ``size`` consecutive windows of the gram's grid each; ``sub`` is a hash of the part and the bytes that all its windows share."""
+_SLICE = ["a", "sub", "slice", "low", "high"]
 
-    def part(a: list, _sub: list, ctx: list, left: list, right: list, low: list, high: list, n: list, raw: list) -> dict[str, list]:
+
+def _slices(rows: DataFrame, size: int) -> DataFrame:
+    """(a, sub, slice, low, high, ctx, left, right, n): rows cut to ``size`` consecutive windows of the gram's grid each, without their bytes.
+
+    ``sub`` is a hash of the part and the bytes that all its windows share, ``slice`` one of all its bytes.
+    """
+
+    def cut(a: list, ctx: list, left: list, right: list, low: list, high: list, n: list, raw: list) -> dict[str, list]:
         out = []
-        for *key, lo, hi, w, t in zip(a, ctx, left, right, low, high, n, raw, strict=True):
+        for g, c, le, ri, lo, hi, w, t in zip(a, ctx, left, right, low, high, n, raw, strict=True):
             begin, last = ANCHOR - lo, ANCHOR - hi  # first and last window start, as columns
             for p in range(begin // size, last // size + 1):
                 b, e = max(begin, p * size), min(last, p * size + size - 1)
                 core = t[p * size + size - 1 - begin : p * size + LENGTH - begin]
-                sub = xxhash.xxh3_64_intdigest(core, seed=p)
-                out.append((key[0], sub - (sub >> 63 << 64), *key[1:], ANCHOR - b, ANCHOR - e, w, t[b - begin : e - begin + LENGTH]))
-        names = [c.split()[0] for c in _ROW.split(", ")]
+                sub, whole = xxhash.xxh3_64_intdigest(core, seed=p), xxhash.xxh3_64_intdigest(t[b - begin : e - begin + LENGTH], seed=p)
+                out.append((g, sub - (sub >> 63 << 64), whole - (whole >> 63 << 64), ANCHOR - b, ANCHOR - e, c, le, ri, w))
+        names = [*_SLICE, "ctx", "left", "right", "n"]
         return dict(zip(names, map(list, zip(*out, strict=True)) if out else [[]] * len(names), strict=True))
 
-    return arrow_rows(rows, part, _ROW, rows=64)
-
-
-def _repeats(rows: DataFrame, groups: DataFrame, crowd: int) -> DataFrame:
-    """(a, ctx, left, right, first, beyond) for the rows of mixed grams, several for some contexts; ``groups`` has the ``rows`` and occurrences ``n`` of each (a, sub)."""
-    parts, names, found = partitions(rows.sparkSession), rows.columns, []
-    for size in (PART, 1):
-        crowded = groups.where((F.col("rows") > crowd) & (F.col("n") > 1)).select("a", "sub", F.col("rows").alias("_rows"))
-        many = not crowded.isEmpty()
-        if many:
-            rows, crowded = stored(rows, "passage-rows"), stored(crowded, "passage-crowded")
-        few = spread_join(rows, crowded, ["a", "sub"], "left").where("_rows IS NULL").select(*names) if many else rows
-        found.append(few.repartition(parts, "a", "sub").sortWithinPartitions("a", "sub", "ctx", "left", "right", "low").mapInArrow(_indexed, _FOUND))
-        if not many:
-            break
-        each = stored(_parted(spread_join(rows, crowded, ["a", "sub"]).select(*names), size), "passage-parts")
-        groups = kept(each.groupBy("a", "sub").agg(F.count("*").alias("rows"), F.sum("n").alias("n")))
-        shared = groups.where("n > 1").select("a", "sub", F.col("rows").alias("_rows"))
-        rows = spread_join(each, shared, ["a", "sub"], sizes=groups.select("a", "sub", F.col("rows").alias("n"))).select(*names)
-    else:
-        # All rows of a part of one window are equal: it is a run of at least two.
-        found.append(rows.select(*_CONTEXT, F.array(-F.col("low")).alias("first"), F.array(1 - F.col("low")).alias("beyond")))
-    return reduce(DataFrame.unionByName, found)
+    given = rows.select("a", "ctx", "left", "right", "low", "high", "n", "raw")
+    return arrow_rows(given, cut, "a bigint, sub bigint, slice bigint, low int, high int, ctx bigint, left int, right int, n bigint", rows=64)
+
+
+def _index(rows: DataFrame) -> DataFrame:
+    """The repeated windows of rows by (a, sub), each such group being a task's at once."""
+    return rows.repartition(partitions(rows.sparkSession), "a", "sub").sortWithinPartitions("a", "sub", "ctx", "left", "right", "low").mapInArrow(_indexed, _FOUND)
+
+
+def _parted(rows: DataFrame, crowd: int) -> DataFrame:
+    """As ``_index``, for rows of grams with more than ``crowd`` contexts each.
+
+    Slices that are equal become one, counted, before they are sorted; only those whose core occurs more than once are fetched.
+    """
+    each = stored(_slices(rows, PART), "passage-slices")
+    slices = kept(each.groupBy(*_SLICE).agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("ctx", "left", "right")).alias("one")))
+    cores = kept(slices.groupBy("a", "sub").agg(F.count("*").alias("slices"), F.sum("n").alias("all")).where(F.col("all") > 1))
+    told = spread_join(slices, cores, ["a", "sub"], sizes=cores.select("a", "sub", F.col("slices").alias("n")))
+    # One row of each slice has the bytes.
+    some = told.where(F.col("slices") <= crowd).select("a", "sub", "slice", "low", "high", "n", F.col("one.ctx").alias("ctx"), F.col("one.left").alias("left"), F.col("one.right").alias("right"))
+    raw = some.join(rows.select(*_CONTEXT, F.col("low").alias("_low"), "raw").dropDuplicates(_CONTEXT), _CONTEXT)
+    cut = raw.select("a", "sub", F.col("slice").alias("ctx"), F.col("low").alias("left"), F.col("high").alias("right"), "low", "high", "n", F.expr(f"substring(raw, _low - low + 1, low - high + {LENGTH})").alias("raw"))
+    hits = _index(cut).select("a", F.col("ctx").alias("slice"), F.col("left").alias("low"), F.col("right").alias("high"), "first", "beyond")
+    back = spread_join(each, hits, ["a", "slice", "low", "high"], sizes=slices.select("a", "slice", "low", "high", F.col("rows").alias("n"))).select(*_CONTEXT, "first", "beyond")
+    crowded = cores.where(F.col("slices") > crowd).select("a", "sub")
+    if crowded.isEmpty():
+        return back
+    # A window by itself is its own core: all rows of one are equal.
+    wide = spread_join(each, crowded, ["a", "sub"], sizes=cores.select("a", "sub", F.col("all").alias("n"))).select("a", "low", "high", "ctx", "left", "right", "n")
+    whole = wide.join(rows.select(*_CONTEXT, F.col("low").alias("_low"), "raw").dropDuplicates(_CONTEXT), _CONTEXT)
+    cut = whole.withColumn("raw", F.expr(f"substring(raw, _low - low + 1, low - high + {LENGTH})"))
+    windows = stored(_slices(cut, 1), "passage-windows")
+    twice = kept(windows.groupBy(*_SLICE).agg(F.sum("n").alias("n")).where("n > 1"))
+    single = spread_join(windows, twice.drop("n"), _SLICE, sizes=twice)
+    return back.unionByName(single.select(*_CONTEXT, F.array(-F.col("low")).alias("first"), F.array(1 - F.col("low")).alias("beyond")))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -346,10 +363,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = stored(held.groupBy(*place, "mixed").agg(F.count("*").alias("n"), F.min("row").alias("row")), "passage-repeats")
     mixed = held.where("mixed")
     contexts = kept(mixed.groupBy(*_CONTEXT).agg(F.sum("n").alias("n"), F.min(F.struct("row", "t1", "t2", "at")).alias("one")))
-    wanted = contexts.groupBy("one.row", "one.t1", "one.t2").agg(F.collect_list(F.struct(F.col("one.at").alias("at"), *_CONTEXT, "n")).alias("places"))
-    fetched = keyed.select("row", "t1", "t2", "raw").join(wanted, ["row", "t1", "t2"]).select("raw", "places")
-    sizes = contexts.groupBy("a").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).withColumn("sub", F.lit(0).cast("bigint"))
-    found = _repeats(_cut(fetched), sizes, crowd).groupBy(*_CONTEXT).agg(F.flatten(F.collect_list(F.arrays_zip("first", "beyond"))).alias("runs"))
+    crowded = contexts.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    crowds = not crowded.isEmpty()
+    if crowds:
+        crowded = kept(crowded)
+        flagged = spread_join(contexts, crowded.select("a", F.lit(True).alias("many")), ["a"], "left", sizes=crowded, total=total)
+    else:
+        flagged = contexts.withColumn("many", F.lit(None).cast("boolean"))
+    wanted = flagged.groupBy("one.row", "one.t1", "one.t2").agg(F.collect_list(F.struct(F.col("one.at").alias("at"), *_CONTEXT, "n", "many")).alias("places"))
+    rows = stored(_cut(keyed.select("row", "t1", "t2", "raw").join(wanted, ["row", "t1", "t2"]).select("raw", "places")), "passage-rows")
+    found = _index(rows.where("many IS NULL"))
+    if crowds:
+        found = found.unionByName(_parted(rows.where("many"), crowd))
+    found = found.groupBy(*_CONTEXT).agg(F.flatten(F.collect_list(F.arrays_zip("first", "beyond"))).alias("runs"))
     singles = spread_join(mixed, found, _CONTEXT, sizes=contexts.select(*_CONTEXT, "n"), total=total)
     runs = singles.select("t1", "t2", "row", "at", F.explode("runs").alias("r"))
     span = lambda begin, end: F.struct(begin.alias("begin"), end.alias("end")).alias("span")
@@ -371,7 +397,7 @@ def _cut(fetched: DataFrame) -> DataFrame:
                     part = places.slice(some, 4_096)
                     begins, ends = (at - left)[some : some + 4_096].tolist(), (at - right)[some : some + 4_096].tolist()
                     texts = pa.array([raw[b : e + LENGTH] for b, e in zip(begins, ends, strict=True)], pa.binary())
-                    columns = {c: part.field(c) for c in (*_CONTEXT, "n")} | {"sub": pa.array(np.zeros(len(texts), np.int64)), "low": part.field("left"), "high": part.field("right"), "raw": texts}
+                    columns = {c: part.field(c) for c in (*_CONTEXT, "n", "many")} | {"sub": pa.array(np.zeros(len(texts), np.int64)), "low": part.field("left"), "high": part.field("right"), "raw": texts}
                     yield pa.RecordBatch.from_arrays([columns[f.name] for f in arrow], schema=arrow)
 
     return fetched.mapInArrow(run, _ROW)
