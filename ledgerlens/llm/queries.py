@@ -93,7 +93,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_page_text": op10_page_text,
 }
 
+#: A-Z in lower case, nothing else, in DuckDB.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        each AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM docs),
+        keyed AS (SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM each),
+        held AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+        judged AS (SELECT r, k.doc_id, line, place, h.key IS NULL OR k.doc_id = h.first AS stays FROM keyed k LEFT JOIN held h ON k.key = h.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '')) AS kept_sha256
+        FROM judged GROUP BY r, doc_id
+    """,
+    "op3_decontamination": f"""
+        WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_SQL_WORDS} AS w FROM benchmark),
+        sized AS (SELECT item, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
+        placed AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS place FROM sized),
+        grams AS (SELECT DISTINCT item, n, array_to_string(w[place : place + n - 1], ' ') AS gram FROM placed),
+        docs AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+        spots AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS place FROM docs, (SELECT DISTINCT n FROM grams) WHERE len(w) >= n),
+        hits AS (SELECT r, place, n, item FROM (SELECT r, place, n, array_to_string(w[place : place + n - 1], ' ') AS gram FROM spots) JOIN grams USING (n, gram)),
+        words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(place, place + n)) AS p FROM (SELECT DISTINCT r, place, n FROM hits)) GROUP BY r),
+        found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+    """,
     "op4_chat_format": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
