@@ -15,6 +15,9 @@ PASS = [
     "SELECT * FROM companies c JOIN LATERAL (SELECT * FROM risk_factors r WHERE r.company_id = c.id) t",
     "(SELECT id FROM companies) UNION (SELECT company_id FROM segment_revenue)",
     "SELECT 1",
+    "SELECT * FROM companies WHERE EXISTS (SELECT 1 FROM risk_factors) AND id > (SELECT max(id) FROM segment_revenue)",
+    "WITH a AS (SELECT * FROM companies), b AS (SELECT * FROM a) SELECT * FROM b UNION ALL SELECT * FROM a",
+    "VALUES (1)",
 ]
 FAIL = {
     "DELETE FROM companies": guard.NOT_READ_ONLY,
@@ -25,6 +28,14 @@ FAIL = {
     "WITH x AS (SELECT * FROM hidden) SELECT * FROM x": "hidden",
     "SELECT (SELECT max(k) FROM other) FROM companies": "other",
     "CREATE TABLE t AS SELECT * FROM companies": guard.NOT_READ_ONLY,
+    "SELECT * FROM companies WHERE EXISTS (SELECT 1 FROM hidden)": "hidden",
+    "SELECT CASE WHEN id IN (SELECT k FROM hidden) THEN 1 END FROM companies": "hidden",
+    "SELECT * FROM companies ORDER BY (SELECT max(k) FROM hidden)": "hidden",
+    "SELECT * FROM companies c JOIN LATERAL (SELECT * FROM hidden h WHERE h.k = c.id) t": "hidden",
+    "WITH x AS (SELECT * FROM y), y AS (SELECT * FROM companies) SELECT * FROM x": "y",
+    "INSERT INTO companies SELECT * FROM companies": guard.NOT_READ_ONLY,
+    "SHOW TABLES": guard.NOT_READ_ONLY,
+    "SET a = 1": guard.NOT_READ_ONLY,
     "": "Empty",
     "   ": "Empty",
 }
@@ -52,6 +63,15 @@ def test_lexical_rules():
     assert guard.limited("SELECT * FROM (SELECT 1 LIMIT 5000) LIMIT 2") == "SELECT * FROM (SELECT 1 LIMIT 1000) LIMIT 1000"
 
 
+def test_tokens_give_the_statement_again():
+    sql = "SELECT 'it''s -- no comment', \"a /* b\" FROM x -- y\n WHERE z = 12.5 /* open"
+    assert "".join(t.text for t in guard.tokens(sql)) == sql
+    assert [t.text for t in guard.tokens(sql) if t.kind in ("literal", "quoted", "comment")] == ["'it''s -- no comment'", '"a /* b"', "-- y", "/* open"]
+    assert guard.normalised("SELECT  'a  b'\n\t, 1 --x\n FROM/**/t ") == "SELECT 'a  b' , 1 FROM t"
+    assert guard.named_tables("SELECT 1 FROM/**/users JOIN a.b.c ON 1 = 1") == {"users", "b"}
+    assert guard.named_tables("SELECT 'FROM x' FROM \"y\" WHERE a IN (SELECT 1 FROM (SELECT 2 FROM z))") == {"z"}
+
+
 def test_columns():
     assert guard.unknown_columns("companies", ["id", "Ticker"]) is None
     assert "password" in guard.unknown_columns("companies", ["password"])
@@ -82,12 +102,12 @@ def test_bounds_are_on_the_plan(tables):
 
 def test_question_to_answer(tables):
     said = ask(tables, "Which company had the highest revenue in 2024?")
-    assert "ticker: AAA" in said and "revenue: $1,500M" in said and "Query used: `SELECT" in said
+    assert "ticker: AAA" in said and "revenue: $1,500M" in said and "Statement: SELECT" in said
     with pytest.raises(ValueError):
         ask(tables, "  ")
-    assert guard.formatted([], "q").startswith("No data found")
+    assert guard.formatted([], "q") == "No rows match.\nStatement: q"
     many = guard.formatted([{"ticker": "A", "revenue": 5, "x": 1}] * 12, "q")
-    assert "Showing first 10 of 12" in many and "10. A | $5M" in many and "11." not in many
+    assert many.startswith("12 rows, of which the first 10:\n1. ticker: A, revenue: $5M\n") and "10. ticker" in many and "11." not in many
 
 
 def test_slow_queries_are_cancelled(spark):
