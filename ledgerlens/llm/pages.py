@@ -1,14 +1,14 @@
 """Main text of web pages by minimum cuts.
 
 A page is read into blocks, the texts between tags that break a line, each with the
-elements around it. A block's evidence is what its elements say (an article, a menu, a class
-named like an advert) and the score of a logistic model of its shape, which is
-trained on blocks that elements label clearly. Evidence for the text is the capacity
-from the source, evidence against it the capacity to the sink. Neighbouring blocks, and the
+elements around it. A logistic model scores each block by features of its shape and place and by what its elements say (an article, a menu, a class
+named like an advert). It is fitted around a prior, on blocks that elements label clearly, each of them taken twice:
+with what its elements say and without, so that shape alone can tell where elements say nothing. Its log odds are the terminal capacities:
+odds for the text from the source, odds against it to the sink. Neighbouring blocks, and the
 nearest blocks of a common parent, are joined by edges that cost something to cut. The minimum
 cut, found by augmenting paths, leaves on the source's side the blocks to keep.
 
-A block whose evidence outweighs all of its edges is on the side of its evidence in any
+A block whose odds outweigh all of its edges is on the side of its odds in any
 minimum cut; such blocks are settled first, and few graphs are left to search.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass
 from html import unescape
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import arrow_rows
 
 #: Pages the model is fitted on at most: those whose hashes come first.
-SAMPLE_PAGES = 2_000
+SAMPLE_PAGES, SAMPLE_BLOCKS = 2_000, 2_000
 BESIDE, BESIDE_KIN, KIN = 0.5, 1.0, 0.6
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
@@ -53,6 +54,9 @@ _HEAD_WORDS = frozenset("header masthead".split())
 #: Names that say what stands beside or inside an element, not what it is.
 _ELSEWHERE = re.compile(r"(?<![\w-])(?:has|with|without|no)[-_][\w-]*")
 HARD, WORD, SOFT = 9.0, 6.0, 3.0
+#: Features of shape and place, how far their odds go, and the weights that fitting starts from and is drawn to.
+SHAPES, BOUND = 8, 5.0
+PRIOR = np.array([0.0] * SHAPES + [HARD, -HARD])
 
 
 @dataclass(slots=True)
@@ -250,36 +254,46 @@ def blocks_of(html: str | None) -> list[Block]:
     return out
 
 
-def shape(blocks: list[Block]) -> np.ndarray:
-    """One row of numbers for each block, of its shape and place alone."""
+def features(blocks: list[Block]) -> np.ndarray:
+    """One row of numbers for each block: its shape and place, then what its elements say for it and against it."""
     n = len(blocks)
-    out = np.empty((n, 8))
+    out = np.empty((n, SHAPES + 2))
     for i, b in enumerate(blocks):
         size, words = len(b.text), b.text.count(" ") + 1
-        out[i] = (1.0, np.log1p(size) / 5, min(b.links / size, 1.0), words > 8, b.text[-1] in ".!?…", min(b.text.count(",") / words, 0.5), b.heading, abs(2 * i - n + 1) / n)
+        shape = (1.0, np.log1p(size) / 5, min(b.links / size, 1.0), words > 8, b.text[-1] in ".!?…", min(b.text.count(",") / words, 0.5), b.heading, abs(2 * i - n + 1) / n)
+        out[i] = (*shape, max(b.evidence, 0.0) / HARD, max(-b.evidence, 0.0) / HARD)
     return out
 
 
-def fit(pages: list[str | None], rounds: int = 300) -> np.ndarray:
-    """Weights of the logistic model, from the blocks whose elements are clear about them."""
+def fit(pages: Iterable[str | None], rounds: int = 300) -> np.ndarray:
+    """Weights of the logistic model, from the blocks whose elements are clear about them; at most ``SAMPLE_BLOCKS`` blocks of a page count."""
     rows, labels = [], []
     for page in pages:
-        blocks = blocks_of(page)
-        if blocks:
-            x = shape(blocks)
-            sure = [i for i, b in enumerate(blocks) if b.evidence <= -WORD or b.evidence >= HARD / 2]
-            rows.append(x[sure])
+        blocks = blocks_of(page)[:SAMPLE_BLOCKS]
+        sure = [i for i, b in enumerate(blocks) if b.evidence <= -WORD or b.evidence >= HARD / 2]
+        if sure:
+            rows.append(features(blocks)[sure].astype(np.float32))
             labels += [blocks[i].evidence > 0 for i in sure]
-    weights = np.zeros(8)
+    weights = PRIOR.copy()
     if labels and 0 < sum(labels) < len(labels):
-        x, y = np.concatenate(rows), np.array(labels, float)
-        share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        said, y = np.concatenate(rows).astype(float), np.array(labels, float)
+        silent = said.copy()
+        silent[:, SHAPES:] = 0.0
+        share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-x @ weights))
-            weights -= 1.0 * (x.T @ (share * (p - y)) / len(y) + 1e-3 * weights)
+            step = 1e-3 * (weights - PRIOR)
+            for x in (said, silent):
+                step += x.T @ (share * (1 / (1 + np.exp(-x @ weights)) - y)) / 2
+            weights -= 2.0 * step
     return weights
 
 
+def odds(blocks: list[Block], weights: np.ndarray) -> list[float]:
+    """Log odds that each block is text; those of its shape and place are bounded."""
+    x = features(blocks)
+    return (np.clip(x[:, :SHAPES] @ weights[:SHAPES], -BOUND, BOUND) + x[:, SHAPES:] @ weights[SHAPES:]).tolist()
+
+
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay with the source in the minimum cut that keeps most of them there."""
     n = len(source)
@@ -339,7 +353,7 @@ def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are main text."""
     if not blocks:
         return []
-    scores = (np.clip(shape(blocks) @ weights, -SOFT, SOFT) + np.array([b.evidence for b in blocks])).tolist()
+    scores = odds(blocks, weights)
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
@@ -364,7 +378,7 @@ def fit_on(pages: DataFrame, key_col: str = "page_id", html_col: str = "html", m
     hashed = pages.select(F.xxhash64(F.col(key_col)).alias("h"), F.col(html_col).alias("html"))
     last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     some = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
-    return fit([r.html for r in some.toLocalIterator()] if last is not None else [])
+    return fit(r.html for r in some.toLocalIterator()) if last is not None else fit([])
 
 
 def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
