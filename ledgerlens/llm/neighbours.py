@@ -1,27 +1,38 @@
 """Approximate nearest neighbours by collision counting.
 
 Vectors are dealt to blocks of bounded size. A block's index has, for each of
-``PROJECTIONS`` random lines, its vectors' places on the line as one sorted array.
+``PROJECTIONS`` lines, its vectors' places on the line as one sorted array, and each vector's rank in it. The lines are random
+rotations of the axes, so that together they lose nothing of a distance, and counts vary less than on independent lines.
 A query opens a window around its own place on each line and widens all of them step
-by step, the same arrays serving every radius (virtual rehashing). A vector that falls into a
+by step, or narrows them where a step was too wide, the same arrays serving every radius (virtual rehashing). A vector whose rank falls into a
 window collides; those that collide on at least ``THRESHOLD`` of the lines are
 verified, that is, their distance is computed. It ends when the windows reach ``REACH`` times the ``k``-th best distance
 found to either side, or hold everything. All vectors of the block are within reach, none is dropped.
 
-Each block finds its own ``k`` best; the best of all blocks are the answer.
+Each block is read once, its vectors first and then all queries, which stream past its index. It finds its own ``k`` best for each
+query; the best of all blocks are the answer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import stored
+from ledgerlens.llm.common import partitions, small_batches, stored
+
+PROJECTIONS, THRESHOLD, REACH, WIDEN, SEED = 128, 0.84, 1.5, 1.4, 7
+BLOCK = 8_192
+
 
-PROJECTIONS, THRESHOLD, REACH, WIDEN, SEED = 96, 0.60, 1.0, 1.3, 7
-BLOCK, CHUNK = 16_384, 1_024
+def lines(dim: int, count: int) -> np.ndarray:
+    """``count`` directions, orthogonal within each ``dim`` of them, as long as random normal ones."""
+    rng = np.random.default_rng(SEED)
+    turns = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-count // dim))]
+    return np.concatenate(turns, axis=1)[:, :count] * np.sqrt(dim)
 
 
 class CollisionIndex:
@@ -29,27 +40,33 @@ class CollisionIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS):
         self.ids, self.vectors = ids, vectors
-        self.lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1], projections))
-        places = vectors @ self.lines
-        self.order = np.argsort(places, axis=0).T.astype(np.int32)
-        self.places = np.take_along_axis(places.T, self.order.astype(np.int64), axis=1)
-        spread = np.sqrt(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1).mean())
-        self.start = max(spread / 3, 1e-12)
+        n = len(ids)
+        self.lines = lines(vectors.shape[1], projections)
+        places = (vectors @ self.lines).T
+        order = np.argsort(places, axis=1)
+        self.ranks = np.empty((projections, n), np.uint16 if n < 1 << 16 else np.uint32)  # room for n itself
+        np.put_along_axis(self.ranks, order, np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
+        self.places = np.take_along_axis(places, order, axis=1)
+        self.start = max(np.sqrt(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1).mean()) / 3, 1e-12)
 
     def search(self, own: int, vector: np.ndarray, k: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and distances of the ``k`` nearest found, ties to smaller ids, without the id ``own``; and how many were verified."""
-        n, m = len(self.ids), len(self.order)
+        m, n = self.ranks.shape
         need, here = int(np.ceil(threshold * m)), vector @ self.lines
-        hits, done = np.zeros(n, np.int32), self.ids == own
-        low = high = np.array([np.searchsorted(p, x) for p, x in zip(self.places, here, strict=True)])
-        found, distance, half = np.zeros(0, np.int64), np.zeros(0), self.start
+        done = self.ids == own
+        found, distance = np.zeros(0, np.int64), np.zeros(0)
+        half, few, many = self.start, 0.0, np.inf  # half a window; the widest known to hold too few, the narrowest to hold very many
         while True:
-            new_low = [np.searchsorted(p, x - half) for p, x in zip(self.places, here, strict=True)]
-            new_high = [np.searchsorted(p, x + half, side="right") for p, x in zip(self.places, here, strict=True)]
-            met = [s for o, a, b, c, d in zip(self.order, new_low, low, high, new_high, strict=True) for s in (o[a:b], o[c:d])]
-            hits += np.bincount(np.concatenate(met), minlength=n).astype(np.int32)
-            low, high = new_low, new_high
-            ripe = np.flatnonzero((hits >= need) & ~done)
+            low = np.fromiter((p.searchsorted(x) for p, x in zip(self.places, here - half, strict=True)), np.int64, m)
+            high = np.fromiter((p.searchsorted(x, "right") for p, x in zip(self.places, here + half, strict=True)), np.int64, m)
+            # Unsigned: ranks below a window wrap around to beyond it.
+            kind = self.ranks.dtype
+            inside = self.ranks - low.astype(kind)[:, None] < (high - low).astype(kind)[:, None]
+            ripe = np.flatnonzero((inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if m < 256 else np.uint32) >= need) & ~done)
+            if len(found) < k and len(ripe) > 4 * k and half > max(1.03 * few, self.start / 1000):
+                many = half
+                half = np.sqrt(few * many) if few else half / 4
+                continue
             if len(ripe):
                 done[ripe] = True
                 found = np.concatenate([found, ripe])
@@ -57,12 +74,12 @@ class CollisionIndex:
                 if len(found) > k:
                     best = np.lexsort((self.ids[found], distance))[:k]
                     found, distance = found[best], distance[best]
-            whole = all(a == 0 and b == n for a, b in zip(low, high, strict=True))
             enough = REACH * distance.max() if len(found) >= k else np.inf
-            if whole or half >= enough:
+            if half >= enough or (low.max() == 0 and high.min() == n):
                 best = np.lexsort((self.ids[found], distance))
                 return self.ids[found[best]], distance[best], int(done.sum())
-            half = min(half * WIDEN, max(enough, half * 1.01))
+            few = half
+            half = enough if len(found) >= k else min(half * WIDEN, np.sqrt(half * many))
 
 
 def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -77,9 +94,8 @@ def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return good.groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -87,28 +103,43 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id"
 
     Vectors that are null, zero, or hold nulls or non-finite numbers take no part. Of rows with one id the
     least vector stands for all. A query isn't its own neighbour; if fewer than ``k`` others are there, all are returned.
-    Only vectors of the query's length are compared with it. Queries meet the blocks in chunks of ``CHUNK``.
+    Only vectors of the query's length are compared with it. Each vector goes to one block, each query to all of them.
     """
+    spark = base.sparkSession
+    small_batches(spark)
     good = stored(_usable(base, id_col, vector_col), "vectors")
     asked = _usable(queries, id_col, vector_col)
-    sizes = good.agg(F.count("*")).first()[0], asked.agg(F.count("*")).first()[0]
-    blocks, chunks = max(1, -(-sizes[0] // BLOCK)), max(1, -(-sizes[1] // CHUNK))
-    numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = good.select("id", "vector", F.size("vector").alias("dim"), part(blocks).alias("block"), F.explode(numbers(chunks)).alias("chunk"))
-    right = asked.select("id", "vector", F.size("vector").alias("dim"), F.explode(numbers(blocks)).alias("block"), part(chunks).alias("chunk"))
-
-    def search(vectors: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if vectors.num_rows and wanted.num_rows:
-            index = CollisionIndex(vectors.column("id").to_numpy(), _matrix(vectors.column("vector")))
-            for own, vector in zip(wanted.column("id").to_pylist(), _matrix(wanted.column("vector")), strict=True):
-                ids, distances, _ = index.search(own, vector, k)
-                out += [(own, i, d) for i, d in zip(ids.tolist(), distances.tolist(), strict=True)]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    keys = ["dim", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+    blocks = max(1, -(-good.count() // BLOCK))
+    dim, kind = F.size("vector").alias("dim"), lambda n: F.lit(n).alias("kind")
+    left = good.select(dim, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), kind(0), F.col("id").cast("bigint").alias("id"), "vector")
+    right = asked.select(dim, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), kind(1), F.col("id").cast("bigint").alias("id"), "vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index = None, None
+        ids: list[np.ndarray] = []
+        vectors: list[np.ndarray] = []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                if at == to:
+                    continue
+                part, key = batch.slice(at, to - at), tuple(keys[at, :2])
+                if key != now:
+                    now, index, ids, vectors = key, None, [], []
+                mine = part.column(3).to_numpy(), _matrix(part.column(4))
+                if keys[at, 2] == 0:
+                    ids.append(mine[0])
+                    vectors.append(mine[1])
+                    continue
+                if not ids:
+                    continue
+                index = index or CollisionIndex(np.concatenate(ids), np.concatenate(vectors))
+                out = [(own, *index.search(own, vector, k)) for own, vector in zip(*mine, strict=True)]
+                lengths = [len(x[1]) for x in out]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine[0], lengths)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], names=["query_id", "vec_id", "score"])
+
+    rows = left.union(right).repartition(partitions(spark), "dim", "block").sortWithinPartitions("dim", "block", "kind")
+    found = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
