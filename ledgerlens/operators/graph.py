@@ -140,6 +140,35 @@ def path_length(entities: DataFrame, mentions: DataFrame, start: str, end: str,
     return spark.createDataFrame([], schema)
 
 
+def shortest_path(entities: DataFrame, mentions: DataFrame, start: str, end: str, hops: int = HOPS) -> DataFrame:
+    """(position, kind, node): the nodes of a shortest path between two texts, entities and documents in turn; no rows if there is none within 2 x ``hops``.
+
+    Breadth first, each level keeping for every entity found the least document and entity it was reached by; then back, a row a level.
+    """
+    spark = entities.sparkSession
+    schema = "position int, kind string, node string"
+    starts, ends = (entities.where(is_named(x)).select("entity_id") for x in (start, end))
+    pairs = mentions.select("document_id", "entity_id").distinct()
+    frontier = starts.select("entity_id", F.lit(None).cast(pairs.schema["document_id"].dataType).alias("document_id"), F.col("entity_id").alias("came"))
+    levels, seen = [frontier], starts
+    for _ in range(min(hops, HOPS) + 1):
+        met = levels[-1].join(ends, "entity_id", "left_semi").orderBy("entity_id").first()
+        if met is not None:
+            nodes = [("entity", met.entity_id)]
+            for level in levels[:0:-1]:
+                row = level.where(F.col("entity_id") == nodes[-1][1]).first()
+                nodes += [("document", row.document_id), ("entity", row.came)]
+            return spark.createDataFrame([(i, kind, str(node)) for i, (kind, node) in enumerate(reversed(nodes))], schema)
+        if len(levels) > min(hops, HOPS):
+            break
+        via = pairs.join(levels[-1].select(F.col("entity_id").alias("came")), pairs.entity_id == F.col("came")).groupBy("document_id").agg(F.min("came").alias("came"))
+        found = pairs.join(via, "document_id").join(seen, "entity_id", "left_anti").groupBy("entity_id").agg(F.min(F.struct("document_id", "came")).alias("v")).select("entity_id", "v.document_id", "v.came")
+        found = found.checkpoint() if spark.sparkContext.getCheckpointDir() else found.persist()
+        levels.append(found)
+        seen = seen.union(found.select("entity_id"))
+    return spark.createDataFrame([], schema)
+
+
 # Writing
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import blank, citation, filled, not_relevant, preview, relevance
@@ -19,6 +21,10 @@ from ledgerlens.providers import HashedTerms, RuleAnalyst, compressed, overlap_s
 
 #: Below this length a text isn't compressed, below this relevance a question is out of scope.
 SHORT, IN_SCOPE = 400, 3
+#: Results asked for by default, and candidates of a dense search at most; each result has so many candidates.
+RESULTS, DENSE_MOST, TIMES = 5, 40, 3
+#: What a service or a table that is down raises; other errors are faults of the program and go on.
+DOWN = (PySparkException, Py4JError, RuntimeError, ValueError, OSError)
 
 
 @dataclass
@@ -37,11 +43,14 @@ class Retriever:
     embedder: HashedTerms = field(default_factory=HashedTerms)
     analyst: RuleAnalyst = field(default_factory=RuleAnalyst)
     failed: list[str] = field(default_factory=list)
+    #: The models of the last stages: relevance of a text to a question, and what of it to keep.
+    reranker: Callable[[str, Column], Column] = overlap_score
+    compressor: Callable[[str, Column], Column] = compressed
 
     def _optional(self, name: str, make: Callable[[], DataFrame | None]) -> DataFrame | None:
         try:
             return make()
-        except Exception:  # a stage that is down must not take the answer with it
+        except DOWN:  # a stage that is down must not take the answer with it
             self.failed.append(name)
             return None
 
@@ -86,17 +95,44 @@ class Retriever:
         """The ``top_k`` passages; models see no more than the first ``CANDIDATES``."""
         rows = self.fused(question, filters, names, use_graph).orderBy(F.col("rrf_score").desc(), "pos").limit(vector.CANDIDATES if rerank else top_k)
         if rerank:
-            rows = rows.withColumn("relevance_score", overlap_score(question, filled(F.col("parent_text"), F.col("text"))))
+            rows = rows.withColumn("relevance_score", self.reranker(question, filled(F.col("parent_text"), F.col("text"))))
             rows = rows.orderBy(F.col("relevance_score").desc(), F.col("rrf_score").desc(), "pos").limit(top_k)
         else:
             rows = rows.withColumn("relevance_score", F.lit(None).cast("double"))
-        return with_compression(rows, question) if compress else rows.withColumns({"compressed_text": F.lit(None).cast("string"), "compression_skipped": F.lit(False)})
+        return with_compression(rows, question, self.compressor) if compress else rows.withColumns({"compressed_text": F.lit(None).cast("string"), "compression_skipped": F.lit(False)})
 
 
-def with_compression(rows: DataFrame, question: str) -> DataFrame:
+    def dense(self, question: str, top_k: int = RESULTS, filters: dict[str, object] | None = None) -> DataFrame:
+        """The ``top_k`` passages by vectors alone: the best of each parent among the nearest chunks."""
+        c = self.corpus.chunks
+        near = vector.dense_top_k(c, self.embedder.embed(question), min(TIMES * top_k, DENSE_MOST), filters)
+        return vector.best_of_parent(near, "score", "id").orderBy(F.col("score").desc(), "id").limit(top_k)
+
+    def search(self, question: str, top_k: int = RESULTS, hybrid: bool = True, filters: dict[str, object] | None = None, names: list[str] | None = None) -> Answer:
+        """The passages as rows. If hybrid search fails, as it is planned or as it runs, dense search takes its place, and a notice says so."""
+        notice = None
+        if hybrid:
+            try:
+                rows = [r.asDict(recursive=True) for r in self.retrieve(question, min(TIMES * top_k, vector.CANDIDATES), filters, names).collect()]
+                scope = any((r["relevance_score"] or 0.0) >= IN_SCOPE or not r["compression_skipped"] for r in rows)
+                return Answer(rows[:top_k], None if scope or not rows else "No passage is relevant to the question.")
+            except DOWN as e:
+                notice = f"Dense search only; hybrid search failed: {type(e).__name__}"
+        return Answer([r.asDict(recursive=True) for r in self.dense(question, top_k, filters).collect()], notice)
+
+
+@dataclass
+class Answer:
+    """The few passages of an answer, best first, and what the reader should know of them."""
+
+    rows: list[dict]
+    notice: str | None = None
+
+
+def with_compression(rows: DataFrame, question: str, compressor: Callable[[str, Column], Column] = compressed) -> DataFrame:
     """Adds ``compressed_text`` and ``compression_skipped``: short texts stay, texts without a relevant part stay and are marked."""
     text = filled(F.col("parent_text"), F.col("text"))
-    answer = compressed(question, text)
+    answer = compressor(question, text)
     none = not_relevant(answer) & (F.length(text) >= SHORT)
     return rows.withColumns({"compressed_text": F.when(F.length(text) < SHORT, text).when(none, text).otherwise(answer), "compression_skipped": none})
 

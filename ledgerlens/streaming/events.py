@@ -14,7 +14,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Requests a minute, calls a day, failures that open a circuit, and for how long.
 PER_MINUTE, PER_DAY, FAILURES, OPEN_SECONDS = 60, 240, 3, 30
-KEEP_ALIVE_SECONDS, QUEUE = 15, 100
 
 
 # Messages
@@ -52,7 +51,7 @@ def tool_arguments(arguments: Column, schema: str) -> Column:
 
 
 def event_stream(messages: DataFrame, pause_ms: int = 60_000) -> DataFrame:
-    """The client's events of a stream of messages (conv_id, turn, role, text, ts): ``open`` first, ``complete`` after a pause (of a minute), in order by key."""
+    """The client's events of a stream of messages (conv_id, turn, role, text, ts): ``open`` first, ``complete`` after a pause (of a minute), in order by key. Turns up to the last one seen are replays, and give nothing."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["conv_id", "type", "content"]
@@ -64,9 +63,11 @@ def event_stream(messages: DataFrame, pause_ms: int = 60_000) -> DataFrame:
         seen = state.get[0] if state.exists else -1
         for pdf in batches:
             for turn, role, text in pdf.sort_values("turn")[["turn", "role", "text"]].itertuples(index=False):
+                if turn <= seen:
+                    continue
                 if role == "assistant" and isinstance(text, str) and text.strip():
                     rows.append((key[0], "message", text))
-                seen = max(seen, int(turn))
+                seen = int(turn)
         state.update((seen,))
         state.setTimeoutDuration(pause_ms)
         yield pd.DataFrame(rows, columns=columns)

@@ -87,6 +87,27 @@ def test_failed_stages_are_named(corpus):
     assert r.retrieve("revenue").count() > 0 and r.failed == ["bm25"]
 
 
+def test_search_falls_back_to_dense_when_hybrid_fails_as_it_runs(corpus):
+    c, e = corpus
+    good = retrieve.Retriever(c, e).search("data center revenue", 2)
+    assert good.notice is None and good.rows[0]["parent_id"] == 0 and len(good.rows) == 2
+    broken = c.sparse.withColumn("w", F.expr("CAST(raise_error('index is down') AS DOUBLE)"))
+    assert set(broken.columns) == set(c.sparse.columns)
+    down = retrieve.Retriever(retrieve.Corpus(c.chunks, broken, c.entities, c.mentions), e)
+    answer = down.search("data center revenue", 2)
+    assert answer.notice.startswith("Dense search only") and len(answer.rows) == 2
+    assert [r["id"] for r in answer.rows] == [r["id"] for r in down.search("data center revenue", 2, hybrid=False).rows]
+
+
+def test_models_are_replaceable(corpus):
+    c, e = corpus
+    r = retrieve.Retriever(c, e, reranker=lambda q, t: F.length(t).cast("double"), compressor=lambda q, t: F.upper(t))
+    rows = r.retrieve("revenue", top_k=2).collect()
+    assert rows[0].id == 1 and rows[0].compressed_text == rows[0].parent_text.upper()
+    with pytest.raises(ZeroDivisionError):  # a fault of the program isn't hidden
+        retrieve.Retriever(c, e, reranker=lambda q, t: 1 / 0).search("revenue")
+
+
 def test_services(spark):
     assert [x.ticker for x in quotes(spark, ["aapl ", ""]).collect()] == ["AAPL"]
     with pytest.raises(ValueError):
@@ -124,6 +145,15 @@ def test_lookups(small, spark):
     assert graph.path_length(e, m, "alpha", "Alpha").first().path_length == 0
 
 
+def test_path_nodes(small):
+    e, m = small
+    path = lambda *a, **k: [(r.kind, r.node) for r in graph.shortest_path(e, m, *a, **k).orderBy("position").collect()]
+    assert path("alpha", "gamma") == [("entity", "1"), ("document", "d1"), ("entity", "3"), ("document", "d2"), ("entity", "4")]
+    assert path("beta", "gamma") == [("entity", "3"), ("document", "d2"), ("entity", "4")]
+    assert path("beta", "Beta") == [("entity", "3")]
+    assert path("alpha", "gamma", hops=1) == [] and path("alpha", "lone") == []
+
+
 def test_one_document_serves_both_middle_edges(spark):
     """Alpha and Gamma share only d1, which mentions the middle on two pages: two edges, so a path of four."""
     e = spark.createDataFrame([(1, "Alpha", "Org", 1), (2, "Mid", "Org", 1), (3, "Gamma", "Org", 1)], "entity_id long, text string, type string, mention_count long")

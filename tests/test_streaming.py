@@ -63,6 +63,16 @@ def test_client_events(spark, tmp_path):
     assert sorted((r.conv_id, r.type, r.content or "") for r in got) == [(1, "message", "a"), (1, "open", ""), (2, "message", "b"), (2, "open", "")]
 
 
+def test_replayed_turns_give_no_events(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    path = str(tmp_path / "in")
+    make([(1, 0, "user", "q"), (1, 1, "assistant", "a")]).write.parquet(path)
+    make([(1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b")]).write.mode("append").parquet(path)
+    batches = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = drain(events.event_stream(batches, 3_600_000), "replays").collect()
+    assert sorted((r.type, r.content or "") for r in got) == [("message", "a"), ("message", "b"), ("open", "")]
+
+
 def test_messages(spark):
     rows = [(1, 0, "user", "q", None), (1, 1, "assistant", "<thinking>t</thinking> x", None), (1, 2, "tool", "r", None), (1, 3, "assistant", "", 2), (1, 4, "assistant", " ", 0), (2, 0, "assistant", "only", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, content string, tool_calls int")
