@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 
 def drain(df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(40)
+    q.stop()
     assert q.exception() is None
     return df.sparkSession.table(name)
 
