@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, decontam, langid, linededup, longmatch, neighbours, packing, pages, sharding, simhash
+from ledgerlens.llm import alignment, chat, decontam, langid, linededup, longmatch, neighbours, packing, pages, sharding, simhash
 
 #: File of the public word BPE; None: where the installed package has it.
 TOKENIZER: str | None = None
@@ -80,6 +80,12 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_long_matches": op8_long_matches,
     "op9_sharding": op9_sharding,
     "op10_page_text": op10_page_text,
+    "op11_alignment": op11_alignment,
 }
 
 #: A-Z in lower case, nothing else, in DuckDB.
