@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import alignment, chat, decontam, langid, linededup, longmatch, neighbours, packing, pages, sharding, simhash
+from ledgerlens.llm import alignment, chat, decontam, langid, linededup, longmatch, neighbours, packing, pages, repair, sharding, simhash
 
 #: File of the public word BPE; None: where the installed package has it.
 TOKENIZER: str | None = None
@@ -86,6 +86,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    return repair.audited(repair.damaged(given), given)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_page_text": op10_page_text,
     "op11_alignment": op11_alignment,
+    "op12_repair": op12_repair,
 }
 
 #: A-Z in lower case, nothing else, in DuckDB.
