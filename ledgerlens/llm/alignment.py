@@ -97,7 +97,8 @@ class Aligner:
         cutter = given.get("pre_tokenizer") or {}
         if given.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or made != sorted(set(made)) or -1 in made:
             return None
-        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for i in vocab.values() if i in set(made) or len(self.a_bytes[i]) == 1}, special_tokens={})
+        ranked = {self.a_bytes[i]: i for i in {*made, *(i for i in vocab.values() if len(self.a_bytes[i]) == 1)}}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranked, special_tokens={})
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
