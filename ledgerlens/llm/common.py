@@ -55,6 +55,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Writes a table into the shared folder as ``stored`` does, in buckets of its keys, so that joins on all of these read it without a shuffle."""
+    spark = df.sparkSession
+    table = f"ledgerlens_{name}_{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{table}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *keys).saveAsTable(table)
+    for made in getattr(_RECORDS, "open", ()):
+        made.append(path)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # only the catalog's entry: the plan knows the files
+    return found
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Keeps a table on the executors' disks, as it is first read, to be read again; nothing is written to the shared folder, and lineage stays.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import alignment, chat, decontam, langid, linededup, longmatch, neighbours, packing, pages, repair, sharding, simhash
+from ledgerlens.llm import alignment, chat, decontam, langid, linededup, longmatch, neighbours, packing, pages, repair, sharding, simhash, substrings
 
 #: File of the public word BPE; None: where the installed package has it.
 TOKENIZER: str | None = None
@@ -91,6 +91,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audited(repair.damaged(given), given)
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_page_text": op10_page_text,
     "op11_alignment": op11_alignment,
     "op12_repair": op12_repair,
+    "op13_substrings": op13_substrings,
 }
 
 #: A-Z in lower case, nothing else, in DuckDB.
