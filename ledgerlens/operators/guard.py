@@ -1,7 +1,8 @@
 """The guard before arbitrary SQL: read-only, known tables only, bounded results.
 
 Statements are judged by the tree that Spark's own parser makes of them, so comma joins, quoted names, subqueries,
-common table expressions and stacked statements are seen for what they are. A second,
+common table expressions and stacked statements are seen for what they are. Only what is named here passes: kinds of
+plans and expressions, functions, and tables by their whole name. What a later version of Spark adds is rejected until it is named. A second,
 lexical judgement, for statements of other dialects, reads tokens alone: words, numbers, literals, quoted names, comments and marks.
 """
 
@@ -23,6 +24,47 @@ TABLES = frozenset(COLUMNS)
 _BEFORE_TABLES = frozenset(["FROM", "JOIN", "INTO", "UPDATE"])
 NOT_READ_ONLY = "Only SELECT queries are allowed"
 
+
+#: Kinds of plans and expressions that only read rows and compute, by their names in Spark's parser.
+PLANS = frozenset("""
+    Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation
+    Pivot Project Sample Sort SubqueryAlias Union UnresolvedHaving UnresolvedInlineTable UnresolvedRelation
+    UnresolvedSubqueryColumnAliases UnresolvedWith Unpivot WithWindowDefinition
+""".split())
+EXPRESSIONS = frozenset("""
+    Add Alias And AttributeReference Between BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Concat CreateArray CreateMap CreateNamedStruct
+    Cube CurrentRow$ Divide EqualNullSafe EqualTo Exists GreaterThan GreaterThanOrEqual GroupingSets ILike If In InSubquery IntegralDivide
+    IsNotNull IsNull LambdaFunction LateralSubquery LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal Lower MultiAlias Multiply Not
+    NotLikeAll NotLikeAny Or Overlay RLike Remainder Rollup ScalarSubquery SortOrder SpecifiedWindowFrame StringLocate StringTrim
+    StringTrimLeft StringTrimRight Substring Subtract TimestampAdd TimestampDiff UnaryMinus UnaryPositive UnboundedFollowing$
+    UnboundedPreceding$ UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator
+    UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedWindowExpression
+    UnspecifiedFrame$ WindowExpression WindowSpecDefinition
+""".split())
+#: Functions of rows and groups. None reads files, settings or the session's user, or calls other code.
+FUNCTIONS = frozenset("""
+    abs acos asin atan atan2 cbrt ceil ceiling cos degrees div exp floor greatest least ln log log10 log2 mod negative pi pmod pow power
+    radians round bround sign signum sin sqrt tan try_add try_divide try_multiply try_subtract width_bucket
+    ascii btrim char char_length character_length concat concat_ws contains endswith format_number format_string initcap instr lcase left
+    length levenshtein locate lower lpad ltrim overlay position regexp_count regexp_extract regexp_extract_all regexp_like regexp_replace
+    regexp_substr repeat replace reverse right rpad rtrim split split_part startswith substr substring substring_index translate trim ucase upper
+    add_months current_date current_timestamp date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth
+    dayofweek dayofyear extract hour last_day make_date minute month months_between next_day now quarter second to_date to_timestamp
+    trunc weekofyear year
+    bigint boolean cast coalesce decimal double float if ifnull int isnan isnotnull isnull nanvl nullif nullifzero nvl nvl2 string try_cast
+    try_to_number to_number zeroifnull between when
+    any any_value approx_count_distinct approx_percentile array_agg avg bool_and bool_or collect_list collect_set corr count count_if
+    covar_pop covar_samp every first first_value grouping grouping_id kurtosis last last_value listagg max max_by mean median min min_by mode
+    percentile percentile_approx percentile_cont percentile_disc regr_count regr_intercept regr_r2 regr_slope skewness some std stddev
+    stddev_pop stddev_samp string_agg sum try_avg try_sum var_pop var_samp variance
+    cume_dist dense_rank lag lead nth_value ntile percent_rank rank row_number
+    array array_contains array_distinct array_join array_max array_min array_sort element_at explode explode_outer filter inline map map_keys
+    map_values named_struct posexplode size sort_array struct transform
+""".split())
+#: Names that stand for the session's own state where no column has them, and for files.
+SESSION_NAMES = frozenset(["current_user", "session_user", "user", "current_catalog", "current_database", "current_schema", "current_path", "_metadata"])
+
+
 class Rejected(ValueError):
     """The statement isn't allowed; the message says why."""
 
@@ -101,29 +143,49 @@ def _each(seq) -> Iterator:
     return (seq.apply(i) for i in range(seq.size()))
 
 
-def _relations(plan, ctes: frozenset[str] = frozenset()) -> Iterator[tuple[str, ...]]:
-    """Names of the relations that a parsed plan reads, in subqueries too; those of its common table expressions aren't any."""
-    kind = plan.getClass().getSimpleName()
-    if kind == "UnresolvedRelation":
-        name = tuple(p.lower() for p in _each(plan.multipartIdentifier()))
-        if not (len(name) == 1 and name[0] in ctes):
-            yield name
-    elif kind == "UnresolvedWith":
-        for pair in _each(plan.cteRelations()):
-            own = pair._1().lower()
-            yield from _relations(pair._2(), ctes | {own} if plan.allowRecursion() else ctes)
-            ctes = ctes | {own}
-    for child in _each(plan.children()):
-        yield from _relations(child, ctes)
-    for expression in _each(plan.expressions()):
-        yield from _in_expression(expression, ctes)
-
-
-def _in_expression(expression, ctes: frozenset[str]) -> Iterator[tuple[str, ...]]:
-    if expression.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-        yield from _relations(expression.plan(), ctes)
-    for child in _each(expression.children()):
-        yield from _in_expression(child, ctes)
+class _Reading:
+    """What a parsed plan holds: the whole names of the relations it reads, and what in it isn't allowed."""
+
+    def __init__(self, plan):
+        self.tables: set[str] = set()
+        self.kinds: set[str] = set()
+        self.others: set[str] = set()
+        self._plan(plan, frozenset())
+
+    def _plan(self, plan, ctes: frozenset[str]) -> None:
+        kind = plan.getClass().getSimpleName()
+        if kind not in PLANS:
+            self.kinds.add(kind)
+            return
+        if kind == "UnresolvedRelation":
+            name = [p.lower() for p in _each(plan.multipartIdentifier())]
+            if len(name) > 1 or name[0] not in ctes:
+                self.tables.add(".".join(name))
+        elif kind == "UnresolvedWith":
+            for pair in _each(plan.cteRelations()):
+                own = pair._1().lower()
+                self._plan(pair._2(), ctes | {own} if plan.allowRecursion() else ctes)
+                ctes = ctes | {own}
+        for child in _each(plan.children()):
+            self._plan(child, ctes)
+        for expression in _each(plan.expressions()):
+            self._expression(expression, ctes)
+
+    def _expression(self, expression, ctes: frozenset[str]) -> None:
+        kind = expression.getClass().getSimpleName()
+        if kind not in EXPRESSIONS:
+            self.others.add(kind)
+            return
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            self._plan(expression.plan(), ctes)
+        elif kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            name = ".".join(_each(expression.nameParts())) if kind == "UnresolvedFunction" else expression.name().unquotedString()
+            if name.lower() not in FUNCTIONS:
+                self.others.add(name.lower())
+        elif kind == "UnresolvedAttribute":
+            self.others |= {p.lower() for p in _each(expression.nameParts())} & SESSION_NAMES
+        for child in _each(expression.children()):
+            self._expression(child, ctes)
 
 
 def parsed(spark: SparkSession, sql: str):
@@ -132,18 +194,13 @@ def parsed(spark: SparkSession, sql: str):
 
 
 def parsed_tables(spark: SparkSession, sql: str) -> set[str]:
-    """Last parts of the names of all relations the parser finds, but common table expressions."""
-    return {name[-1] for name in _relations(parsed(spark, sql))}
+    """Whole names of all relations the parser finds, but common table expressions."""
+    return _Reading(parsed(spark, sql)).tables
 
 
 def is_query(spark: SparkSession, sql: str) -> bool:
-    """Whether the parser finds one statement, and nothing in it is more than a query."""
-    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
-
-    def reads(plan) -> bool:
-        return not any(k.isInstance(plan) for k in kinds) and all(map(reads, _each(plan.children())))
-
-    return reads(parsed(spark, sql))
+    """Whether the parser finds one statement, all of whose plans are known to read only."""
+    return not _Reading(parsed(spark, sql)).kinds
 
 
 def unknown_tables(tables: Iterable[str], allowed: Iterable[str] = TABLES) -> str | None:
@@ -160,7 +217,10 @@ def validate(sql: str, spark: SparkSession | None = None, allowed: Iterable[str]
         return NOT_READ_ONLY if not is_read_only(sql) else unknown_tables(named_tables(sql), allowed)
     text = without_comments(sql).strip().rstrip(";")
     try:
-        return NOT_READ_ONLY if not is_query(spark, text) else unknown_tables(parsed_tables(spark, text), allowed)
+        found = _Reading(parsed(spark, text))
+        if found.kinds:
+            return NOT_READ_ONLY
+        return unknown_tables(found.tables, allowed) or (f"Not allowed in a query: {', '.join(sorted(found.others))}" if found.others else None)
     except Exception as e:  # the parser's own errors come from the JVM in more than one class
         if not isinstance(e, (ParseException, PySparkException)) and "ParseException" not in str(e):
             raise

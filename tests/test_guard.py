@@ -18,6 +18,13 @@ PASS = [
     "SELECT * FROM companies WHERE EXISTS (SELECT 1 FROM risk_factors) AND id > (SELECT max(id) FROM segment_revenue)",
     "WITH a AS (SELECT * FROM companies), b AS (SELECT * FROM a) SELECT * FROM b UNION ALL SELECT * FROM a",
     "VALUES (1)",
+    "SELECT ticker, sum(revenue) FILTER (WHERE fiscal_year > 2020), rank() OVER (PARTITION BY a ORDER BY b DESC ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM companies GROUP BY CUBE(ticker) HAVING count(*) > 1 ORDER BY 1 LIMIT 5 OFFSET 2",
+    "SELECT CASE WHEN a LIKE 'x%' OR b NOT ILIKE ANY ('y', 'z') THEN a::int ELSE try_cast(b AS int) END, transform(c, x -> x + 1)[0], d.e || 'f', date '2024-01-01' + interval 1 day FROM companies",
+    "SELECT e FROM companies LATERAL VIEW explode(split(name, ' ')) t AS e WHERE id BETWEEN 1 AND 2 AND name IS DISTINCT FROM 'x'",
+    "SELECT sum(a) OVER w FROM companies WINDOW w AS (PARTITION BY b)",
+    "SELECT * FROM companies PIVOT (sum(a) FOR b IN (1, 2))",
+    "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT * FROM r",
+    "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY revenue) FROM companies",
 ]
 FAIL = {
     "DELETE FROM companies": guard.NOT_READ_ONLY,
@@ -34,6 +41,36 @@ FAIL = {
     "SELECT * FROM companies c JOIN LATERAL (SELECT * FROM hidden h WHERE h.k = c.id) t": "hidden",
     "WITH x AS (SELECT * FROM y), y AS (SELECT * FROM companies) SELECT * FROM x": "y",
     "INSERT INTO companies SELECT * FROM companies": guard.NOT_READ_ONLY,
+    "SELECT TRANSFORM(id) USING 'echo ran' AS (a) FROM companies": guard.NOT_READ_ONLY,
+    "SELECT * FROM (SELECT TRANSFORM(id) USING 'cat' FROM companies)": guard.NOT_READ_ONLY,
+    "SELECT 1 WHERE EXISTS (SELECT TRANSFORM(id) USING 'cat' FROM companies)": guard.NOT_READ_ONLY,
+    "SELECT * FROM identifier('users')": guard.NOT_READ_ONLY,
+    "SELECT identifier('reflect')('java.lang.System', 'getProperty', 'user.name')": "Not allowed",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.name') FROM companies": "java_method",
+    "SELECT reflect('java.util.UUID', 'randomUUID') FROM companies": "reflect",
+    "SELECT try_reflect('java.util.UUID', 'randomUUID') FROM companies": "try_reflect",
+    "SELECT max(reflect('java.util.UUID', 'randomUUID')) OVER () FROM companies": "reflect",
+    "SELECT id FROM companies ORDER BY java_method('java.util.UUID', 'randomUUID')": "java_method",
+    "SELECT input_file_name() FROM companies": "input_file_name",
+    "SELECT input_file_block_start() FROM companies": "input_file_block_start",
+    "SELECT _metadata.file_path FROM companies": "_metadata",
+    "SELECT current_user FROM companies": "current_user",
+    "SELECT current_user() FROM companies": "current_user",
+    "SELECT `session_user` FROM companies": "session_user",
+    "SELECT builtin.abs(1) FROM companies": "builtin.abs",
+    "SELECT * FROM range(10)": guard.NOT_READ_ONLY,
+    "SELECT * FROM companies c, LATERAL explode(array(1))": guard.NOT_READ_ONLY,
+    "SELECT * FROM companies LATERAL VIEW java_method('a', 'b') t": "java_method",
+    "SELECT * FROM db.companies": "db.companies",
+    "SELECT * FROM spark_catalog.default.companies": "spark_catalog.default.companies",
+    "SELECT * FROM parquet.`/etc`": "parquet./etc",
+    "SELECT * FROM `db.companies`": "db.companies",
+    "WITH companies AS (SELECT * FROM x.companies) SELECT * FROM companies": "x.companies",
+    "FROM companies |> WHERE id > 1": guard.NOT_READ_ONLY,
+    "EXECUTE IMMEDIATE 'SELECT 1'": guard.NOT_READ_ONLY,
+    "BEGIN SELECT 1; END": guard.NOT_READ_ONLY,
+    "SELECT * FROM companies FOR VERSION AS OF 1": guard.NOT_READ_ONLY,
+    "SELECT :a FROM companies": "Not allowed",
     "SHOW TABLES": guard.NOT_READ_ONLY,
     "SET a = 1": guard.NOT_READ_ONLY,
     "": "Empty",
@@ -52,6 +89,12 @@ def test_parser_rejects(spark, sql):
     assert why is not None and FAIL[sql] in why
 
 
+@pytest.mark.parametrize("sql", [s for s in FAIL if "TRANSFORM" in s or "method" in s or "reflect" in s or "identifier" in s])
+def test_nothing_of_a_rejected_statement_runs(spark, sql):
+    with pytest.raises(guard.Rejected):
+        guard.run(spark, sql)
+
+
 def test_lexical_rules():
     assert guard.validate("SELECT * FROM users") == "Access denied: tables not allowed: users"
     assert guard.named_tables("SELECT 'FROM x' FROM public.Companies -- FROM y") == {"companies"}
