@@ -12,8 +12,10 @@ import threading
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.schema import COLUMNS, EPS_COLUMNS, MONEY_COLUMNS, PERCENT_COLUMNS
 
@@ -332,6 +334,30 @@ def shown(key: str, value: object) -> str:
         return str(value)
 
 
+def shown_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with these columns as text, each as its kind is shown; done in the JVM, rounding halves to even as ``shown`` does."""
+    number = lambda c, digits: F.format_number(F.col(c).cast("double"), digits)
+    plain = lambda text: F.translate(text, ",", "")
+    kinds = {
+        "${:,.0f}M": lambda c: F.concat(F.lit("$"), number(c, 0), F.lit("M")),
+        "{:.1f}%": lambda c: F.concat(plain(number(c, 1)), F.lit("%")),
+        "${:.2f}": lambda c: F.concat(F.lit("$"), plain(number(c, 2))),
+        "{:.0f}": lambda c: plain(number(c, 0)),
+    }
+    return rows.withColumns({c: kinds[_FORMAT[c]](c) if c in _FORMAT else F.col(c).cast("string") for c in columns})
+
+
+def judged(statements: DataFrame, column: str = "statement") -> DataFrame:
+    """Adds ``verdict``, ``tables`` and ``sanitised`` to a table of statements: the lexical judgement, by batches in tasks."""
+
+    @F.pandas_udf("verdict string, tables string, sanitised string")
+    def judge(sql: pd.Series) -> pd.DataFrame:
+        told = [(None, None, None) if s is None else (validate(s), ",".join(sorted(named_tables(s))), sanitised(s)) for s in sql]
+        return pd.DataFrame(told, columns=["verdict", "tables", "sanitised"], dtype=object)
+
+    return statements.withColumn("_judged", judge(F.col(column))).select("*", "_judged.*").drop("_judged")
+
+
 def formatted(rows: list[dict], sql: str) -> str:
     """Rows as text, a line each, nulls left out: all columns of up to ``MANY`` rows, else the main columns of the first ones; at last the statement."""
     some = rows[:MANY]

@@ -7,7 +7,7 @@ formatting. Optional stages that fail are left out, and named in ``failed``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JError
@@ -137,9 +137,9 @@ def with_compression(rows: DataFrame, question: str, compressor: Callable[[str,
     return rows.withColumns({"compressed_text": F.when(F.length(text) < SHORT, text).when(none, text).otherwise(answer), "compression_skipped": none})
 
 
-def out_of_scope(results: DataFrame) -> DataFrame:
-    """One row (out_of_scope): no result is relevant, and none could be compressed."""
-    return results.agg(F.coalesce((F.max("relevance_score") < IN_SCOPE) & F.bool_and("compression_skipped"), F.lit(False)).alias("out_of_scope"))
+def out_of_scope(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(out_of_scope), one row, or one for each question (columns ``by``): no result is relevant, and none could be compressed."""
+    return results.groupBy(*by).agg(F.coalesce((F.max("relevance_score") < IN_SCOPE) & F.bool_and("compression_skipped"), F.lit(False)).alias("out_of_scope"))
 
 
 def formatted(results: DataFrame) -> DataFrame:

@@ -165,13 +165,18 @@ class TemplateSql:
         )
 
 
+def quotes_of(asked: DataFrame, column: str) -> DataFrame:
+    """(ticker, price, change, change_percent, volume, timestamp, source): a fixed quote for each symbol of a column once, for use without a service; blank ones have none."""
+    symbols = asked.select(F.upper(F.trim(F.col(column))).alias("ticker")).where("ticker <> ''").distinct()
+    fixed = {"price": 123.45, "change": 1.23, "change_percent": 1.01, "volume": F.lit(1_000_000).cast("bigint"), "timestamp": F.lit(None).cast("string"), "source": "mock"}
+    return symbols.select("ticker", *((v if not isinstance(v, float | str) else F.lit(v)).alias(c) for c, v in fixed.items()))
+
+
 def quotes(spark: SparkSession, tickers: list[str]) -> DataFrame:
-    """(ticker, price, change, change_percent, volume, timestamp, source): fixed quotes, for use without a service."""
-    symbols = [t.strip().upper() for t in tickers if t.strip()]
-    if not symbols:
+    """``quotes_of`` a list of symbols."""
+    if not any(t.strip() for t in tickers):
         raise ValueError("no tickers")
-    rows = [(t, 123.45, 1.23, 1.01, 1_000_000, None, "mock") for t in symbols]
-    return spark.createDataFrame(rows, "ticker string, price double, change double, change_percent double, volume long, timestamp string, source string")
+    return quotes_of(spark.createDataFrame([(t,) for t in tickers], "symbol string"), "symbol")
 
 
 def parsed_quotes(raw: DataFrame) -> DataFrame:
@@ -181,11 +186,17 @@ def parsed_quotes(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("symbol").alias("ticker"), "price", "change", F.col("changePercentage").alias("change_percent"), "volume", epoch_text(F.col("timestamp")).alias("timestamp"), F.lit("live").alias("source"))
 
 
+def web_results_of(asked: DataFrame, column: str, most: int = 3) -> DataFrame:
+    """The rows with (title, snippet, url) of each question's results, ``most`` of them (from 1 to 10) and never more than three, for use without a service."""
+    number = F.explode(F.sequence(F.lit(1), F.lit(min(3, max(1, min(10, most))))))
+    said, n = F.col(column), F.col("_n").cast("string")
+    rows = asked.withColumn("_n", number)
+    return rows.withColumns({"title": F.concat(F.lit("Result "), n, F.lit(" for "), said), "snippet": F.concat(F.lit("A passage on "), said, F.lit(".")), "url": F.concat(F.lit("https://example.com/"), n)}).drop("_n")
+
+
 def web_results(spark: SparkSession, question: str, most: int = 3) -> DataFrame:
-    """(title, snippet, url): ``most`` rows, from 1 to 10, for use without a service."""
-    n = max(1, min(10, most))
-    rows = [(f"Result {i} for {question}", f"A passage on {question}.", f"https://example.com/{i}") for i in range(1, min(n, 3) + 1)]
-    return spark.createDataFrame(rows, "title string, snippet string, url string")
+    """``web_results_of`` one question."""
+    return web_results_of(spark.createDataFrame([(question,)], "question string"), "question", most).drop("question")
 
 
 def parsed_results(raw: DataFrame, most: int = 5) -> DataFrame:

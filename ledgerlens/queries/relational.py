@@ -37,28 +37,34 @@ _guarded("guarded_limit_cap", "SELECT o_orderkey, o_custkey FROM orders ORDER BY
 _guarded("guarded_offset", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 5", ["part"])
 _guarded("guarded_subquery", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c.c_custkey, b.n FROM customer c JOIN big b ON b.o_custkey = c.c_custkey WHERE c.c_acctbal > (SELECT avg(c_acctbal) FROM customer) ORDER BY b.n DESC, c.c_custkey LIMIT 50", ["orders", "customer"], "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c.c_custkey, b.n FROM customer c JOIN big b ON b.o_custkey = c.c_custkey WHERE c.c_acctbal > (SELECT avg(c_acctbal) FROM customer) ORDER BY b.n DESC, c.c_custkey LIMIT 50")
 
-#: Statements, the lexical verdict on them, their tables, and what is left of them.
-VERDICTS = [
-    ("SELECT * FROM companies", None, "companies", "SELECT * FROM companies LIMIT 100"),
-    ("SELECT * FROM companies LIMIT 50", None, "companies", "SELECT * FROM companies LIMIT 50"),
-    ("SELECT * FROM companies LIMIT 5000;", None, "companies", "SELECT * FROM companies LIMIT 1000;"),
-    ("SELECT * FROM companies -- all", None, "companies", "SELECT * FROM companies LIMIT 100"),
-    ("DELETE FROM companies", "Only SELECT queries are allowed", "companies", "DELETE FROM companies LIMIT 100"),
-    ("SELECT * INTO temp FROM companies", "Only SELECT queries are allowed", "companies,temp", "SELECT * INTO temp FROM companies LIMIT 100"),
-    ("SELECT * FROM users", "Access denied: tables not allowed: users", "users", "SELECT * FROM users LIMIT 100"),
-    ("SELECT c.name FROM public.companies c JOIN financial_metrics f ON c.id = f.company_id", None, "companies,financial_metrics", "SELECT c.name FROM public.companies c JOIN financial_metrics f ON c.id = f.company_id LIMIT 100"),
-    ("SELECT 1", None, "", "SELECT 1 LIMIT 100"),
+def _text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+#: Statements of each event, by its number; what the lexical guard says of them; their tables; and what is left of them.
+_SAID = [
+    ("concat('SELECT * FROM companies WHERE id = ', event_id)", "NULL", "'companies'", "given || ' LIMIT 100'"),
+    ("concat('SELECT * FROM companies LIMIT ', event_id % 2000 + 1)", "NULL", "'companies'", "CASE WHEN event_id % 2000 + 1 > 1000 THEN 'SELECT * FROM companies LIMIT 1000' ELSE given END"),
+    ("concat('SELECT  a --', user_id, chr(10), 'FROM public.companies;')", "NULL", "'companies'", "'SELECT a FROM public.companies LIMIT 100'"),
+    ("concat('DELETE FROM companies WHERE id = ', user_id)", "'Only SELECT queries are allowed'", "'companies'", "given || ' LIMIT 100'"),
+    ("concat('SELECT * INTO ', event_type, ' FROM companies')", "'Only SELECT queries are allowed'", "CASE WHEN event_type < 'companies' THEN event_type || ',companies' ELSE 'companies,' || event_type END", "given || ' LIMIT 100'"),
+    ("concat('SELECT * FROM ', event_type, user_id)", "'Access denied: tables not allowed: ' || event_type || CAST(user_id AS VARCHAR)", "event_type || CAST(user_id AS VARCHAR)", "given || ' LIMIT 100'"),
+    ("concat('SELECT ', event_id, ' LIMIT ', user_id)", "NULL", "''", "CASE WHEN user_id > 1000 THEN 'SELECT ' || CAST(event_id AS VARCHAR) || ' LIMIT 1000' ELSE given END"),
 ]
 
 
-def _text(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+def _by_number(column: int) -> str:
+    return f"CASE event_id % {len(_SAID)} " + " ".join(f"WHEN {i} THEN {r[column]}" for i, r in enumerate(_SAID)) + " END"
+
+
+_JUDGED = f"SELECT event_id, {_by_number(1)} AS verdict, {_by_number(2)} AS tables, {_by_number(3)} AS sanitised FROM (SELECT *, {_by_number(0)} AS given FROM events)"
 
 
-@query("guard_decisions", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_text, v)) + ")" for v in VERDICTS) + ") AS t(statement, verdict, tables, sanitised)")
+@query("guard_decisions", _JUDGED)
 def guard_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(s, guard.validate(s), ",".join(sorted(guard.named_tables(s))), guard.sanitised(s)) for s, *_ in VERDICTS]
-    return spark.createDataFrame(rows, "statement string, verdict string, tables string, sanitised string")
+    """A log of statements, one of each event, judged in tasks."""
+    log = table(spark, sf_dir, "events").select("event_id", F.expr(_by_number(0)).alias("statement"))
+    return guard.judged(log).select("event_id", "verdict", "tables", "sanitised")
 
 
 @query(

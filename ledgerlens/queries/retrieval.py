@@ -161,18 +161,11 @@ def retrieve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("rrf_score", 9).alias("rrf_score"), F.array_join("sources", "+").alias("sources"), "relevance_score", F.md5("compressed_text").alias("compressed"))
 
 
-#: Texts and whether their results are out of scope: (group, relevance, skipped).
-_SCOPE = [("a", 2.0, True), ("a", 1.0, True), ("b", 2.0, False), ("c", 4.0, True)]
-
-
-@query("out_of_scope", "SELECT * FROM (VALUES ('a', true), ('b', false), ('c', false)) t(grp, out_of_scope)")
+@query("out_of_scope", "SELECT source, lang, max(doc_id % 11 * 0.5) < 3 AND bool_and(n_chars > 700) AS out_of_scope FROM documents GROUP BY 1, 2")
 def out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_SCOPE, "grp string, relevance_score double, compression_skipped boolean")
-    out = None
-    for name in ("a", "b", "c"):
-        one = retrieve.out_of_scope(rows.where(F.col("grp") == name)).select(F.lit(name).alias("grp"), "out_of_scope")
-        out = one if out is None else out.union(one)
-    return out
+    """A source and language as a question, its documents as what was found for it."""
+    found = table(spark, sf_dir, "documents").select("source", "lang", (F.col("doc_id") % 11 * 0.5).alias("relevance_score"), (F.col("n_chars") > 700).alias("compression_skipped"))
+    return retrieve.out_of_scope(found, ["source", "lang"])
 
 
 @query("expected_sources", f"WITH t AS (SELECT vec_id % 50 AS d, {_dot(VARIANTS[0])} AS score FROM embeddings ORDER BY 2 DESC LIMIT 3) SELECT CASE WHEN max(score) >= 0.6 THEN 'PASS' WHEN max(score) IS NOT NULL THEN 'WEAK' ELSE 'FAIL' END AS verdict FROM t WHERE d = 7")

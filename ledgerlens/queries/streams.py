@@ -95,17 +95,21 @@ def tool_argument_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", events.tool_arguments(F.col("props"), "k long")["k"].cast("double").alias("k"))
 
 
-@query("quotes_default", "SELECT * FROM (VALUES ('AAPL', CAST(123.45 AS DOUBLE), 'mock'), ('MSFT', CAST(123.45 AS DOUBLE), 'mock')) t(ticker, price, source)")
+@query("quotes_default", "SELECT upper(event_type) AS ticker, CAST(123.45 AS DOUBLE) AS price, 'mock' AS source FROM (SELECT DISTINCT event_type FROM events)")
 def quotes_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return providers.quotes(spark, ["aapl", " msft ", ""]).select("ticker", "price", "source")
+    asked = table(spark, sf_dir, "events").select(F.concat(F.lit(" "), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, " ").otherwise("")).alias("symbol"))
+    return providers.quotes_of(asked, "symbol").select("ticker", "price", "source")
 
 
-@query("quotes_parsed", "SELECT 'NVDA' AS ticker, CAST(10.5 AS DOUBLE) AS price, '2023-11-14T22:13:20+00:00' AS timestamp, 'live' AS source")
+@query("quotes_parsed", "SELECT upper(event_type) AS ticker, value AS price, value / 100 AS change_percent, strftime(make_timestamp((1700000000 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS timestamp, 'live' AS source FROM events")
 def quotes_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([("NVDA", 10.5, 0.1, None, 100, 1700000000)], "symbol string, price double, change double, changePercentage double, volume long, timestamp long")
-    return providers.parsed_quotes(raw).select("ticker", "price", "timestamp", "source")
+    raw = table(spark, sf_dir, "events").select(
+        F.upper("event_type").alias("symbol"), F.col("value").alias("price"), F.lit(0.1).alias("change"), (F.col("value") / 100).alias("changePercentage"), F.col("user_id").alias("volume"), (1700000000 + F.col("event_id")).alias("timestamp"),
+    )
+    return providers.parsed_quotes(raw).select("ticker", "price", "change_percent", "timestamp", "source")
 
 
-@query("web_results_default", "SELECT 'https://example.com/' || i AS url FROM range(1, 4) t(i)")
+@query("web_results_default", "SELECT item_id, 'Result ' || i || ' for item ' || item_id AS title, 'https://example.com/' || i AS url FROM benchmark, range(1, 4) t(i)")
 def web_results_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return providers.web_results(spark, "q", 10).select("url")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("question"))
+    return providers.web_results_of(asked, "question", 10).select("item_id", "title", "url")

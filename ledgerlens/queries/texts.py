@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as T
 from ledgerlens.operators import vector
-from ledgerlens.operators.guard import shown
+from ledgerlens.operators.guard import shown_columns
 from ledgerlens.queries.relational import _text
 from ledgerlens.session import table
 
@@ -80,47 +82,126 @@ def embed_text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.embedding_text(F.col("text"))).alias("digest"), T.cache_key(F.col("text")).alias("cache_key"))
 
 
-def _cases(name: str, rows: list[tuple], given: str, results: dict[str, tuple[str, object]]) -> None:
-    """A query that applies functions to given values, against what they are to give: rows of (value, result...)."""
-    columns = [given, *results]
-    lit = lambda v: "NULL" if v is None else _text(v) if isinstance(v, str) else f"CAST({str(v).upper() if isinstance(v, bool) else v} AS {'BOOLEAN' if isinstance(v, bool) else 'INTEGER' if isinstance(v, int) else 'DOUBLE'})"
-    ORACLES[name] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS t({', '.join(columns)})"
+def _derived(name: str, source: str, key: str, given: str, results: dict[str, tuple[str, Callable[[Column], Column]]], sql: dict[str, str], digest: bool = False) -> None:
+    """A query that applies functions to a column made of a table's own ones, against what SQL says of them.
+
+    ``given`` makes the column ``given`` in either dialect; ``results`` has the type and value of each result, ``sql`` the same of each in SQL. With ``digest``, texts are compared by hash.
+    """
+    shown = lambda c: f"md5({sql[c]})" if digest and results[c][0] == "string" else sql[c]
+    ORACLES[name] = f"SELECT {key}, {', '.join(f'{shown(c)} AS {c}' for c in results)} FROM (SELECT *, {given} AS given FROM {source})"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.createDataFrame([(r[0],) for r in rows], f"{given} string")
-        return df.select(given, *(fn(F.col(given)).cast(kind).alias(c) for c, (kind, fn) in results.items()))
+        rows = table(spark, sf_dir, source).withColumn("given", F.expr(given))
+        value = lambda kind, fn: F.md5(fn(F.col("given"))) if digest and kind == "string" else fn(F.col("given")).cast(kind)
+        return rows.select(*key.split(", "), *(value(*results[c]).alias(c) for c in results))
 
     QUERIES[name] = run
 
 
-_cases("doc_id_clean", [("NVDA_10K_2025.pdf", "NVDA_10K_2025", "10k"), ("a b&c.news.pdf", "a_b_c_news", "reference"), ("x_10k_y.PDF", "x_10k_y", "10k"), ("no stem", "no_stem", "reference")], "name", {"document_id": ("string", T.document_id), "kind": ("string", T.document_type)})
-_cases(
-    "ticker_extract",
-    [("AAPL_10K_2024", "AAPL", "AAPL", "AAPL", "AAPL"), ("AAPL_10k_x", None, "AAPL", "AAPL", "AAPL"), ("TOOLONG_10K_2024", None, None, "TOOLONG", None), ("A_news", None, "A", None, None), ("aapl_10K_2024", None, None, "aapl", None), ("B_10K_2020", "B", "B", "B", None), ("MSFT", None, None, None, "MSFT")],
-    "doc",
-    {"of_filing": ("string", T.ticker_of_filing), "of_name": ("string", T.ticker_of_name), "of_parts": ("string", T.ticker_of_parts), "of_upper": ("string", T.ticker_of_upper)},
-)
-_cases("safe_decimal_int", [("$1,234.50", 1234.5, None), ("n/a", None, None), ("-", None, None), (" 12 ", 12.0, 12.0), ("2025.0", 2025.0, 2025.0), ("abc", None, None), ("", None, None), ("None", None, None), ("-3.7", -3.7, -3.0)], "value", {"dec": ("double", T.safe_decimal), "whole": ("double", T.safe_int)})
-_cases("score_parse", [("8", 8.0), ("Score: 7.5/10", 7.5), ("99", 10.0), ("0", 1.0), ("none", 5.0), ("", 5.0)], "answer", {"score": ("double", T.parsed_score)})
-_cases(
-    "not_relevant_flag",
-    [("NOT_RELEVANT", True), ("  ", True), ("", True), ("Sorry, no relevant sentences.", True), ("There is nothing relevant in this one, but it goes on for more than fifty characters.", False), ("Revenue rose.", False), ("not_relevant at all in this long passage that goes on and on and on", True)],
-    "answer",
-    {"skip": ("boolean", T.not_relevant)},
-)
-_cases("thinking_split", [("<thinking>a b</thinking> done", "a b", "done"), ("plain ", None, "plain "), ("x<Thinking>1</THINKING>y<thinking>2</thinking>", "1", "xy")], "content", {"thought": ("string", lambda c: T.thinking(c)[0]), "said": ("string", lambda c: T.thinking(c)[1])})
-_cases("error_kinds", [("HTTP 429", "rate limit"), ("Read timed out", "timeout"), ("Tool crashed", "tool"), ("Model unavailable", "model"), ("?", "other")], "message", {"kind": ("string", T.error_kind)})
-_cases("ticker_lists", [("aapl, msft,,", "AAPL|MSFT"), (" nvda ", "NVDA"), (",", "")], "given", {"symbols": ("string", lambda c: F.array_join(T.ticker_list(c), "|"))})
-_cases("epoch_times", [("0", "1970-01-01T00:00:00+00:00"), ("1700000000", "2023-11-14T22:13:20+00:00")], "seconds", {"iso": ("string", lambda c: T.epoch_text(c.cast("bigint")))})
-_cases("fence_strip", [("```json\n{}\n```", "{}"), ("SELECT 1", "SELECT 1"), ("```\na\n```", "a")], "answer", {"bare": ("string", T.without_fence)})
-_cases("ten_k_flag", [("10K", True), ("sec_10k", True), ("reference", False), ("", False)], "kind", {"filing": ("boolean", lambda c: T.is_10k(F.lit(None).cast("string"), c))})
+#: White space for SQL's trim, and a case of each document, event or row by its number.
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
-def _entity(c: Column) -> Column:
-    return T.entity_text(F.split_part(c, F.lit("|"), F.lit(2)), F.split_part(c, F.lit("|"), F.lit(1)))
+def _case(number: str, *values: str) -> str:
+    return f"CASE {number} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
-_cases("entity_text_normalize", [("Organization|  acme   works ", "Acme Works"), ("Organization|acme inc", "acme inc"), ("Person|Jane doe", "Jane doe"), ("Person|jane doe", "Jane Doe"), ("Concept|net   income", "net income"), ("Concept|P/E", "P/E"), ("Organization|IBM", "IBM")], "mention", {"normal": ("string", _entity)})
+_derived(
+    "doc_id_clean", "documents", "doc_id",
+    f"concat({_case('doc_id', 'upper(lang)', 'source', chr(39) + 'a b&c' + chr(39))}, {_case('doc_id', chr(39) + '_10K_' + chr(39), chr(39) + '_10k_' + chr(39), chr(39) + '.news_' + chr(39), chr(39) + ' no ' + chr(39))}, 2000 + doc_id % 25, {_case('doc_id', chr(39) * 2, chr(39) + '.v1.pdf' + chr(39), chr(39) + '.PDF' + chr(39), chr(39) + '.' + chr(39), chr(39) + '-x.txt' + chr(39))})",
+    {"document_id": ("string", T.document_id), "kind": ("string", T.document_type)},
+    {"document_id": r"regexp_replace(regexp_replace(given, '(.)\.[^.]*$', '\1', 's'), '[^\w\-]', '_', 'g')", "kind": "CASE WHEN contains(lower(given), '_10k_') THEN '10k' ELSE 'reference' END"},
+)
+_PARTS = "string_split(given, '_')"
+_derived(
+    "ticker_extract", "documents", "doc_id",
+    f"concat({_case('doc_id', 'upper(lang)', 'lang', chr(39) + 'TOOLONG' + chr(39), chr(39) + 'A' + chr(39), 'upper(source)')}, {_case('doc_id', chr(39) + '_10K_' + chr(39), chr(39) + '_10k_' + chr(39), chr(39) + '_' + chr(39), chr(39) * 2)}, {_case('doc_id', 'concat(2000 + doc_id % 25)', 'source', 'concat(7)')})",
+    {"of_filing": ("string", T.ticker_of_filing), "of_name": ("string", T.ticker_of_name), "of_parts": ("string", T.ticker_of_parts), "of_upper": ("string", T.ticker_of_upper)},
+    {
+        "of_filing": r"nullif(regexp_extract(given, '^([A-Z]{1,5})_10[Kk]_\d{4}', 1), '')",
+        "of_name": "nullif(regexp_extract(given, '^([A-Z]{1,5})_', 1), '')",
+        "of_parts": f"CASE WHEN len({_PARTS}) >= 3 AND upper({_PARTS}[2]) = '10K' THEN {_PARTS}[1] END",
+        "of_upper": f"CASE WHEN length({_PARTS}[1]) BETWEEN 2 AND 5 AND {_PARTS}[1] = upper({_PARTS}[1]) AND {_PARTS}[1] <> lower({_PARTS}[1]) THEN {_PARTS}[1] END",
+    },
+)
+_PLAIN = _TRIM.format("regexp_replace(given, '[,$]', '', 'g')")
+_derived(
+    "safe_decimal_int", "customer", "c_custkey",
+    _case("c_custkey", "concat('$', c_custkey % 9, ',', 100 + c_custkey % 900, '.50')", "concat('  ', c_custkey, ' ')", "'n/a'", "concat('-', c_custkey, '.7')", "'-'", "concat(c_custkey, 'x')", "concat(c_custkey, '.0')", "''", "'None'", "lower(c_mktsegment)"),
+    {"dec": ("double", T.safe_decimal), "whole": ("double", T.safe_int)},
+    {"dec": f"CAST(CASE WHEN lower({_PLAIN}) NOT IN ('', 'null', 'none', 'n/a', '-') THEN TRY_CAST({_PLAIN} AS DECIMAL(15,2)) END AS DOUBLE)", "whole": "CAST(TRY_CAST(trunc(TRY_CAST(trim(given) AS DOUBLE)) AS INTEGER) AS DOUBLE)"},
+)
+_derived(
+    "score_parse", "documents", "doc_id",
+    _case("doc_id", "concat('Score: ', doc_id % 13, '.5/10')", "concat(doc_id % 30, ' of 10')", "source", "''", "concat('x', doc_id % 9, ' then ', doc_id % 12, '.')", "concat('0.', doc_id % 7)"),
+    {"score": ("double", T.parsed_score)},
+    {"score": r"CASE WHEN regexp_matches(given, '\b\d+(?:\.\d+)?\b') THEN greatest(CAST(1 AS DOUBLE), least(CAST(10 AS DOUBLE), CAST(regexp_extract(given, '\b(\d+(?:\.\d+)?)\b', 1) AS DOUBLE))) ELSE CAST(5 AS DOUBLE) END"},
+)
+_PHRASES = " OR ".join(f"contains(lower(given), {_text(w)})" for w in T.NOT_RELEVANT_PHRASES)
+_derived(
+    "not_relevant_flag", "documents", "doc_id",
+    _case("doc_id", "''", "concat('not_relevant: ', source)", "concat(source, ': no relevant sentences')", "text", "concat('Nothing relevant here, ', substr(text, 1, 80))", "concat(' ', chr(10))", "concat('could not find ', lang)"),
+    {"skip": ("boolean", T.not_relevant)},
+    {"skip": f"{_TRIM.format('given')} = '' OR contains(upper(given), 'NOT_RELEVANT') OR (length(given) < {T.NOT_RELEVANT_BELOW} AND ({_PHRASES}))"},
+)
+_MARKED = "'(?is)<thinking>.*?</thinking>'"
+_derived(
+    "thinking_split", "conversations", "conv_id, turn",
+    _case("turn", "concat('<thinking> ', role, ' </thinking> ', text)", "concat(text, '<Thinking>', turn, '</THINKING>', role, '<thinking>x', chr(10), 'y</thinking>')", "text", "concat('<thinking>', text)"),
+    {"thought": ("string", lambda c: T.thinking(c)[0]), "said": ("string", lambda c: T.thinking(c)[1])},
+    {
+        "thought": f"CASE WHEN regexp_matches(given, {_MARKED}) THEN {_TRIM.format(chr(114) + 'egexp_extract(given, ' + chr(39) + '(?is)<thinking>(.*?)</thinking>' + chr(39) + ', 1)')} END",
+        "said": f"CASE WHEN regexp_matches(given, {_MARKED}) THEN {_TRIM.format('regexp_replace(given, ' + _MARKED + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} ELSE given END",
+    },
+    digest=True,
+)
+_derived(
+    "error_kinds", "events", "event_id",
+    f"concat(event_type, {_case('event_id', chr(39) + ': HTTP 429' + chr(39), chr(39) + ': Read TIMED OUT' + chr(39), chr(39) + ' in Tool' + chr(39), chr(39) + ' of model' + chr(39), chr(39) + ' without Fallback' + chr(39), chr(39) + ': Rate Limit of the tool' + chr(39), chr(39) * 2)})",
+    {"kind": ("string", T.error_kind), "told": ("string", T.friendly_error)},
+    {
+        "kind": "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(given), {_text(w)})' for w in words)} THEN {_text(kind)}" for kind, words, _ in T.ERRORS) + " ELSE 'other' END",
+        "told": "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(given), {_text(w)})' for w in words)} THEN {_text(told)}" for _, words, told in T.ERRORS) + " ELSE 'Something went wrong. Please try again.' END",
+    },
+)
+_derived(
+    "ticker_lists", "part", "p_partkey",
+    "concat(lower(p_type), ', ', p_brand, ',, ', p_size, CASE WHEN p_partkey % 3 = 0 THEN ' , ' ELSE '' END)",
+    {"symbols": ("string", lambda c: F.array_join(T.ticker_list(c), "|"))},
+    {"symbols": "array_to_string(list_filter(list_transform(string_split(given, ','), lambda t: upper(trim(t))), lambda t: t <> ''), '|')"},
+)
+_derived(
+    "epoch_times", "events", "event_id",
+    "CAST(event_id * 86399 + 1 AS BIGINT)",
+    {"iso": ("string", T.epoch_text)},
+    {"iso": "strftime(make_timestamp(given * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"},
+)
+_derived(
+    "fence_strip", "documents", "doc_id",
+    _case("doc_id", "concat('```json', chr(10), source, chr(10), '```')", "concat('```', chr(10), text, chr(10), '```', chr(10))", "text", "concat('  ```SQL SELECT ', doc_id, '``` ')"),
+    {"bare": ("string", T.without_fence)},
+    {"bare": _TRIM.format(f"regexp_replace({_TRIM.format('given')}, '(?i)^```[a-z]*\\s*|\\s*```$', '', 'g')".replace("\\\\", "\\"))},
+    digest=True,
+)
+_derived(
+    "ten_k_flag", "documents", "doc_id",
+    _case("doc_id", "'10K'", "concat('sec_10k_', lang)", "source", "''"),
+    {"filing": ("boolean", lambda c: T.is_10k(F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, ""), c))},
+    {"filing": "contains(lower(coalesce(nullif(CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '' END, ''), given, '')), '10k')"},
+)
+_FLAT = f"regexp_replace({_TRIM.format('given')}, '\\s+', ' ', 'g')".replace("\\\\", "\\")
+_FIRM = " OR ".join(f"contains(upper({_FLAT}), {_text(w)})" for w in T.FIRM_WORDS)
+_KIND = _case("p_partkey", "'Organization'", "'Person'", "'Concept'")
+_derived(
+    "entity_text_normalize", "part", "p_partkey",
+    "CASE floor(p_partkey / 3) % 8 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN p_type WHEN 3 THEN concat('  ', p_name, '   inc ') WHEN 4 THEN p_brand WHEN 5 THEN concat(lower(p_type), '  ', p_name) WHEN 6 THEN 'P/E' ELSE substr(p_type, 1, 4) END",
+    {"normal": ("string", lambda c: T.entity_text(c, F.expr(_KIND)))},
+    {
+        "normal": f"CASE WHEN regexp_matches({_FLAT}, '^[A-Z]{{2,5}}$') OR regexp_matches({_FLAT}, '^[A-Z/]{{2,10}}$') THEN {_FLAT}"
+        f" WHEN {_KIND} IN ('Organization', 'Person') AND NOT ({_FIRM}) AND NOT ({_FLAT}[1] = upper({_FLAT}[1]) AND {_FLAT}[1] <> lower({_FLAT}[1]))"
+        f" THEN array_to_string(list_transform(string_split({_FLAT}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE {_FLAT} END"
+    },
+)
 
 
 @query("relevance_score_format", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(CAST(doc_id % 10 + 1 AS INTEGER) AS VARCHAR) || '/10' WHEN doc_id % 100 = 50 OR doc_id % 100 = 0 THEN '?/10' ELSE CAST(least(10, greatest(1, CAST(floor((doc_id % 50) / 50.0 * 10) AS INTEGER))) AS VARCHAR) || '/10' END AS relevance FROM documents")
@@ -151,10 +232,11 @@ def extraction_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy("lang").agg(F.round(F.sum(cost), 4).alias("cost"))
 
 
-#: Values as results show them, by column.
-_SHOWN = [("revenue", "1234.6", "$1,235M"), ("gross_margin", "45.25", "45.2%"), ("diluted_eps", "2.5", "$2.50"), ("fiscal_year", "2024", "2024"), ("name", "Acme", "Acme"), ("id", "7", "7")]
-
-
-@query("result_values", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in _SHOWN) + ") AS t(name, value, shown)")
+@query(
+    "result_values",
+    "SELECT o_orderkey, format('${:,.0f}M', o_totalprice) AS revenue, format('{:.1f}%', o_totalprice / 1000) AS gross_margin, format('${:.2f}', o_totalprice / 64) AS diluted_eps, CAST(year(o_orderdate) AS VARCHAR) AS fiscal_year, o_orderpriority AS name FROM orders",
+)
 def result_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, v, shown(k, v)) for k, v, _ in _SHOWN], "name string, value string, shown string")
+    price = F.col("o_totalprice")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", price.alias("revenue"), (price / 1000).alias("gross_margin"), (price / 64).alias("diluted_eps"), F.year("o_orderdate").alias("fiscal_year"), F.col("o_orderpriority").alias("name"))
+    return shown_columns(rows, ["revenue", "gross_margin", "diluted_eps", "fiscal_year", "name"])

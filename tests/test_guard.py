@@ -164,3 +164,29 @@ def test_tools_go_on_after_errors():
     assert [r["status"] for r in rows] == ["ok", "error", "error", "error"] and rows[0]["content"] == "3"
     assert arguments_of({"name": "x", "arguments": "{}"}) == ("x", {})
     assert clean_sql("```sql\nSELECT 1\n```") == "SELECT 1"
+
+
+#: Statements, the lexical verdict on them, their tables, and what is left of them.
+VERDICTS = [
+    ("SELECT * FROM companies", None, "companies", "SELECT * FROM companies LIMIT 100"),
+    ("SELECT * FROM companies LIMIT 50", None, "companies", "SELECT * FROM companies LIMIT 50"),
+    ("SELECT * FROM companies LIMIT 5000;", None, "companies", "SELECT * FROM companies LIMIT 1000;"),
+    ("SELECT * FROM companies -- all", None, "companies", "SELECT * FROM companies LIMIT 100"),
+    ("DELETE FROM companies", "Only SELECT queries are allowed", "companies", "DELETE FROM companies LIMIT 100"),
+    ("SELECT * INTO temp FROM companies", "Only SELECT queries are allowed", "companies,temp", "SELECT * INTO temp FROM companies LIMIT 100"),
+    ("SELECT * FROM users", "Access denied: tables not allowed: users", "users", "SELECT * FROM users LIMIT 100"),
+    ("SELECT c.name FROM public.companies c JOIN financial_metrics f ON c.id = f.company_id", None, "companies,financial_metrics", "SELECT c.name FROM public.companies c JOIN financial_metrics f ON c.id = f.company_id LIMIT 100"),
+    ("SELECT 1", None, "", "SELECT 1 LIMIT 100"),
+]
+
+
+def test_verdicts(spark):
+    log = spark.createDataFrame([(s,) for s, *_ in VERDICTS] + [(None,)], "statement string")
+    assert sorted(map(tuple, guard.judged(log).collect()), key=str) == sorted([*VERDICTS, (None,) * 4], key=str)
+
+
+def test_shown_columns_equal_shown_values(spark):
+    rows = [(1234567.5, 45.25, 2.675, 2024), (-0.5, 0.05, 1e7, 1999), (1.5, 45.35, 0.125, 2000)]
+    df = spark.createDataFrame(rows, "revenue double, gross_margin double, diluted_eps double, fiscal_year int")
+    got = guard.shown_columns(df, df.columns).collect()
+    assert [tuple(r) for r in got] == [tuple(guard.shown(c, v) for c, v in zip(df.columns, r, strict=True)) for r in rows]

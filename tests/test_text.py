@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from math import log
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as T
@@ -89,3 +90,48 @@ def test_providers():
     assert distinct_variants("What is X?", ["what is x? ", "short", "another one", "Another One", "third way", "fourth way"]) == ["What is X?", "another one", "third way", "fourth way"]
     a = RuleAnalyst()
     assert a.analyse("how do A and B compete").complex and a.analyse("x" * 900).variants[0] == "x" * 500
+
+#: Functions on given values, and what they are to give.
+CASES: dict[str, tuple[list[tuple], dict]] = {}
+
+
+def _case(name, rows, given, results):
+    CASES[name] = rows, results
+
+
+_case("doc_id_clean", [("NVDA_10K_2025.pdf", "NVDA_10K_2025", "10k"), ("a b&c.news.pdf", "a_b_c_news", "reference"), ("x_10k_y.PDF", "x_10k_y", "10k"), ("no stem", "no_stem", "reference")], "name", {"document_id": ("string", T.document_id), "kind": ("string", T.document_type)})
+_case(
+    "ticker_extract",
+    [("AAPL_10K_2024", "AAPL", "AAPL", "AAPL", "AAPL"), ("AAPL_10k_x", None, "AAPL", "AAPL", "AAPL"), ("TOOLONG_10K_2024", None, None, "TOOLONG", None), ("A_news", None, "A", None, None), ("aapl_10K_2024", None, None, "aapl", None), ("B_10K_2020", "B", "B", "B", None), ("MSFT", None, None, None, "MSFT")],
+    "doc",
+    {"of_filing": ("string", T.ticker_of_filing), "of_name": ("string", T.ticker_of_name), "of_parts": ("string", T.ticker_of_parts), "of_upper": ("string", T.ticker_of_upper)},
+)
+_case("safe_decimal_int", [("$1,234.50", 1234.5, None), ("n/a", None, None), ("-", None, None), (" 12 ", 12.0, 12.0), ("2025.0", 2025.0, 2025.0), ("abc", None, None), ("", None, None), ("None", None, None), ("-3.7", -3.7, -3.0)], "value", {"dec": ("double", T.safe_decimal), "whole": ("double", T.safe_int)})
+_case("score_parse", [("8", 8.0), ("Score: 7.5/10", 7.5), ("99", 10.0), ("0", 1.0), ("none", 5.0), ("", 5.0)], "answer", {"score": ("double", T.parsed_score)})
+_case(
+    "not_relevant_flag",
+    [("NOT_RELEVANT", True), ("  ", True), ("", True), ("Sorry, no relevant sentences.", True), ("There is nothing relevant in this one, but it goes on for more than fifty characters.", False), ("Revenue rose.", False), ("not_relevant at all in this long passage that goes on and on and on", True)],
+    "answer",
+    {"skip": ("boolean", T.not_relevant)},
+)
+_case("thinking_split", [("<thinking>a b</thinking> done", "a b", "done"), ("plain ", None, "plain "), ("x<Thinking>1</THINKING>y<thinking>2</thinking>", "1", "xy")], "content", {"thought": ("string", lambda c: T.thinking(c)[0]), "said": ("string", lambda c: T.thinking(c)[1])})
+_case("error_kinds", [("HTTP 429", "rate limit"), ("Read timed out", "timeout"), ("Tool crashed", "tool"), ("Model unavailable", "model"), ("?", "other")], "message", {"kind": ("string", T.error_kind)})
+_case("ticker_lists", [("aapl, msft,,", "AAPL|MSFT"), (" nvda ", "NVDA"), (",", "")], "given", {"symbols": ("string", lambda c: F.array_join(T.ticker_list(c), "|"))})
+_case("epoch_times", [("0", "1970-01-01T00:00:00+00:00"), ("1700000000", "2023-11-14T22:13:20+00:00")], "seconds", {"iso": ("string", lambda c: T.epoch_text(c.cast("bigint")))})
+_case("fence_strip", [("```json\n{}\n```", "{}"), ("SELECT 1", "SELECT 1"), ("```\na\n```", "a")], "answer", {"bare": ("string", T.without_fence)})
+_case("ten_k_flag", [("10K", True), ("sec_10k", True), ("reference", False), ("", False)], "kind", {"filing": ("boolean", lambda c: T.is_10k(F.lit(None).cast("string"), c))})
+
+
+def _entity(c):
+    return T.entity_text(F.split_part(c, F.lit("|"), F.lit(2)), F.split_part(c, F.lit("|"), F.lit(1)))
+
+
+_case("entity_text_normalize", [("Organization|  acme   works ", "Acme Works"), ("Organization|acme inc", "acme inc"), ("Person|Jane doe", "Jane doe"), ("Person|jane doe", "Jane Doe"), ("Concept|net   income", "net income"), ("Concept|P/E", "P/E"), ("Organization|IBM", "IBM")], "mention", {"normal": ("string", _entity)})
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_cases(spark, name):
+    rows, results = CASES[name]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, given string")
+    got = df.select("i", *(fn(F.col("given")).cast(kind).alias(c) for c, (kind, fn) in results.items())).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [r[1:] for r in rows]
