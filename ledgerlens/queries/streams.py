@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import providers
 from ledgerlens.session import table
-from ledgerlens.streaming import events
+from ledgerlens.streaming import conversations, events
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,45 @@ def message_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.sanitised_messages(rows).select("conv_id", "turn", "content")
 
 
+#: A user's events as a conversation, ten minutes as a second: two kinds are put into the queue, the others read; up to two may wait.
+_PUTS = "('click', 'view')"
+_STREAM = f"""
+    WITH RECURSIVE o AS (
+        SELECT user_id AS c, event_id AS seq, CAST(floor(epoch(ts) / 600) AS BIGINT) AS sec, event_type IN {_PUTS} AS put,
+            row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts) / 600) AS BIGINT), event_id) AS n FROM events
+    ), r AS (
+        SELECT DISTINCT c, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS waiting, false AS opened, CAST(-1 AS BIGINT) AS due,
+            CAST([] AS STRUCT(sec BIGINT, seq BIGINT, type VARCHAR)[]) AS gives FROM o
+        UNION ALL
+        SELECT c, n, CASE WHEN ends THEN [] WHEN gave THEN held[2:] ELSE held END, NOT ends AND (opened OR NOT put),
+            CASE WHEN gave THEN -1 WHEN NOT put AND late < 0 THEN sec + 15 ELSE late END,
+            list_concat(list_transform(quiet, lambda x: {{'sec': x, 'seq': NULL, 'type': 'keep-alive'}}),
+                CASE WHEN refused THEN [{{'sec': sec, 'seq': seq, 'type': 'refused'}}] ELSE [] END,
+                CASE WHEN NOT put AND NOT opened THEN [{{'sec': sec, 'seq': NULL, 'type': 'open'}}] ELSE [] END,
+                CASE WHEN gave THEN [{{'sec': sec, 'seq': held[1], 'type': CASE WHEN ends THEN 'complete' ELSE 'message' END}}] ELSE [] END)
+        FROM (
+            SELECT *, gave AND held[1] % 20 = 0 AS ends FROM (
+                SELECT *, (NOT put OR (NOT refused AND late >= 0)) AND len(held) > 0 AS gave FROM (
+                    SELECT *, CASE WHEN put AND NOT refused THEN list_append(waiting, seq) ELSE waiting END AS held, CASE WHEN due >= 0 THEN due + 15 * len(quiet) ELSE -1 END AS late FROM (
+                        SELECT o.*, r.waiting, r.opened, r.due, o.put AND len(r.waiting) > 2 AS refused, CASE WHEN r.due >= 0 THEN range(r.due, o.sec, 15) ELSE [] END AS quiet
+                        FROM r JOIN o ON o.c = r.c AND o.n = r.n + 1))))
+    ), told AS (SELECT c, unnest(gives, recursive := true) FROM r)
+    SELECT c AS conv_id, sec AS second, seq, CASE WHEN type = 'keep-alive' THEN ': keep-alive' ELSE 'data: {{"type":"' || type || '"' || CASE WHEN type = 'open' THEN '' ELSE ',"content":"' || e.event_type || '"' END || ',"conversationId":"' || c || '"}}' END || chr(10) || chr(10) AS frame
+    FROM told LEFT JOIN events e ON e.event_id = seq
+"""
+
+
+@query("conversation_stream", _STREAM)
+def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    put = F.col("event_type").isin("click", "view")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("conv_id"), F.col("event_id").alias("seq"), F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000)).alias("ts"),
+        F.when(put, "put").otherwise("read").alias("action"), F.when(F.col("event_id") % 20 == 0, "complete").otherwise("message").alias("type"), F.col("event_type").alias("content"),
+    )
+    told = conversations.frames(conversations.delivered(rows, 2))
+    return told.select("conv_id", F.unix_seconds("at").alias("second"), "seq", "frame")
+
+
 @query("agent_state", "SELECT conv_id AS conversation_id, count(text) AS messages, array_to_string(list_distinct(list(role ORDER BY turn)), ',') AS roles FROM conversations GROUP BY 1")
 def agent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("seq"), F.col("text").alias("message"), F.col("role").alias("tool"), F.lit(None).cast("string").alias("error"))
