@@ -197,36 +197,7 @@ def merged_properties(old: DataFrame, new: DataFrame, keys: list[str], propertie
     return both.select(*keys, F.map_concat(kept, F.coalesce("_new", F.create_map().cast("map<string,string>"))).alias(properties))
 
 
-# Extraction
-
-
-def extract_entities(pages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(document_id, page, text, type, raw_text, position) by a table of patterns (label, pattern, kind).
-
-    Patterns of kind ``phrase`` match as they are, those of kind ``token`` a single word in any case. Pages are cut into
-    words once; where a word begins a pattern, word sequences are joined with the patterns by hash, not page by pattern. The
-    table of patterns is a small one, whose first words come to the driver. Longer matches win over those inside them.
-    """
-    words = F.expr("regexp_extract_all(text, '[A-Za-z0-9&./-]*[A-Za-z0-9]', 0)")
-    cut = pages.select("document_id", "page", words.alias("_w"))
-    known = patterns.select("kind", "pattern").collect()
-    longest = max([len(r.pattern.split(" ")) for r in known if r.kind == "phrase"], default=1)
-    begin = {r.pattern.split(" ")[0] for r in known if r.kind == "phrase"} or {""}
-    single = {r.pattern.lower() for r in known if r.kind == "token"} or {""}
-    places = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(*begin) | F.lower(p["w"]).isin(*single))
-    upto = lambda p: F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - p["i"]))
-    spans = F.flatten(F.transform(places, lambda p: F.transform(upto(p), lambda n: F.struct(p["i"].alias("position"), n.alias("size"), F.array_join(F.slice(F.col("_w"), p["i"] + 1, n), " ").alias("said")))))
-    each = cut.select("document_id", "page", F.explode(spans).alias("s")).select("document_id", "page", "s.*")
-    phrases = each.join(patterns.where("kind = 'phrase'"), F.col("said") == F.col("pattern"))
-    single = each.where("size = 1").join(patterns.where("kind = 'token'"), F.lower("said") == F.lower("pattern"))
-    hit = phrases.unionByName(single)
-    hit = hit.where(F.length("said").between(2, 100))
-    # Whatever lies inside a longer match, as (position, size), of which a match of n words has fewer than n * n.
-    sizes = F.sequence(F.lit(1), F.col("size") - 1)
-    parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.col("size") - n), lambda d: F.struct((F.col("position") + d).alias("position"), n.alias("size")))))
-    inside = hit.where("size > 1").select("document_id", "page", F.explode(parts).alias("i")).select("document_id", "page", "i.*").distinct()
-    kept = hit.join(inside, ["document_id", "page", "position", "size"], "left_anti")
-    return kept.select("document_id", "page", F.col("said").alias("raw_text"), F.col("label").alias("type"), "position").distinct()
+# Entities of one text
 
 
 def merged_by_text(found: DataFrame, order: list[str], confidence: str = "confidence", kind: str = "type", keys: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import is_10k, ticker_of_filing, ticker_of_parts
-from ledgerlens.operators import chunking, graph, load, vector
+from ledgerlens.operators import chunking, entities, graph, load, vector
 from ledgerlens.providers import HashedTerms
 
 VERSION = "v3_hybrid"
@@ -52,15 +52,32 @@ def indexed(index: DataFrame, manifest: DataFrame, documents: DataFrame, force:
     return vector.upsert_document(index, records), done.withColumn("index_schema_version", F.lit(VERSION)).withColumn("indexed", F.lit(True))
 
 
-def graph_of(documents: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def graph_of(documents: DataFrame, patterns: DataFrame, recogniser: entities.Recogniser | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities (entity_id, type, text, mention_count, ...) and mentions (document_id, entity_id, page) of documents."""
-    pages = load.with_text(load.page_rows(documents)).select("document_id", F.col("page_number").alias("page"), "text")
-    found = graph.extract_entities(pages, patterns).withColumns({"text": F.col("raw_text"), "confidence": F.lit(1.0), "source_document": F.col("document_id")})
+    pages = _pages(documents)
+    return _graph(entities.found_entities(pages, patterns, recogniser))
+
+
+def _pages(documents: DataFrame) -> DataFrame:
+    return load.with_text(load.page_rows(documents)).select("document_id", F.col("page_number").alias("page"), "text")
+
+
+def _graph(given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = given.withColumns({"confidence": F.lit(1.0), "source_document": F.col("document_id")})
     once = graph.merged_by_text(found, ["page", "position"], keys=["document_id", "page"]).withColumn("source_document", F.col("document_id"))
     none = once.select("type", "text", F.lit(0).cast("bigint").alias("mention_count"), "source_document", "confidence").limit(0)
-    entities = graph.merged_entities(none, once).withColumn("entity_id", F.sha2(F.concat_ws("\u0001", "type", "text"), 256))
-    mentions = graph.merged_mentions(once.select("document_id", F.lit(None).cast("string").alias("entity_id"), "page").limit(0), entities, once.select("document_id", "text", "page"))
-    return entities, mentions
+    known = graph.merged_entities(none, once).withColumn("entity_id", F.sha2(F.concat_ws("\u0001", "type", "text"), 256))
+    mentions = graph.merged_mentions(once.select("document_id", F.lit(None).cast("string").alias("entity_id"), "page").limit(0), known, once.select("document_id", "text", "page"))
+    return known, mentions
+
+
+def entity_index(documents: DataFrame, known: DataFrame, patterns: DataFrame, recogniser: entities.Recogniser | None = None, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities and mentions of the documents that the graph (``known``: document_id) doesn't hold yet, and the run's statistics."""
+    wanted = entities.needs_entities(documents, known, force)
+    pages = _pages(wanted)
+    found = entities.found_entities(pages, patterns, recogniser)
+    nodes, mentions = _graph(found)
+    return nodes, mentions, entities.indexing_statistics(documents, wanted, pages, found, mentions)
 
 
 def metrics_tables(documents: DataFrame, companies: DataFrame) -> dict[str, DataFrame]:

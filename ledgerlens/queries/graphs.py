@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import graph
+from ledgerlens.operators import entities, graph
 from ledgerlens.session import table
 
 QUERIES: dict = {}
@@ -166,17 +166,71 @@ def entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merged_by_text(found, ["l_orderkey", "l_linenumber"]).select(F.lower("text").alias("text"), "mention_count")
 
 
-#: Patterns looked for in the documents: words in any case, and phrases as they are.
-PATTERNS = [("CONCEPT", "that", "token"), ("CONCEPT", "the", "token"), ("ORG", "of the", "phrase"), ("REGULATION", "the of", "phrase")]
-_WORDS = "regexp_extract_all(text, '[A-Za-z0-9&./-]*[A-Za-z0-9]')"
+#: Patterns made of the benchmark's items: phrases of three and of two words, and single words in any case.
+_WORDS = "regexp_extract_all({}, '[A-Za-z0-9&./-]*[A-Za-z0-9]')"
+_ITEM = _WORDS.format("text")
+_PATTERNS = f"""
+    SELECT DISTINCT 'ORG' AS label, array_to_string(w[k:k + 2], ' ') AS pattern, 'phrase' AS kind, 3 AS n FROM (SELECT {_ITEM} AS w FROM benchmark), (VALUES (1), (2), (6), (11)) v(k) WHERE len(w) >= k + 2
+    UNION SELECT DISTINCT 'LAW', array_to_string(w[k:k + 1], ' '), 'phrase', 2 FROM (SELECT {_ITEM} AS w FROM benchmark), (VALUES (2), (4), (9)) v(k) WHERE len(w) >= k + 1
+    UNION SELECT DISTINCT 'PRODUCT', lower(w[k]), 'token', 1 FROM (SELECT {_ITEM} AS w FROM benchmark), (VALUES (1), (5), (8), (10)) v(k) WHERE len(w) >= k
+"""
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.expr("regexp_extract_all(text, '[A-Za-z0-9&./-]*[A-Za-z0-9]', 0)")
+    items = table(spark, sf_dir, "benchmark").select(w.alias("w"))
+    out = None
+    for label, kind, n, starts in (("ORG", "phrase", 3, (1, 2, 6, 11)), ("LAW", "phrase", 2, (2, 4, 9)), ("PRODUCT", "token", 1, (1, 5, 8, 10))):
+        some = items.select(F.explode(F.array(*map(F.lit, starts))).alias("k"), "w").where(F.size("w") >= F.col("k") + n - 1)
+        said = F.array_join(F.slice("w", F.col("k"), n), " ")
+        rows = some.select(F.lit(label).alias("label"), (F.lower(said) if kind == "token" else said).alias("pattern"), F.lit(kind).alias("kind"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
+
+
+def _apart(n: int, free: str) -> str:
+    """Starts of patterns of n words in each document that others have left free, each taking its words, from left to right."""
+    greedy = f"list_reduce(list_transform(list_sort(list(i)), lambda x: [x]), lambda a, b: CASE WHEN b[1] >= a[-1] + {n} THEN list_concat(a, b) ELSE a END)"
+    return f"SELECT r, unnest({greedy}) AS i, {n} AS n FROM (SELECT h.r, h.i FROM hits h WHERE h.n = {n}{free}) GROUP BY r"
+
+
+_FREE = " AND NOT EXISTS (SELECT 1 FROM {t} t WHERE t.r = h.r AND t.i < h.i + h.n AND h.i < t.i + t.n)"
+_ENTITIES = f"""
+    p AS ({_PATTERNS}), read AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    x AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM read),
+    hits AS (SELECT DISTINCT r, i, p.n FROM (SELECT r, i, 3 AS n, array_to_string(w[i:i + 2], ' ') AS s FROM x WHERE i + 2 <= len(w) UNION ALL SELECT r, i, 2, array_to_string(w[i:i + 1], ' ') FROM x WHERE i + 1 <= len(w) UNION ALL SELECT r, i, 1, lower(w[i]) FROM x) y JOIN p ON p.n = y.n AND p.pattern = y.s),
+    three AS ({_apart(3, "")}), two AS ({_apart(2, _FREE.format(t="three"))}), longer AS (SELECT * FROM three UNION ALL SELECT * FROM two), one AS ({_apart(1, _FREE.format(t="longer"))}),
+    found AS (SELECT read.doc_id, t.i - 1 AS position, array_to_string(read.w[t.i:t.i + t.n - 1], ' ') AS raw, CASE n WHEN 3 THEN 'Organization' WHEN 2 THEN 'Regulation' ELSE 'Product' END AS type
+        FROM (SELECT * FROM longer UNION ALL SELECT * FROM one) t JOIN read USING (r)),
+    kept AS (SELECT * FROM found WHERE length(raw) BETWEEN 2 AND 100)
+"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Between an entity's words there may be white space of any kind, which its raw text has.
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
+    return entities.found_entities(pages, _patterns(spark, sf_dir))
+
+
+@query("entity_extraction", "SELECT doc_id, count(*) AS mentions, md5(string_agg(CAST(position AS VARCHAR) || ' ' || type || ' ' || raw, ',' ORDER BY position)) AS digest FROM kept GROUP BY 1", _ENTITIES)
+def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_join(F.expr("regexp_extract_all(raw_text, '[A-Za-z0-9&./-]*[A-Za-z0-9]', 0)"), " ")
+    said = F.struct("position", F.concat_ws(" ", F.col("position").cast("string"), "type", words).alias("said"))
+    rows = _found(spark, sf_dir).groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("mentions"), F.array_sort(F.collect_list(said)).alias("all"))
+    return rows.select("doc_id", "mentions", F.md5(F.array_join(F.transform("all", lambda x: x["said"]), ",")).alias("digest"))
 
 
 @query(
-    "entity_extraction",
-    "SELECT type, count(*) AS mentions FROM (SELECT 'ORG' AS type FROM w WHERE a = 'of' AND b = 'the' UNION ALL SELECT 'REGULATION' FROM w WHERE a = 'the' AND b = 'of' UNION ALL SELECT 'CONCEPT' FROM w WHERE lower(a) = 'that' UNION ALL SELECT 'CONCEPT' FROM w WHERE lower(a) = 'the' AND NOT coalesce(before = 'of' AND a = 'the', false) AND NOT coalesce(a = 'the' AND b = 'of', false)) GROUP BY 1",
-    f"x AS (SELECT doc_id, unnest({_WORDS}) AS a, unnest(range(len({_WORDS}))) AS i FROM documents), w AS (SELECT a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b, lag(a) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM x)",
+    "entity_index_statistics",
+    "SELECT (SELECT count(*) FROM documents WHERE doc_id % 4 > 0) AS documents_processed, (SELECT count(*) FROM documents WHERE doc_id % 4 = 0) AS documents_skipped, (SELECT count(*) FROM documents WHERE doc_id % 4 > 0) AS total_pages,"
+    " count(*) AS total_entity_mentions, count(DISTINCT lower(raw)) AS unique_entities, count(DISTINCT (doc_id, lower(raw))) AS relationships_created FROM kept WHERE doc_id % 4 > 0",
+    _ENTITIES,
 )
-def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
-    found = graph.extract_entities(pages, spark.createDataFrame(PATTERNS, "label string, pattern string, kind string"))
-    return found.groupBy("type").agg(F.count("*").alias("mentions"))
+def entity_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the documents that the graph doesn't hold: every fourth one is there already."""
+    documents = table(spark, sf_dir, "documents").withColumn("document_id", F.col("doc_id"))
+    wanted = entities.needs_entities(documents, documents.where("doc_id % 4 = 0"))
+    pages = wanted.select("document_id", F.lit(1).alias("page"), "text")
+    found = entities.found_entities(pages, _patterns(spark, sf_dir)).withColumn("text", F.array_join(F.expr("regexp_extract_all(raw_text, '[A-Za-z0-9&./-]*[A-Za-z0-9]', 0)"), " "))
+    edges = found.select("document_id", F.lower("text").alias("text")).distinct()
+    return entities.indexing_statistics(documents, wanted, pages, found, edges)

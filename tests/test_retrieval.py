@@ -171,10 +171,3 @@ def test_merges(small, spark):
     assert got["Org", "Alpha"] == (5, "s") and got["Org", "New"] == (1, "z") and got["Person", "alpha"] == (1, "s")
     rows = spark.createDataFrame([("Acme", "Org", 0.5, 1), ("ACME", "Org", 0.9, 2), ("acme", "Org", 0.9, 3)], "text string, type string, confidence double, seq int")
     assert tuple(graph.merged_by_text(rows, ["seq"]).first()) == ("ACME", "Org", 0.9, 3)
-
-
-def test_extraction(spark):
-    pages = spark.createDataFrame([("d", 1, "The SEC and the Federal Reserve met; sec rules. Federal Reserve Bank")], "document_id string, page int, text string")
-    patterns = spark.createDataFrame([("REGULATION", "sec", "token"), ("REGULATION", "Federal Reserve", "phrase"), ("ORG", "Federal Reserve Bank", "phrase"), ("CONCEPT", "federal", "token")], "label string, pattern string, kind string")
-    got = sorted((r.position, r.raw_text, r.type) for r in graph.extract_entities(pages, patterns).collect())
-    assert got == [(1, "SEC", "REGULATION"), (4, "Federal Reserve", "REGULATION"), (7, "sec", "REGULATION"), (9, "Federal Reserve Bank", "ORG")]
