@@ -10,7 +10,8 @@ The suffixes that begin with such windows meet in the suffix tree of all texts b
 3. A planning pass over all texts lists the prefixes that hold more than a share of all suffixes. Each suffix goes to the group of its first 4 words; if these are
    such a prefix, to that of its first 8, and then of its first 13. Groups that a task's stream can't be made to balance are thus split by longer prefixes, and where 13 words are
    still too many's, these are a deep node's whole path: its suffixes are salted, and the least ids of the parts are brought together.
-4. A group's suffixes come sorted, as the leaves of its subtree; the longest common prefixes of neighbours give its internal nodes by a stack. Only one deep node's leaves are held at a time.
+4. A group's suffixes come sorted, as the leaves of its subtree. Those with a whole window in common lie below one deep node, and only its leaves are held at a time. What is removed
+   needs no more than that node; ``repeats`` reads on below it, where the longest common prefixes of neighbours give the nodes by a stack.
 5. Contexts get a mark for each window that is to go, documents their spans, and texts their words.
 """
 
@@ -92,6 +93,18 @@ def _sums(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _prefixes(h: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the first words, by ``PREFIXES``, of each ``LENGTH`` consecutive words, in one pass."""
+    out, found = np.zeros(max(0, len(h) - LENGTH + 1), np.uint64), []
+    for k in range(LENGTH):
+        out += h[k : k + len(out)]
+        out *= _ODD
+        out ^= out >> np.uint64(31)
+        if k + 1 in PREFIXES:
+            found.append(out.copy())
+    return found
+
+
 def _window_starts(sizes: np.ndarray) -> np.ndarray:
     """The words that windows start with, counted over all texts."""
     room = np.maximum(sizes - LENGTH + 1, 0)
@@ -148,7 +161,7 @@ def _plan(texts: DataFrame) -> dict[int, dict[int, int]]:
             start = _window_starts(sizes)
             out = [(-1, 0, len(start))]
             *_, grams = anchors(h, sizes)
-            for kind, hashes, shares in [(0, grams, HOT), *((n, _sums(h, n)[start], SHARES) for n in PREFIXES)]:
+            for kind, hashes, shares in [(0, grams, HOT), *((n, own[start], SHARES) for n, own in zip(PREFIXES, _prefixes(h), strict=True))]:
                 found, n = _many(hashes, max(4, len(hashes) // shares))
                 out += [(kind, k, m) for k, m in zip(found.view(np.int64).tolist(), n.tolist(), strict=True)]
             out.append((-2, 0, len(grams)))
@@ -221,12 +234,16 @@ def _shared(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
     return stored(some.groupBy(*_KEY).agg(F.min("first").alias("first"), F.collect_list(F.struct("place", "a", "ctx")).alias("places")), "passage-anchors")
 
 
-_SUFFIX = "group bigint, salt int, head binary, tail binary, a bigint, ctx bigint, shift int, first bigint"
+_SUFFIX = "group bigint, salt int, head binary, a bigint, ctx bigint, shift int, first bigint"
 
 
-def _suffixes(texts: DataFrame, contexts: DataFrame, plan: dict[int, dict[int, int]]) -> DataFrame:
-    """The suffixes of each context that begin with its windows, up to its end, with the group of the prefix they are parted by, and a salt above 0 where that is a whole window."""
-    arrow = _arrow_schema(texts.sparkSession, _SUFFIX)
+def _suffixes(texts: DataFrame, contexts: DataFrame, plan: dict[int, dict[int, int]], tails: bool = False) -> DataFrame:
+    """The suffixes of each context that begin with its windows, with the group of the prefix they are parted by, and a salt above 0 where that is a whole window.
+
+    ``head`` is a suffix's window, which leads to its deep node; with ``tails`` what follows it in its context, which leads on below that.
+    """
+    schema = _SUFFIX + ", tail binary" * tails
+    arrow = _arrow_schema(texts.sparkSession, schema)
     short, middle, whole = (np.array(sorted(plan[n]), np.int64) for n in PREFIXES)
     tasks = plan[LENGTH]
     wanted = contexts.groupBy("one.t1", "one.t2").agg(F.collect_list(F.struct("one.place", "a", "ctx", F.col("one.first").alias("first"))).alias("places"))
@@ -237,7 +254,7 @@ def _suffixes(texts: DataFrame, contexts: DataFrame, plan: dict[int, dict[int, i
                 text = raw.as_py()
                 words = text.split()
                 h, _ = word_hashes([text])
-                hashes = [_sums(h, k).view(np.int64) for k in PREFIXES]
+                hashes = [own.view(np.int64) for own in _prefixes(h)]
                 place, a, ctx, first = (places.values.field(k).to_numpy() for k in range(4))
                 for at in range(0, len(place), 4_096):
                     some = slice(at, at + 4_096)
@@ -257,11 +274,12 @@ def _suffixes(texts: DataFrame, contexts: DataFrame, plan: dict[int, dict[int, i
         for k in np.flatnonzero(longest & np.isin(hashes[2], whole)).tolist():
             salt[k] = 1 + int(ctx[row[k]]) % tasks[int(group[k])]
         heads = [b" ".join(words[s : s + LENGTH]) for s in start.tolist()]
-        tails = [b" ".join(words[s + LENGTH : e]) for s, e in zip(start.tolist(), end[row].tolist(), strict=True)]
-        columns = [group, salt, heads, tails, a[row], ctx[row], shift.astype(np.int32), first[row]]
+        columns = [group, salt, heads, a[row], ctx[row], shift.astype(np.int32), first[row]]
+        if tails:
+            columns.append([b" ".join(words[s + LENGTH : e]) for s, e in zip(start.tolist(), end[row].tolist(), strict=True)])
         return [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
 
-    return texts.select(*_KEY, "raw").join(wanted, _KEY).select("raw", "places").mapInArrow(run, _SUFFIX)
+    return texts.select(*_KEY, "raw").join(wanted, _KEY).select("raw", "places").mapInArrow(run, schema)
 
 
 def deep_nodes(tails: list[bytes]) -> list[tuple[int, int, int]]:
@@ -294,7 +312,7 @@ def _leaves(suffixes: DataFrame) -> DataFrame:
     """For each suffix below a deep internal node the least id of that node's leaves; of a salted one, of a part of them, with the hash of its path as ``head``."""
     arrow = _arrow_schema(suffixes.sparkSession, _LEAF)
     n = partitions(suffixes.sparkSession)
-    ordered = suffixes.repartition(n, "group", "salt").sortWithinPartitions("group", "salt", "head", "tail").select("group", "salt", "head", "a", "ctx", "shift", "first")
+    ordered = suffixes.repartition(n, "group", "salt").sortWithinPartitions("group", "salt", "head").select("group", "salt", "head", "a", "ctx", "shift", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -418,7 +436,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plan = _plan(texts) | {n: {} for n in PREFIXES}
     members = _shared(_anchored(texts), plan[0]).select(*_KEY, "first", F.explode("places").alias("p")).select("p.a", "p.ctx", *_KEY, "first", "p.place")
     contexts = members.groupBy("a", "ctx").agg(F.min(F.struct("first", *_KEY, "place")).alias("one"))
-    suffixes = _suffixes(texts, contexts, plan)
+    suffixes = _suffixes(texts, contexts, plan, tails=True)
     n = partitions(docs.sparkSession)
     ordered = suffixes.repartition(n, "group").sortWithinPartitions("group", "head", "tail").select("head", "tail", "first")
 
