@@ -52,20 +52,30 @@ def related(entities: DataFrame, mentions: DataFrame, text: str, kind: str | Non
     """(entity_id, text, type, shared_docs): entities one document away or, for any other ``hops``, two.
 
     Two away goes over a third entity: named -d1- middle -d2- other. All three differ, and the
-    two edges of the middle differ, so that one document will do if it mentions the middle twice. Documents d2 are counted.
+    two edges of the middle differ, so that one document will do if it mentions the middle twice. Documents d2 are counted, without listing paths.
     """
     if hops == 1:
         found = co_mentioned(entities, mentions, text, kind)
     else:
-        start = _edges(entities, mentions, text, kind, False).select(F.col("entity_id").alias("_from"), "document_id").distinct()
-        middle = mentions.join(start, "document_id").where("entity_id <> _from").select("_from", F.col("entity_id").alias("_mid"), F.col("edge_id").alias("_edge")).distinct()
-        beyond = middle.join(mentions.select(F.col("entity_id").alias("_mid"), F.col("edge_id").alias("_edge2"), "document_id"), "_mid").where("_edge <> _edge2")
-        beyond = beyond.select("_from", "_mid", "document_id").distinct()
-        ends = beyond.join(mentions.select("document_id", "entity_id").distinct(), "document_id").where("entity_id <> _from AND entity_id <> _mid")
-        found = ends.groupBy("entity_id").agg(F.countDistinct("document_id").alias("shared_docs"))
+        found = _two_away(mentions, _edges(entities, mentions, text, kind, False))
     return _ranked(found.join(entities.select("entity_id", "text", "type"), "entity_id"), "shared_docs", limit).select("entity_id", "text", "type", "shared_docs")
 
 
+def _two_away(mentions: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity_id, shared_docs): what lies two documents away from the entities of the ``edges``.
+
+    No path is listed. Of a middle's edges near a start only the least and the greatest are kept: some edge differs from a given one if these two
+    differ, or the one there is does. Of a document's middles the same, which tells whether one differs from the end. So there is a row for
+    each (start, middle), then for each (start, edge of a middle) and (start, document), and all are added up by tasks before they are shuffled.
+    """
+    start = edges.select(F.col("entity_id").alias("_from"), "document_id").distinct()
+    near = mentions.join(start, "document_id").where("entity_id <> _from").groupBy("_from", F.col("entity_id").alias("_mid")).agg(F.min("edge_id").alias("_lo"), F.max("edge_id").alias("_hi"))
+    beyond = mentions.select(F.col("entity_id").alias("_mid"), "edge_id", "document_id").join(near, "_mid").where("_lo <> _hi OR edge_id <> _lo")
+    reached = beyond.groupBy("_from", "document_id").agg(F.min("_mid").alias("_first"), F.max("_mid").alias("_last"))
+    ends = mentions.select("document_id", "entity_id").distinct().join(reached, "document_id").where("entity_id <> _from AND (_first <> _last OR entity_id <> _first)")
+    return ends.groupBy("entity_id").agg(F.countDistinct("document_id").alias("shared_docs"))
+
+
 def co_occurring(entities: DataFrame, mentions: DataFrame, text: str, least: int = 2, limit: int = CO_OCCURRING) -> DataFrame:
     found = co_mentioned(entities, mentions, text).where(F.col("shared_docs") >= least).withColumnRenamed("shared_docs", "co_occurrences")
     return _ranked(found.join(entities.select("entity_id", "text", "type"), "entity_id"), "co_occurrences", limit).select("entity_id", "text", "type", "co_occurrences")

@@ -32,10 +32,12 @@ def term_weights(text: Column) -> Column:
     return F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("idx"), F.log1p(F.size(F.filter(terms, lambda u: u == t)).cast("double")).alias("w")))
 
 
-def sparse_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, idx, w): the same as rows, counted by an aggregate, which long texts need."""
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token"))
-    counts = terms.groupBy("id", bucket(F.col("token")).alias("idx")).agg(F.count("*").alias("n"))
+def sparse_index(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame | None = None) -> DataFrame:
+    """(id, idx, w): the same as rows, counted by an aggregate, which long texts need. With ``asked`` (idx), a question's few terms, only those: others go before anything is counted."""
+    terms = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token")).select("id", bucket(F.col("token")).alias("idx"))
+    if asked is not None:
+        terms = terms.join(F.broadcast(asked.select("idx").distinct()), "idx", "left_semi")
+    counts = terms.groupBy("id", "idx").agg(F.count("*").alias("n"))
     return counts.select("id", "idx", F.log1p(F.col("n").cast("double")).alias("w"))
 
 
@@ -74,10 +76,16 @@ def sparse_scores(index: DataFrame, query: DataFrame) -> DataFrame:
 
 
 def hybrid_top_k(vectors: DataFrame, index: DataFrame, query: list[float], terms: DataFrame, k: int = 10, filters: dict[str, object] | None = None, id_col: str = "id", vector_col: str = "values") -> DataFrame:
-    """Best by the sum of the dense and the sparse dot product."""
+    """Best by the sum of the dense and the sparse dot product, weights not being negative.
+
+    A row without sparse hits that is among the best has fewer than ``k`` rows of a better dense score before it, so it is among the ``k`` best dense ones. Besides
+    these only rows with hits are looked at, and the vectors aren't shuffled to add a few hits unless there are too many to broadcast.
+    """
     dense = vectors.where(equal_to(filters)).withColumn("dense", dot(F.col(vector_col), vector(query)))
-    both = dense.join(sparse_scores(index, terms).withColumnRenamed("id", id_col), id_col, "left")
-    return top_k(both.withColumn("score", F.col("dense") + F.coalesce("sparse", F.lit(0.0))), k, id_col=id_col)
+    hits = sparse_scores(index, terms).withColumnRenamed("id", id_col)
+    met = dense.join(hits, id_col).withColumn("score", F.col("dense") + F.col("sparse"))
+    first = dense.withColumns({"sparse": F.lit(None).cast("double"), "score": F.col("dense")}).orderBy(F.col("dense").desc_nulls_last(), id_col).limit(k)
+    return top_k(met.unionByName(first.join(hits.select(id_col), id_col, "left_anti")), k, id_col=id_col)
 
 
 def top_k_by_variant(scored: DataFrame, k: int, variant: str = "variant", score: str = "score", id_col: str = "id") -> DataFrame:

@@ -60,7 +60,7 @@ _QUESTION = "the revenue of that region and other things inha"
 )
 def sparse_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.range(1).select(F.explode(vector.term_weights(F.lit(_QUESTION))).alias("t")).select("t.*")
-    scores = vector.sparse_scores(vector.sparse_index(_docs(spark, sf_dir), "doc_id", "text"), asked)
+    scores = vector.sparse_scores(vector.sparse_index(_docs(spark, sf_dir), "doc_id", "text", asked), asked)
     return vector.top_k(scores.withColumn("score", F.round("sparse", 6)), 20).select("id", "score")
 
 

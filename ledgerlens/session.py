@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -23,3 +26,16 @@ def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     """Makes tables visible to SQL text under their names."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path that all executors share: below ``spark.checkpoint.dir``, or a local one if a local session has no such setting. The caller deletes it."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
