@@ -42,12 +42,16 @@ _BREAKS = frozenset(
     "address article aside blockquote body br button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())}
-_AGAINST = frozenset("nav footer aside form button dialog menu fieldset legend option label".split())
+_AGAINST = frozenset("nav footer aside button dialog menu fieldset legend option label".split())
+#: A page may stand in a form as a whole; what a form holds of its own is no text.
+_PARTLY = frozenset(["form"])
 _FOR = frozenset("article main".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Of these some name a subject as well: prose of an article that they stand around is left to the model.
+_DOUBTFUL = frozenset("banner header menu navigation notice pagination promoted related reply respond share sharing social subscription toolbar".split())
 _GOOD_WORDS = frozenset("article content entry main post story".split())
 #: Of an article these are its title and byline, elsewhere the site's.
 _HEAD_WORDS = frozenset("header masthead".split())
@@ -67,19 +71,24 @@ class Block:
     links: int
     heading: bool
 
+    @property
+    def prose(self) -> bool:
+        """Whether it reads like a sentence or more, and isn't made of links."""
+        return self.text.count(" ") >= 7 and self.text[-1] in ".!?…:" and 4 * self.links < len(self.text)
 
-def _evidence(tag: str, attributes: str, within: float) -> tuple[float, bool, bool]:
+
+def _evidence(tag: str, attributes: str, within: float) -> tuple[float, int, bool]:
     """What an element says of its text: within its parents' evidence, the strongest objection counts.
 
-    A bad word in its class or id counts apart, since it may name only a part: second is whether there is one.
+    A bad word in its class or id counts apart, since it may name only a part: second is whether there is one, 1 if all are doubtful, else 2. So does a form.
     Third is whether the element is an article that lifts the words around it; one named like a comment isn't.
     """
-    named, plain = False, True
+    named, plain = 2 * (tag in _PARTLY), True
     say = -HARD if tag in _AGAINST else HARD / 2 if tag in _FOR else 0.0
     if tag == "object" and within <= 0:
         say = -SOFT
-    if tag == "header":
-        say = -HARD if within <= 0 else -SOFT
+    if tag == "header" and within <= 0:  # an article's own has its title
+        say = -HARD
     if attributes:
         for name, value in _NAMED.findall(attributes):
             name = name.lower()
@@ -92,7 +101,7 @@ def _evidence(tag: str, attributes: str, within: float) -> tuple[float, bool, bo
                     if bad := words & _BAD_WORDS - (_HEAD_WORDS if within > 0 else frozenset()):
                         plain = plain and bool(words & _GOOD_WORDS)
                     if bad and tag not in ("html", "body", "article", "main"):
-                        named = True
+                        named = max(named, 1 if bad <= _DOUBTFUL else 2)
                     elif words & _GOOD_WORDS and say == 0:
                         say = SOFT
                 elif name == "itemprop":
@@ -105,23 +114,32 @@ def _evidence(tag: str, attributes: str, within: float) -> tuple[float, bool, bo
     return total, named, say >= HARD / 2 and total > 0 and plain and not named
 
 
-def _weigh(blocks: list[Block], named: list[tuple[int, ...]]) -> None:
+def _weigh(blocks: list[Block], named: list[int], outer: list[int], sure: list[bool]) -> None:
     """Takes the cost of the named elements around each block off its evidence; of several the highest counts.
 
-    It is ``WORD``, except where no unnamed text, headings aside, is known to be the article's: then an element
-    with over half of the page's text costs less the more it has, and nothing if it has all.
+    ``named`` has the innermost one of each block (0: none), ``outer`` of each named element the next one around it, ``sure`` whether its words leave no doubt.
+    The cost is ``WORD``, except where no unnamed text, headings aside, is known to be the article's: then an element
+    with over half of the page's text costs less the more it has, and nothing if it has all. Prose of an article within doubtful names costs
+    no more than its evidence, so that the model decides. Sizes go up the elements once, and costs down.
     """
-    sizes: dict[int, int] = {}
-    for b, around in zip(blocks, named, strict=True):
+    sizes = [0] * len(outer)
+    total = 0
+    for b, e in zip(blocks, named, strict=True):
         if b.evidence > -HARD:
-            for e in around:
-                sizes[e] = sizes.get(e, 0) + len(b.text)
-    known = any(b.evidence > 0 and not b.heading and not around for b, around in zip(blocks, named, strict=True))
-    total = sum(len(b.text) for b in blocks if b.evidence > -HARD)
-    for b, around in zip(blocks, named, strict=True):
-        if around and b.evidence > -WORD:
-            share = 1.0 if known else max(min(1.0, 2 - 2 * sizes[e] / total) for e in around)
-            b.evidence -= share * (b.evidence + WORD)
+            sizes[e] += len(b.text)
+            total += len(b.text)
+    for e in range(len(outer) - 1, 0, -1):  # what is around an element has a smaller number
+        if outer[e]:
+            sizes[outer[e]] += sizes[e]
+    known = any(b.evidence > 0 and not b.heading and not e for b, e in zip(blocks, named, strict=True))
+    share, doubt = [0.0] * len(outer), [True] * len(outer)
+    for e in range(1, len(outer)):
+        own = 1.0 if known or not total else min(1.0, 2 - 2 * sizes[e] / total)
+        share[e], doubt[e] = max(share[outer[e]], own), doubt[outer[e]] and not sure[e]
+    for b, e in zip(blocks, named, strict=True):
+        if e and b.evidence > -WORD:
+            cost = share[e] * (b.evidence + WORD)
+            b.evidence -= min(cost, b.evidence) if doubt[e] and b.evidence > 0 and b.prose else cost
 
 
 def _ends(page: str) -> dict[int, int]:
@@ -154,29 +172,36 @@ def _ends(page: str) -> dict[int, int]:
 def blocks_of(html: str | None) -> list[Block]:
     """The blocks of a page in its order, white space inside each being one space."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
-    # Of each element on the stack, the named ones around it and whether an article is.
-    around: list[tuple[tuple[int, ...], bool]] = [((), False)]
-    named: list[tuple[int, ...]] = []
+    # Open elements: tag, evidence, parent for neighbourhood, innermost named element, whether an article is around.
+    stack: list[tuple[str, float, int, int, bool]] = [("", 0.0, 0, 0, False)]
+    opened: dict[str, list[int]] = {}  # where each tag stands on the stack
+    named, outer, sure = [], [0], [False]
     text: list[str] = []
     links = serial = 0
     in_link = 0
     page = html or ""
     at, size = 0, len(page)
     ends: dict[int, int] | None = None
-    loose = False
 
     def end() -> None:
         nonlocal links
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                name, say, parent = stack[-1]
-                named.append(around[len(stack) - 1][0])
-                out.append(Block(joined, say, parent, links, any(t in ("h1", "h2", "h3") for t, _, _ in stack[-3:])))
+                _, say, parent, name, _ = stack[-1]
+                named.append(name)
+                out.append(Block(joined, say, parent, links, any(x[0] in ("h1", "h2", "h3") for x in stack[-3:])))
             text.clear()
         links = 0
 
+    def push(*element) -> None:
+        opened.setdefault(element[0], []).append(len(stack))
+        stack.append(element)
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            opened[stack.pop()[0]].pop()
+
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -201,26 +226,18 @@ def blocks_of(html: str | None) -> list[Block]:
                     continue
                 # Without an end tag it lasts until an element it can't hold.
                 end()
-                del around[len(stack) :]
-                around.append(around[-1])
-                stack.append((f"<{tag}", -HARD, stack[-1][2]))
-                loose = True
+                push("<", -HARD, *stack[-1][2:])
                 continue
             if m.start() not in ends:
                 continue
+        loose = opened.get("<")
         if tag in _BREAKS or loose or tag == "object" and stack[-1][1] <= 0:
             end()
         if loose and not closing and tag in _BREAKS and tag != "option":
-            loose = False
-            for k, x in enumerate(stack):
-                if x[0].startswith("<"):
-                    del stack[k:]
-                    break
+            cut(loose[0])
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                cut(opened[tag][-1])
             if tag == "a":
                 in_link = max(0, in_link - 1)
             continue
@@ -232,25 +249,27 @@ def blocks_of(html: str | None) -> list[Block]:
             if tag in _CLOSES["p"]:
                 for k in range(len(stack) - 1, max(0, len(stack) - 8), -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in _BREAKS:
                         break
             elif tag == "li" and stack[-1][0] == "li":
-                stack.pop()
-        within = stack[-1][1]
-        del around[len(stack) :]
-        names, inside = around[-1]
+                cut(len(stack) - 1)
+        _, within, parent, name, inside = stack[-1]
         if tag in _BREAKS or attributes or tag == "object":
             serial += 1
             say, bad, lifts = _evidence(tag, attributes, within)
-            names = (*names, serial) if bad else () if lifts and not inside else names
-            stack.append((tag, say, serial if tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr") else stack[-1][2]))
+            if bad:
+                outer.append(name)
+                sure.append(bad > 1)
+                name = len(outer) - 1
+            elif lifts and not inside:
+                name = 0
+            push(tag, say, serial if tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr") else parent, name, inside or tag == "article")
         else:
-            stack.append((tag, within, stack[-1][2]))
-        around.append((names, inside or tag == "article"))
+            push(tag, within, parent, name, inside)
     end()
-    _weigh(out, named)
+    _weigh(out, named, outer, sure)
     return out
 
 
