@@ -199,6 +199,15 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     return both[0].join(both[1], [*on, "_task"], how).drop("_task")
 
 
+#: Rows of a group that are numbered in one task.
+NUMBERED = 250_000
+
+
+def salts(rows: int) -> int:
+    """Parts that the rows of a group are numbered in, so that none has many more than ``NUMBERED``, even if one group has all the rows."""
+    return max(1, -(-rows // NUMBERED))
+
+
 def fresh(name: str, *tables: DataFrame) -> str:
     """The name, with underscores added until no column of the tables has it."""
     taken = {c.lower() for t in tables for c in t.columns}

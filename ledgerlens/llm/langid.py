@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import _arrow_schema, arrow_rows, stored
 
 LEAST, SHARE, HASHES, UNKNOWN = 1e-5, 0.25, 3, "und"
+#: Grams that a counting task holds before it passes them on.
+HELD = 2_000_000
 _LETTERS = bytes(ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)) + bytes(range(128, 256))
 _LETTER = regex.compile(r"\p{L}")
 _GAP = b"   "
@@ -56,9 +58,9 @@ def lettered(text: str | None) -> bool:
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all rows (text, lang), added up in each task before the shuffle."""
+    """(lang, gram, n) of all rows (text, lang), added up in each task before the shuffle, as far as ``HELD`` grams and some MB of text go."""
     schema = "lang string, gram bigint, n bigint"
-    arrow, flush = _arrow_schema(labelled.sparkSession, schema), 2_000_000
+    arrow, flush, most = _arrow_schema(labelled.sparkSession, schema), 2_000_000, HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list[bytes], int]] = {}
@@ -72,17 +74,24 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 values, n = both, np.bincount(where, np.concatenate([m, n])).astype(np.int64)
             sums[lang] = values, n
 
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, (values, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], schema=arrow)
+            sums.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts, size = held.get(lang, ([], 0))
                 texts.append(letters(text))
                 held[lang] = texts, size + len(texts[-1])
-                if held[lang][1] > flush:
-                    add(lang)
+                if held[lang][1] > flush or sum(n for _, n in held.values()) > 4 * flush:
+                    for some in [lang] if held[lang][1] > flush else list(held):
+                        add(some)
+                    if sum(len(v) for v, _ in sums.values()) > most:
+                        yield from told()
         for lang in list(held):
             add(lang)
-        for lang, (values, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], schema=arrow)
+        yield from told()
 
     return labelled.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -101,12 +110,13 @@ class LanguageModel:
         mixed = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        return [((mixed >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64) for shift in (40, 20, 0)[:HASHES]]
+        first, step = mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF) | np.uint64(1)
+        return [((first + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
 
     @classmethod
     def of(cls, langs: list[str], usual: str, values: np.ndarray, lang: np.ndarray) -> LanguageModel:
         size = 1 << 12
-        while size < 8 * len(np.unique(values)) and size < 1 << 24:
+        while size < 8 * len(np.unique(values)):
             size *= 2
         slices, false = [], np.zeros(len(langs))
         for at in range(0, max(len(langs), 1), 64):
@@ -183,8 +193,11 @@ def predictions(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return arrow_rows(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows, all columns kept, of texts that have letters. ``und`` with letters stays: no language was learned, or one of that name."""
+def identified(docs: DataFrame, model: LanguageModel, lang: str = "lang") -> DataFrame:
+    """The rows, all columns kept, of texts that have letters; where their language is null, it is the predicted one from now on.
+
+    ``und`` with letters stays, unnamed: no language was learned, or one of that name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +206,11 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 part = batch.slice(at, 512)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 langs, _ = shared.value.predict(texts)
+                place = part.schema.get_field_index(lang)
+                if place >= 0:
+                    known = part.column(place).to_pylist()
+                    named = pa.array([k if k is not None or x == UNKNOWN else x for k, x in zip(known, langs, strict=True)], part.schema.field(place).type)
+                    part = part.set_column(place, part.schema.field(place), named)
                 yield part.filter(pa.array([x != UNKNOWN or lettered(t) for x, t in zip(langs, texts, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

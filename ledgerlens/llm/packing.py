@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import _arrow_schema, stored
+from ledgerlens.llm.common import _arrow_schema, salts, stored
 
-CAPACITY, END, SALTS = 4096, 1, 64
+CAPACITY, END = 4096, 1
 
 
 class WordTokenizer:
@@ -164,11 +164,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(found: DataFrame, capacity: int = CAPACITY, most_broadcast: int = 200_000) -> DataFrame:
     """Gives each piece (column ``length``, unique by ``doc_id`` and ``piece`` or not) its ``sequence_id`` and ``offset``.
 
-    Ranks are counted in ``SALTS`` parts of each length, so that a length of very many pieces is
-    no single task. The table of their first ranks has at most capacity x SALTS rows.
+    Ranks are counted in parts of each length, as many as the number of all pieces asks for, so that a length of very many pieces is
+    no single task. The first ranks of the parts are joined where the ranks are: both are dealt by length and part.
     """
     spark = found.sparkSession
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts(found.count()))).cast("int"))
     counts = stored(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "length-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     slots = plan(histogram, capacity)
@@ -178,7 +178,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, most_broadcast: int = 200_0
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("length", "_salt", before.alias("_base"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece"))
-    ranked = salted.withColumn("_rank", rank).join(F.broadcast(bases), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base") - 1)
+    ranked = salted.withColumn("_rank", rank).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base") - 1)
     at = F.col("_rank") - F.col("_from")
     placed = ranked.join(planned, (F.col("length") == F.col("_length")) & (at >= 0) & (at < F.col("_sequences") * F.col("_each")))
     return placed.select(

@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import stored
+from ledgerlens.llm.common import salts, stored
 
-SALTS = 64
 Tree = dict[str, dict[str, dict[int, float]]]
 
 
@@ -63,19 +62,20 @@ def shard_rows(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: st
     Size is the text's UTF-8 bytes and 16 more; a null text has none and the CRC of an
     empty one. Null ids are hashed like any other value and share a shard. Slots count from 0 in each shard without gaps, by hash
     salt, id and CRC; rows that agree on all of these may swap slots. Each shard is
-    numbered in ``SALTS`` parts, from a table of at most shards x SALTS counts, so no task gets a whole shard.
+    numbered in parts, as many as the number of all rows asks for, so no task gets a whole shard of very many.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("bigint") + 16).alias("size"), F.crc32(text).alias("text_crc32"))
     key = F.col("doc_id")
-    rows = rows.select("*", shard_of(key, tree).alias("shard"), shard_of(key, grown(tree)).alias("grown_shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).cast("int").alias("_salt"))
+    rows = rows.select("*", shard_of(key, tree).alias("shard"), shard_of(key, grown(tree)).alias("grown_shard"))
     rows = stored(rows, "sharded")
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts(rows.count()))).cast("int"))
     counts = rows.groupBy("shard", "_salt").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("shard", "_salt", before.alias("_base"))
     rank = F.row_number().over(Window.partitionBy("shard", "_salt").orderBy("doc_id", "text_crc32", "size"))
     ranked = rows.select("*", rank.alias("_rank"))
-    return ranked.join(F.broadcast(bases), ["shard", "_salt"]).select("doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("_base") + F.col("_rank") - 1).cast("bigint").alias("slot"))
+    return ranked.join(bases, ["shard", "_salt"]).select("doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("_base") + F.col("_rank") - 1).cast("bigint").alias("slot"))
 
 
 def write_shards(docs: DataFrame, tree: Tree, path: str, id_col: str = "doc_id") -> None:

@@ -66,7 +66,7 @@ def close_pairs(fps: DataFrame, bucket: int = 64) -> DataFrame:
     ``bucket`` members, and for larger blocks enough of them to connect whatever is connected."""
     keys = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks()))).alias("block", "key"))
     shared = keys.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(keys.join(shared, ["block", "key"]), "simhash-members")
+    members = stored(spread_join(keys, shared, ["block", "key"], sizes=shared), "simhash-members")
     small = members.where(F.col("n") <= bucket)
     pairs = (
         small.alias("x")
@@ -95,5 +95,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = connected_components(close_pairs(classes.select("fp"), bucket), "simhash").withColumnRenamed("node", "fp")
     named = classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = named.join(least, "component").select("fp", "component_id")
+    groups = spread_join(named, least, ["component"]).select("fp", "component_id")
     return spread_join(fps, groups, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -35,6 +35,8 @@ LENGTH, GRAM = 13, 5
 PLACES, PREFIXES, SHARES = LENGTH - GRAM + 1, (4, 8, LENGTH), 20_000
 #: Bytes of text that are hashed together, and of arrays of one step.
 FLUSH, STEP = 1 << 21, 1 << 19
+#: Bits of a text's second hash, which stand above an anchor's place: together with the first hash a text has 88 bits.
+KEY_BITS, AT_BITS = 24, 40
 _NO_ID = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(rb"[\x20\t-\r]")
@@ -184,7 +186,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     """(id, t1, t2) of all documents, how many documents have each text, and the distinct texts (t1, t2, first, raw) with the least id of each, bucketed."""
     raw = F.coalesce(F.col(text_col), F.lit(""))
     own = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID))
-    each = docs.select(F.col(id_col).alias("doc_id"), own.alias("first"), F.xxhash64(raw).alias("t1"), F.xxhash64(F.lit(1), raw).alias("t2"), raw.cast("binary").alias("raw"))
+    each = docs.select(F.col(id_col).alias("doc_id"), own.alias("first"), F.xxhash64(raw).alias("t1"), F.pmod(F.xxhash64(F.lit(1), raw), F.lit(1 << KEY_BITS)).alias("t2"), raw.cast("binary").alias("raw"))
     spark = docs.sparkSession
     held = stored(each.groupBy(*_KEY).agg(F.min("first").alias("least"), F.count("*").alias("n")), "text-firsts")
     limit = max(FEW, (held.agg(F.sum("n")).first()[0] or 0) // HOT)
@@ -201,25 +203,25 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 
 
 def _anchored(texts: DataFrame) -> DataFrame:
-    """(a, ctx, t1, t2, first, place) for each anchor; ``place`` has its word, and how far its first and last window start before it."""
-    schema = "a bigint, ctx bigint, t1 bigint, t2 bigint, first bigint, place bigint"
+    """(a, ctx, t1, place) for each anchor; ``place`` has the text's second hash, the anchor's word, and how far its first and last window start before it."""
+    schema = "a bigint, ctx bigint, t1 bigint, place bigint"
     arrow = _arrow_schema(texts.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raws in _batched(batches, 3):
+        for rows, raws in _batched(batches, 2):
             h, sizes = word_hashes(raws)
             owner, at, first, last, gram = anchors(h, sizes)
             data = memoryview(h.tobytes())
             ctx = np.fromiter((xxhash.xxh3_64_intdigest(data[8 * f : 8 * (e + LENGTH)], seed=k - f) for k, f, e in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(at))
             begin = (np.cumsum(sizes) - sizes)[owner]
-            keys = np.array(rows, np.int64).reshape(-1, 3)[owner]
-            place = at - begin << 16 | at - first << 8 | at - last
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (gram.view(np.int64), ctx.view(np.int64), *keys.T, place)], schema=arrow)
+            t1, t2 = np.array(rows, np.int64).reshape(-1, 2)[owner].T
+            place = t2 << AT_BITS | at - begin << 8 | at - first << 4 | at - last
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (gram.view(np.int64), ctx.view(np.int64), t1, place)], schema=arrow)
 
-    return texts.where(F.octet_length("raw") >= 2 * LENGTH - 1).select(*_KEY, "first", "raw").mapInArrow(run, schema)
+    return texts.where(F.octet_length("raw") >= 2 * LENGTH - 1).select(*_KEY, "raw").mapInArrow(run, schema)
 
 
-def _shared(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
+def _shared(texts: DataFrame, rows: DataFrame, hot: dict[int, int]) -> DataFrame:
     """The anchors whose gram several places have, by text: (t1, t2, first, places); those of hot grams all count as such. Written once."""
     spark = rows.sparkSession
     if hot:
@@ -227,11 +229,13 @@ def _shared(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
         rows = rows.join(tasks, "a", "left")
     else:
         rows = rows.withColumn("_tasks", F.lit(None).cast("bigint"))
-    rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*_KEY, "place"), F.col("_tasks")), F.lit(0)))
+    rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("t1", "place"), F.col("_tasks")), F.lit(0)))
     alone = Window.partitionBy("a", "_salt")
-    where = F.struct(*_KEY, "place")
+    where = F.struct("t1", "place")
     some = rows.withColumn("_several", F.col("_tasks").isNotNull() | (F.min(where).over(alone) != F.max(where).over(alone))).where("_several")
-    return stored(some.groupBy(*_KEY).agg(F.min("first").alias("first"), F.collect_list(F.struct("place", "a", "ctx")).alias("places")), "passage-anchors")
+    place = F.col("place").bitwiseAND((1 << AT_BITS) - 1).alias("place")
+    found = some.groupBy("t1", F.shiftrightunsigned("place", AT_BITS).alias("t2")).agg(F.collect_list(F.struct(place, "a", "ctx")).alias("places"))
+    return stored(found.join(texts.select(*_KEY, "first"), _KEY), "passage-anchors")
 
 
 _SUFFIX = "group bigint, salt int, head binary, a bigint, ctx bigint, shift int, first bigint"
@@ -261,7 +265,7 @@ def _suffixes(texts: DataFrame, contexts: DataFrame, plan: dict[int, dict[int, i
                     yield pa.RecordBatch.from_arrays(cut(words, hashes, place[some], a[some], ctx[some], first[some]), schema=arrow)
 
     def cut(words: list[bytes], all_hashes: list[np.ndarray], place: np.ndarray, a: np.ndarray, ctx: np.ndarray, first: np.ndarray) -> list[pa.Array]:
-        begin, end = (place >> 16) - (place >> 8 & 255), (place >> 16) - (place & 255) + LENGTH
+        begin, end = (place >> 8) - (place >> 4 & 15), (place >> 8) - (place & 15) + LENGTH
         n = end - begin - LENGTH + 1
         row = np.repeat(np.arange(len(place)), n)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -351,7 +355,7 @@ def _leaves(suffixes: DataFrame) -> DataFrame:
 def _spans(texts: DataFrame) -> DataFrame:
     """(t1, t2, spans) of each text that loses words: marks of the windows to go beside their anchors' places."""
     plan = _plan(texts)
-    shared = _shared(_anchored(texts), plan[0])
+    shared = _shared(texts, _anchored(texts), plan[0])
     members = shared.select(*_KEY, "first", F.explode("places").alias("p")).select("p.a", "p.ctx", *_KEY, "first", "p.place")
     kind = ["a", "ctx"]
     contexts = stored(members.groupBy(*kind).agg(F.min(F.struct("first", *_KEY, "place")).alias("one"), F.count("*").alias("n")), "passage-contexts")
@@ -373,7 +377,7 @@ def _gone(n: int, spans: pa.StructArray | None) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     if spans is not None and len(spans):
         place, mask = spans.field("place").to_numpy(), spans.field("mask").to_numpy()
-        begin, windows = (place >> 16) - (place >> 8 & 255), (place >> 8 & 255) - (place & 255) + 1
+        begin, windows = (place >> 8) - (place >> 4 & 15), (place >> 4 & 15) - (place & 15) + 1
         for k in range(PLACES):
             start = begin[(mask >> k & 1 > 0) & (k < windows)] + k
             np.add.at(edge, start, 1)
@@ -434,7 +438,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     *_, texts = _texts(docs, id_col, text_col)
     plan = _plan(texts) | {n: {} for n in PREFIXES}
-    members = _shared(_anchored(texts), plan[0]).select(*_KEY, "first", F.explode("places").alias("p")).select("p.a", "p.ctx", *_KEY, "first", "p.place")
+    members = _shared(texts, _anchored(texts), plan[0]).select(*_KEY, "first", F.explode("places").alias("p")).select("p.a", "p.ctx", *_KEY, "first", "p.place")
     contexts = members.groupBy("a", "ctx").agg(F.min(F.struct("first", *_KEY, "place")).alias("one"))
     suffixes = _suffixes(texts, contexts, plan, tails=True)
     n = partitions(docs.sparkSession)

@@ -50,6 +50,28 @@ def test_language_stage_rejects_by_letters_alone(spark):
         assert sorted(r.doc_id for r in got) == list(range(30)) and all(r.text.startswith("words") for r in got)
 
 
+def test_language_stage_names_the_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hidden = docs.withColumn("lang", F.when(~langid.held_out(), F.col("lang")))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, hidden, SF).collect()}
+    true = {r.doc_id: r.lang for r in docs.where(langid.held_out() & F.col("lang").isNotNull()).collect() if r.doc_id in got}
+    assert len(true) > 30 and sum(got[i] == x for i, x in true.items()) > 0.97 * len(true)
+    plain = {r.doc_id: r.lang for r in docs.where(~langid.held_out() & F.col("lang").isNotNull()).collect() if r.doc_id in got}
+    assert all(got[i] == x for i, x in plain.items())
+
+
+def test_stages_keep_clashing_columns_and_very_long_texts(spark):
+    words = " ".join(f"word{i}" for i in range(2_000_000))
+    rows = [(1, f"{words}.\nThe line that both of them have.", "en", "s", 5, "a", 1, "x", 2), (2, "The line that both of them have.\nAnd one more line of its own.", None, "s", 5, "b", 1, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, _gone int, _row string, _number int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = out
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {1, 2} and got[2].text == "And one more line of its own." and len(got[1].text) > 20_000_000 and got[1]._id == "a"
+
+
 def test_near_stage_keeps_one_of_each_group(spark):
     text = "some words that make up a text of a few shingles in all"
     rows = [(3, text, "en", "s", 1), (None, text, "en", "s", 1), (None, text, "en", "s", 1), (2, text.upper(), "en", "s", 1), (2, text.upper(), "en", "s", 1), (9, "other words altogether", None, None, None), (None, "alone without id", "en", "s", 1), (None, "alone without id", "en", "s", 1)]
