@@ -15,7 +15,7 @@ from ledgerlens.llm.queries import language_model, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose texts have no letters go, whether or not a language could be learned."""
+    """Documents whose texts have no letters go, whether or not a language could be learned; those without a language get the predicted one."""
     return langid.identified(docs, language_model(docs))
 
 
