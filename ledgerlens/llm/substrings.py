@@ -35,6 +35,8 @@ LENGTH, GRAM = 13, 5
 PLACES, PREFIXES, SHARES = LENGTH - GRAM + 1, (4, 8, LENGTH), 20_000
 #: Bytes of text that are hashed together, and of arrays of one step.
 FLUSH, STEP = 1 << 21, 1 << 19
+#: Bins of groups for each task of a shuffle.
+BINS = 16
 #: Bits of a text's second hash, which stand above an anchor's place: together with the first hash a text has 88 bits.
 KEY_BITS, AT_BITS = 24, 40
 _NO_ID = (1 << 63) - 1
@@ -238,11 +240,11 @@ def _shared(texts: DataFrame, rows: DataFrame, hot: dict[int, int]) -> DataFrame
     return stored(found.join(texts.select(*_KEY, "first"), _KEY), "passage-anchors")
 
 
-_SUFFIX = "group bigint, salt int, head binary, a bigint, ctx bigint, shift int, first bigint"
+_SUFFIX = "bin int, salt int, head binary, a bigint, ctx bigint, shift int, first bigint"
 
 
 def _suffixes(texts: DataFrame, contexts: DataFrame, plan: dict[int, dict[int, int]], tails: bool = False) -> DataFrame:
-    """The suffixes of each context that begin with its windows, with the group of the prefix they are parted by, and a salt above 0 where that is a whole window.
+    """The suffixes of each context that begin with its windows, with the bin that the group of their prefix is in, and a salt above 0 where that prefix is a whole window.
 
     ``head`` is a suffix's window, which leads to its deep node; with ``tails`` what follows it in its context, which leads on below that.
     """
@@ -250,6 +252,7 @@ def _suffixes(texts: DataFrame, contexts: DataFrame, plan: dict[int, dict[int, i
     arrow = _arrow_schema(texts.sparkSession, schema)
     short, middle, whole = (np.array(sorted(plan[n]), np.int64) for n in PREFIXES)
     tasks = plan[LENGTH]
+    bins = BINS * partitions(texts.sparkSession)
     wanted = contexts.groupBy("one.t1", "one.t2").agg(F.collect_list(F.struct("one.place", "a", "ctx", F.col("one.first").alias("first"))).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +281,7 @@ def _suffixes(texts: DataFrame, contexts: DataFrame, plan: dict[int, dict[int, i
         for k in np.flatnonzero(longest & np.isin(hashes[2], whole)).tolist():
             salt[k] = 1 + int(ctx[row[k]]) % tasks[int(group[k])]
         heads = [b" ".join(words[s : s + LENGTH]) for s in start.tolist()]
-        columns = [group, salt, heads, a[row], ctx[row], shift.astype(np.int32), first[row]]
+        columns = [(group.view(np.uint64) % np.uint64(bins)).astype(np.int32), salt, heads, a[row], ctx[row], shift.astype(np.int32), first[row]]
         if tails:
             columns.append([b" ".join(words[s + LENGTH : e]) for s, e in zip(start.tolist(), end[row].tolist(), strict=True)])
         return [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
@@ -316,20 +319,20 @@ def _leaves(suffixes: DataFrame) -> DataFrame:
     """For each suffix below a deep internal node the least id of that node's leaves; of a salted one, of a part of them, with the hash of its path as ``head``."""
     arrow = _arrow_schema(suffixes.sparkSession, _LEAF)
     n = partitions(suffixes.sparkSession)
-    ordered = suffixes.repartition(n, "group", "salt").sortWithinPartitions("group", "salt", "head").select("group", "salt", "head", "a", "ctx", "shift", "first")
+    ordered = suffixes.repartition(n, "bin", "salt").sortWithinPartitions("bin", "salt", "head").select("salt", "head", "a", "ctx", "shift", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def flush(table: pa.Table) -> pa.RecordBatch:
-            group, salt, first = (table.column(c).to_numpy() for c in ("group", "salt", "first"))
+            salt, first = (table.column(c).to_numpy() for c in ("salt", "first"))
             head = table.column("head").combine_chunks()
-            same = np.append(False, (group[1:] == group[:-1]) & (salt[1:] == salt[:-1]) & pc.equal(head[1:], head[:-1]).to_numpy(zero_copy_only=False))
+            same = np.append(False, (salt[1:] == salt[:-1]) & pc.equal(head[1:], head[:-1]).to_numpy(zero_copy_only=False))
             begin = np.flatnonzero(~same)
             least = np.repeat(np.minimum.reduceat(first, begin), np.diff(np.append(begin, len(first))))
             told = np.flatnonzero((salt > 0) | (least < first))
             part = table.take(pa.array(told))
-            path = pa.array(group[told], pa.int64(), mask=salt[told] == 0)
+            path = pa.array([xxhash.xxh64_intdigest(h.as_py()) - (1 << 63) if s else None for h, s in zip(part.column("head"), salt[told].tolist(), strict=True)], pa.int64())
             columns = [part.column(c).combine_chunks() for c in ("a", "ctx", "shift", "first")]
             return pa.RecordBatch.from_arrays([*columns, pa.array(least[told]), path], schema=arrow)
 
@@ -338,10 +341,10 @@ def _leaves(suffixes: DataFrame) -> DataFrame:
                 continue
             held.append(pa.Table.from_batches([batch]))
             table = pa.concat_tables(held)
-            head, group = table.column("head"), table.column("group")
+            head, salt = table.column("head"), table.column("salt")
             # What may go on in the next batch stays: the leaves below the last node.
             last = table.num_rows - 1
-            other = np.flatnonzero(~(pc.equal(head, head[last]).to_numpy() & (group.to_numpy() == group[last].as_py())))
+            other = np.flatnonzero(~(pc.equal(head, head[last]).to_numpy() & (salt.to_numpy() == salt[last].as_py())))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 yield flush(table.slice(0, cut))
@@ -442,7 +445,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     contexts = members.groupBy("a", "ctx").agg(F.min(F.struct("first", *_KEY, "place")).alias("one"))
     suffixes = _suffixes(texts, contexts, plan, tails=True)
     n = partitions(docs.sparkSession)
-    ordered = suffixes.repartition(n, "group").sortWithinPartitions("group", "head", "tail").select("head", "tail", "first")
+    ordered = suffixes.repartition(n, "bin").sortWithinPartitions("bin", "head", "tail").select("head", "tail", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(head: bytes, leaves: list[tuple[bytes, int]]) -> Iterator[tuple]:

@@ -181,23 +181,68 @@ def text_page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.with_text(table(spark, sf_dir, "conversations")).select("conv_id", "turn")
 
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _count(text: str) -> str:
+    return f"CAST(greatest(1, floor(len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')) * CAST(1.3 AS DOUBLE))) AS INTEGER)"
+
+
+def _packed(name: str, given: str, most: int, overlap: int = 50) -> str:
+    """Tables of texts (key, text) cut into sentences and packed: ``{name}`` (key, i, text), by a recursion over the sentences.
+
+    A sentence of over 200 tokens is cut into 154 words each; the tables have none with clauses in them, and no text of over 100,000 characters.
+    """
+    return f"""
+    {name}_s AS (SELECT key, s, row_number() OVER (PARTITION BY key ORDER BY i, k) AS j FROM (
+        SELECT key, i, unnest(CASE WHEN {_count('s')} > 200 THEN list_transform(range(0, len(regexp_split_to_array(s, '\\s+')), 154), lambda b: array_to_string(regexp_split_to_array(s, '\\s+')[b + 1:b + 154], ' ')) ELSE [s] END) AS s,
+            unnest(CASE WHEN {_count('s')} > 200 THEN range(0, len(regexp_split_to_array(s, '\\s+')), 154) ELSE [0] END) AS k
+        FROM (SELECT key, i, trim(s, {_BLANKS}) AS s FROM (SELECT key, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT key, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM {given}))) WHERE s <> '')),
+    {name}_t AS (SELECT key, j, s, {_count('s')} AS t, CAST(sum({_count('s')}) OVER (PARTITION BY key ORDER BY j) AS BIGINT) AS c FROM {name}_s),
+    {name}_o AS (SELECT *, c - t AS before FROM {name}_t),
+    {name}_r AS (
+        SELECT key, CAST(1 AS BIGINT) AS j, CAST(1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS cb, CAST(0 AS BIGINT) AS ce FROM {name}_t WHERE j = 1
+        UNION ALL
+        SELECT r.key, n.j, CASE WHEN n.c - l.before > {most} THEN greatest(r.b, (SELECT coalesce(min(q.j), n.j) FROM {name}_t q WHERE q.key = r.key AND q.j < n.j AND q.j >= n.j - {overlap + 1} AND n.before - (q.c - q.t) <= {overlap})) ELSE r.b END,
+            CASE WHEN n.c - l.before > {most} THEN r.b ELSE 0 END, CASE WHEN n.c - l.before > {most} THEN n.j - 1 ELSE 0 END
+        FROM {name}_r r JOIN {name}_o n ON n.key = r.key AND n.j = r.j + 1 JOIN {name}_o l ON l.key = r.key AND l.j = r.b
+    ),
+    {name}_e AS (SELECT key, max(j) AS m FROM {name}_t GROUP BY key),
+    {name}_b AS (SELECT key, cb AS b, ce AS e, false AS last FROM {name}_r WHERE ce > 0 UNION ALL SELECT r.key, r.b, r.j, true FROM {name}_r r JOIN {name}_e e ON e.key = r.key AND e.m = r.j),
+    {name}_c AS (SELECT b.key, b.b, b.last, (SELECT string_agg(t.s, ' ' ORDER BY t.j) FROM {name}_t t WHERE t.key = b.key AND t.j BETWEEN b.b AND b.e) AS text FROM {name}_b b),
+    {name} AS (SELECT key, text, row_number() OVER (PARTITION BY key ORDER BY last, b) - 1 AS i FROM (SELECT *, last AND text = lag(text) OVER (PARTITION BY key ORDER BY last, b) AS twin FROM {name}_c) WHERE NOT coalesce(twin, false))"""
+
+
+_DOCS = "docs AS (SELECT doc_id AS key, text, source FROM documents WHERE regexp_matches(text, '\\S'))"
+_PARENTS = f"{_DOCS}, {_packed('parent', 'docs', 1024)}, parents AS (SELECT doc_id, key, i, parent.text, {_count('parent.text')} AS tokens, source FROM parent JOIN (SELECT doc_id, source FROM documents) d ON d.doc_id = key)"
+_CHILDREN = f"{_PARENTS}, named AS (SELECT doc_id || '_parent_' || i AS key, text FROM parents), {_packed('child', 'named', 256)}"
+
+
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is one page, its source the section."""
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.col("source").alias("section"), "text")
     return chunking.chunk_documents(pages)
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", f"WITH RECURSIVE {_PARENTS} SELECT doc_id || '_parent_' || i AS parent_id, CAST(doc_id AS VARCHAR) AS document_id, text, tokens AS token_count, 1 AS start_page, 1 AS end_page, source AS section, CAST(i AS INTEGER) AS parent_index FROM parents")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parents(spark, sf_dir)
 
 
-@query("chunk_parent_child")
+@query(
+    "chunk_parent_child",
+    f"WITH RECURSIVE {_CHILDREN} SELECT c.key || '_child_' || c.i AS child_id, c.key AS parent_id, CAST(p.doc_id AS VARCHAR) AS document_id, c.text, {_count('c.text')} AS token_count, 1 AS start_page, 1 AS end_page, p.source AS section,"
+    " CAST(c.i AS INTEGER) AS child_index, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY p.i, c.i) - 1 AS INTEGER) AS child_index_in_document FROM child c JOIN parents p ON p.doc_id || '_parent_' || p.i = c.key",
+)
 def chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.children_of(_parents(spark, sf_dir))
 
 
-@query("chunk_stats")
+@query(
+    "chunk_stats",
+    f"WITH RECURSIVE {_CHILDREN}, n AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS parents FROM parents GROUP BY doc_id), m AS (SELECT split_part(key, '_', 1) AS document_id, count(*) AS children, CAST(floor(sum({_count('text')}) / count(*)) AS BIGINT) AS mean_tokens FROM child GROUP BY 1)"
+    " SELECT document_id, parents, children, round(children / parents, 1) AS children_per_parent, mean_tokens FROM n JOIN m USING (document_id)",
+)
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = _parents(spark, sf_dir)
     return chunking.chunk_stats(parents, chunking.children_of(parents))

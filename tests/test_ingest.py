@@ -144,6 +144,36 @@ def test_sentences():
         chunking.check_sizes(100, 200, 5)
 
 
+def test_expressions_give_what_plain_python_gives(spark):
+    rng = random.Random(11)
+    bits = ["Net revenue rose", "in 2024; ", "it fell: ", "so - ", "yes, and ", "no, or ", "why? ", "One. ", "Two!", "\n", "\n\n", "  ", "word " * 60, "a.b ", "…"]
+    texts = [None, "", " \n", "w " * 1_000, "; ".join(["word " * 100] * 3) + "."] + ["".join(rng.choices(bits, k=rng.randrange(1, 40))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for large in (100_000, 60):
+        got = {r.i: r.s for r in df.select("i", chunking.sentences(F.col("t"), large).alias("s")).collect()}
+        assert [got[i] for i in range(len(texts))] == [chunking.sentences_of(t, large) for t in texts]
+    packs = []
+    for i in range(120):
+        said = [(f"s{rng.randrange(4)} " * rng.choice([1, 3, 8, 30]), 0, rng.choice("aab")) for _ in range(rng.randrange(40))]
+        packs.append((i, [chunking.tokens_of(x) for x, *_ in said], [k > 0 and said[k][2] != said[k - 1][2] for k in range(len(said))], said))
+    df = spark.createDataFrame([p[:3] for p in packs], "i int, t array<int>, f array<boolean>")
+    for most, overlap in ((20, 5), (64, 12), (10, 0)):
+        got = {r.i: [tuple(b) for b in r.b] for r in df.select("i", chunking.chunk_bounds(F.col("t"), F.col("f"), most, overlap).alias("b")).collect()}
+        for i, *_, said in packs:
+            chunks = [said[b:e] for b, e in got[i]]
+            if len(chunks) > 1 and [x[0] for x in chunks[-1]] == [x[0] for x in chunks[-2]]:
+                chunks.pop()
+            assert chunks == plain_chunks(said, most, overlap)
+
+
+def test_own_splitters(spark):
+    pages = spark.createDataFrame([("d", 1, None, "a b|c d|e f")], "document_id string, page_number int, section string, text string")
+    bars = lambda t: (t or "").split("|")
+    parents = chunking.chunk_documents(pages, 4, 1, bars)
+    assert [r.text for r in parents.orderBy("parent_index").collect()] == ["a b c d", "e f"]
+    assert chunking.chunk_text("a b|c d|e f", 4, 1, bars) == ["a b c d", "e f"]
+
+
 def test_sections_and_pages(spark):
     pages = spark.createDataFrame([("d", 1, None, "A b."), ("d", 2, "X", "C d."), ("d", 3, "", "E f."), ("d", 4, "Y", "G h."), ("e", 1, None, None)], "document_id string, page_number int, section string, text string")
     got = [(r.text, r.start_page, r.end_page, r.section) for r in chunking.chunk_documents(pages).orderBy("parent_index").collect()]
