@@ -8,7 +8,7 @@ Spark to broadcast by its size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How many rows lookups return, and the longest path.
@@ -81,6 +81,34 @@ def co_occurring(entities: DataFrame, mentions: DataFrame, text: str, least: int
     return _ranked(found.join(entities.select("entity_id", "text", "type"), "entity_id"), "co_occurrences", limit).select("entity_id", "text", "type", "co_occurrences")
 
 
+def evidence_of(entities: DataFrame, mentions: DataFrame, asked: DataFrame, near: bool = False, limit: int = DOCUMENTS, most: int = 5) -> DataFrame:
+    """What the graph knows of a question's entities (seq, text, type), few of them: documents with their pages, and why they were found.
+
+    (document_id, matched_entity, entity_type, match_type, related_to, shared_docs, pages). A document's first evidence stays: of the first entity that it mentions,
+    an entity whose text holds the asked one counting too. With ``near``, ``most`` entities that share documents with an asked one are looked up
+    after it. Pages of all evidence are merged. Each entity finds ``limit`` documents at most, in order of ids.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    names = asked.select(F.struct(F.col("seq").cast("int"), F.lit(0).alias("near"), F.lit(0).alias("n")).alias("order"), "text", F.col("type"), F.lit("direct_mention").alias("match_type"), none("string").alias("related_to"), none("bigint").alias("shared_docs"))
+    if near:
+        start = mentions.join(entities.join(F.broadcast(asked.select("seq", F.lower("text").alias("_t"))), F.lower("text") == F.col("_t")).select("entity_id", "seq"), "entity_id")
+        start = start.select("seq", "document_id", F.col("entity_id").alias("_from")).distinct()
+        others = mentions.select("document_id", "entity_id").distinct().join(start, "document_id").where("entity_id <> _from")
+        shared = others.groupBy("seq", "entity_id").agg(F.countDistinct("document_id").alias("shared_docs")).join(entities.select("entity_id", "text", "type"), "entity_id")
+        rank = F.row_number().over(Window.partitionBy("seq").orderBy(F.col("shared_docs").desc(), "text", "entity_id"))
+        best = shared.withColumn("n", rank).where(F.col("n") <= most).join(F.broadcast(asked.select("seq", F.col("text").alias("related_to"))), "seq")
+        names = names.unionByName(best.select(F.struct(F.col("seq").cast("int"), F.lit(1).alias("near"), "n").alias("order"), "text", "type", F.lit("related_via").alias("match_type"), "related_to", "shared_docs"))
+    # At most 1 + most names for each asked entity.
+    known = entities.select("entity_id", F.lower("text").alias("_own")).join(F.broadcast(names), F.contains("_own", F.lower("text")))
+    found = mentions.join(known.drop("_own"), "entity_id")
+    why = ["order", "text", "type", "match_type", "related_to", "shared_docs"]
+    each = found.groupBy(*why, "document_id").agg(F.collect_set("page").alias("pages"))
+    first = F.row_number().over(Window.partitionBy("order").orderBy("document_id"))
+    each = each.withColumn("_n", first).where(F.col("_n") <= limit)
+    evidence = F.min_by(F.struct(F.col("text").alias("matched_entity"), F.col("type").alias("entity_type"), "match_type", "related_to", "shared_docs"), F.col("order")).alias("e")
+    return each.groupBy("document_id").agg(evidence, F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages")).select("document_id", "e.*", "pages")
+
+
 def entities_in(entities: DataFrame, mentions: DataFrame, document_id: object, kind: str | None = None, limit: int = DOCUMENTS) -> DataFrame:
     """(entity_id, text, type, mentions) of one document."""
     counts = mentions.where(F.col("document_id") == document_id).groupBy("entity_id").agg(F.count("*").alias("mentions"))

@@ -11,30 +11,33 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import blank, citation, filled, not_relevant, preview, relevance
-from ledgerlens.operators import graph, vector
+from ledgerlens.operators import entities, graph, vector
+from ledgerlens.operators.entities import Recogniser
 from ledgerlens.providers import HashedTerms, RuleAnalyst, compressed, overlap_score
 
 #: Below this length a text isn't compressed, below this relevance a question is out of scope.
 SHORT, IN_SCOPE = 400, 3
 #: Results asked for by default, and candidates of a dense search at most; each result has so many candidates.
 RESULTS, DENSE_MOST, TIMES = 5, 40, 3
-#: What a service or a table that is down raises; other errors are faults of the program and go on.
-DOWN = (PySparkException, Py4JError, RuntimeError, ValueError, OSError)
+#: What a service or a table that is down raises. A plan that can't be analysed (a column that isn't there) and other errors are faults of the program, and go on.
+DOWN = (PySparkException, Py4JError, OSError)
+FAULTS = (AnalysisException, ParseException)
 
 
 @dataclass
 class Corpus:
-    """Chunks (id, parent_id, document_id, values, text, parent_text, start_page, metadata columns), their sparse index, and the graph."""
+    """Chunks (id, parent_id, document_id, values, text, parent_text, start_page, metadata columns), their sparse index, the graph, and the patterns of entities in questions."""
 
     chunks: DataFrame
     sparse: DataFrame
     entities: DataFrame | None = None
     mentions: DataFrame | None = None
+    patterns: DataFrame | None = None
 
 
 @dataclass
@@ -46,28 +49,35 @@ class Retriever:
     #: The models of the last stages: relevance of a text to a question, and what of it to keep.
     reranker: Callable[[str, Column], Column] = overlap_score
     compressor: Callable[[str, Column], Column] = compressed
+    #: Finds entities in questions besides the patterns.
+    recogniser: Recogniser | None = None
 
     def _optional(self, name: str, make: Callable[[], DataFrame | None]) -> DataFrame | None:
         try:
             return make()
+        except FAULTS:
+            raise
         except DOWN:  # a stage that is down must not take the answer with it
             self.failed.append(name)
             return None
 
-    def evidence(self, names: list[str], complex_: bool) -> DataFrame | None:
-        """(document_id, pages) of documents that mention the named entities, or if ``complex_`` entities near them."""
-        entities, mentions = self.corpus.entities, self.corpus.mentions
-        if entities is None or mentions is None or not names:
+    def asked(self, question: str, names: list[str] | None = None) -> DataFrame | None:
+        """The question's entities (seq, text, type), each text once: those named, or those that patterns and the recogniser find in it."""
+        spark = self.corpus.chunks.sparkSession
+        if names:
+            return spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "seq int, text string, type string")
+        if self.corpus.patterns is None:
             return None
-        found = None
-        for name in names:
-            rows = graph.pages_mentioning(entities, mentions, name)
-            if complex_:
-                near = graph.related(entities, mentions, name, limit=5).select("entity_id")
-                more = mentions.join(near, "entity_id").groupBy("document_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
-                rows = rows.union(more)
-            found = rows if found is None else found.union(rows)
-        return found
+        page = spark.createDataFrame([("question", 0, question)], "document_id string, page int, text string")
+        found = entities.found_entities(page, self.corpus.patterns, self.recogniser)
+        once = found.groupBy(F.lower("text").alias("_k")).agg(F.min_by(F.struct("text", "type"), "begin").alias("e"), F.min("begin").alias("seq"))
+        return once.select("seq", "e.text", "e.type")
+
+    def evidence(self, question: str, names: list[str] | None, complex_: bool) -> DataFrame | None:
+        """What the graph knows of the question's entities, and if ``complex_`` of entities near them: documents with pages and evidence."""
+        nodes, mentions = self.corpus.entities, self.corpus.mentions
+        asked = None if nodes is None or mentions is None else self.asked(question, names)
+        return None if asked is None else graph.evidence_of(nodes, mentions, asked, complex_)
 
     def fused(self, question: str, filters: dict[str, object] | None = None, names: list[str] | None = None, use_graph: bool = True) -> DataFrame:
         """The chunks of all lists with (rrf_score, sources, pos), one for each parent."""
@@ -86,7 +96,7 @@ class Retriever:
         if sparse is not None:
             lists = lists.union(sparse.select(F.lit("bm25"), F.lit(1), F.col("pos"), "id"))
         fused = vector.rrf(lists).join(c.chunks.drop("values"), "id")
-        evidence = self._optional("kg", lambda: self.evidence(names or [], analysis.complex)) if use_graph else None
+        evidence = self._optional("kg", lambda: self.evidence(question, names, analysis.complex)) if use_graph else None
         if evidence is not None:
             fused = vector.graph_boost(fused, evidence)
         return vector.best_of_parent(fused)
@@ -116,6 +126,8 @@ class Retriever:
                 rows = [r.asDict(recursive=True) for r in self.retrieve(question, min(TIMES * top_k, vector.CANDIDATES), filters, names).collect()]
                 scope = any((r["relevance_score"] or 0.0) >= IN_SCOPE or not r["compression_skipped"] for r in rows)
                 return Answer(rows[:top_k], None if scope or not rows else "No passage is relevant to the question.")
+            except FAULTS:
+                raise
             except DOWN as e:
                 notice = f"Dense search only; hybrid search failed: {type(e).__name__}"
         return Answer([r.asDict(recursive=True) for r in self.dense(question, top_k, filters).collect()], notice)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import entities, graph
+from ledgerlens.plans import retrieve
 from ledgerlens.session import table
 
 QUERIES: dict = {}
@@ -166,6 +167,35 @@ def entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merged_by_text(found, ["l_orderkey", "l_linenumber"]).select(F.lower("text").alias("text"), "mention_count")
 
 
+#: A question that names two parts, and what the graph knows of them and of the five entities nearest to each.
+_KG = f"""
+    named AS (SELECT p_name AS text, min(CASE p_partkey WHEN 5 THEN 0 ELSE 1 END) AS seq FROM part WHERE p_partkey IN (5, 12) GROUP BY 1),
+    start AS (SELECT DISTINCT n.seq, m.document_id, m.entity_id FROM named n JOIN entities e ON lower(e.text) = lower(n.text) JOIN mentions m USING (entity_id)),
+    shared AS (SELECT s.seq, d.entity_id, count(DISTINCT d.document_id) AS shared_docs FROM start s JOIN d ON d.document_id = s.document_id AND d.entity_id <> s.entity_id GROUP BY 1, 2),
+    best AS (SELECT s.seq, row_number() OVER w AS n, e.text, e.type, shared_docs FROM shared s JOIN entities e USING (entity_id) WINDOW w AS (PARTITION BY s.seq ORDER BY shared_docs DESC, e.text, entity_id) QUALIFY n <= 5),
+    names AS (SELECT seq, 0 AS near, 0 AS n, text, 'Product' AS type, 'direct_mention' AS match_type, NULL AS related_to, NULL AS shared_docs FROM named
+        UNION ALL SELECT b.seq, 1, b.n, b.text, b.type, 'related_via', n.text, b.shared_docs FROM best b JOIN named n USING (seq)),
+    met AS (SELECT x.*, m.document_id, m.page FROM names x JOIN entities e ON contains(lower(e.text), lower(x.text)) JOIN mentions m USING (entity_id)),
+    each AS (SELECT seq, near, n, text, type, match_type, related_to, shared_docs, document_id, list(DISTINCT page) AS pages FROM met GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    first AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY seq, near, n ORDER BY document_id) <= 100)
+"""
+
+
+@query(
+    "kg_search",
+    "SELECT document_id, min_by(text, seq * 100 + near * 10 + n) AS matched_entity, min_by(type, seq * 100 + near * 10 + n) AS entity_type, min_by(match_type, seq * 100 + near * 10 + n) AS match_type,"
+    " arg_min_null(related_to, seq * 100 + near * 10 + n) AS related_to, arg_min_null(shared_docs, seq * 100 + near * 10 + n) AS shared_docs, array_to_string(list_sort(list_distinct(flatten(list(pages)))), ',') AS pages FROM first GROUP BY 1",
+    _KG,
+)
+def kg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, mentions = _graph(spark, sf_dir)
+    first, second = _named(spark, sf_dir, 5)[0], _named(spark, sf_dir, 12)[0]
+    patterns = nodes.select(F.lit("PRODUCT").alias("label"), F.col("text").alias("pattern"), F.lit("token").alias("kind")).distinct()
+    corpus = retrieve.Corpus(nodes, nodes, nodes, mentions, patterns)
+    found = retrieve.Retriever(corpus).evidence(f"How do the {first} and the {second} compare?", None, True)
+    return found.withColumn("pages", F.array_join("pages", ","))
+
+
 #: Patterns made of the benchmark's items: phrases of three and of two words, and single words in any case.
 _WORDS = "regexp_extract_all({}, '[A-Za-z0-9&./-]*[A-Za-z0-9]')"
 _ITEM = _WORDS.format("text")

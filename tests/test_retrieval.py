@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import graph, vector
@@ -83,8 +84,32 @@ def test_whole_retrieval(corpus):
 
 def test_failed_stages_are_named(corpus):
     c, e = corpus
-    r = retrieve.Retriever(retrieve.Corpus(c.chunks, c.sparse.drop("idx"), c.entities, c.mentions), e)
-    assert r.retrieve("revenue").count() > 0 and r.failed == ["bm25"]
+
+    r = retrieve.Retriever(c, e)
+
+    def broken(*_):
+        raise OSError("the graph is down")
+
+    r.evidence = broken
+    assert r.retrieve("revenue").count() > 0 and r.failed == ["kg"]
+    # A column that isn't there is a fault of the program.
+    misspelt = retrieve.Retriever(retrieve.Corpus(c.chunks, c.sparse.drop("idx"), c.entities, c.mentions), e)
+    with pytest.raises(AnalysisException):
+        misspelt.retrieve("revenue")
+    with pytest.raises(AnalysisException):
+        misspelt.search("revenue")
+
+
+def test_entities_come_from_the_question(corpus):
+    c, e = corpus
+    spark = c.chunks.sparkSession
+    patterns = spark.createDataFrame([("CONCEPT", "data center", "token"), ("GPE", "Asia", "phrase")], "label string, pattern string, kind string")
+    r = retrieve.Retriever(retrieve.Corpus(c.chunks, c.sparse, c.entities, c.mentions, patterns), e)
+    rows = r.retrieve("How did data center revenue do", filters={"ticker": "AAA"}).collect()
+    assert rows[0].id == 3 and "kg_boost" in rows[0].sources and not r.failed
+    assert all("kg_boost" not in x.sources for x in r.retrieve("How did revenue do").collect())
+    found = {x.document_id: x for x in r.evidence("data center in Asia", None, False).collect()}
+    assert (found["D3"].matched_entity, found["D3"].entity_type, found["D3"].pages) == ("data center", "Concept", [1]) and found["D1"].matched_entity == "Asia"
 
 
 def test_search_falls_back_to_dense_when_hybrid_fails_as_it_runs(corpus):
@@ -171,3 +196,15 @@ def test_merges(small, spark):
     assert got["Org", "Alpha"] == (5, "s") and got["Org", "New"] == (1, "z") and got["Person", "alpha"] == (1, "s")
     rows = spark.createDataFrame([("Acme", "Org", 0.5, 1), ("ACME", "Org", 0.9, 2), ("acme", "Org", 0.9, 3)], "text string, type string, confidence double, seq int")
     assert tuple(graph.merged_by_text(rows, ["seq"]).first()) == ("ACME", "Org", 0.9, 3)
+
+
+def test_graph_search_keeps_first_evidence_and_all_pages(small):
+    e, m = small
+    spark = e.sparkSession
+    asked = spark.createDataFrame([(0, "alpha", "Org"), (7, "GAMMA", "Org")], "seq int, text string, type string")
+    got = {r.document_id: tuple(r)[1:] for r in graph.evidence_of(e, m, asked).collect()}
+    assert got == {"d1": ("alpha", "Org", "direct_mention", None, None, [1]), "d3": ("alpha", "Org", "direct_mention", None, None, [5]), "d2": ("GAMMA", "Org", "direct_mention", None, None, [1])}
+    near = {r.document_id: r for r in graph.evidence_of(e, m, asked.where("seq = 0"), near=True).collect()}
+    assert (near["d2"].matched_entity, near["d2"].match_type, near["d2"].related_to, near["d2"].shared_docs) == ("Beta", "related_via", "alpha", 1)
+    assert near["d1"].pages == [1, 2] and near["d1"].match_type == "direct_mention"
+    assert graph.evidence_of(e, m, asked, limit=1).count() == 2 and graph.evidence_of(e, m, asked.limit(0), near=True).count() == 0
