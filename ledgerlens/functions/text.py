@@ -116,6 +116,23 @@ def filled(*columns: Column) -> Column:
     return F.coalesce(*(F.when(c != "", c) for c in columns))
 
 
+#: How a cover page names its company, on a line of its own within so many characters.
+COMPANY_CHARS = 3_000
+COMPANY = r"(?i)\n([A-Z][A-Z\s&,.]+(?:CORPORATION|CORP|INC|LLC|LTD|COMPANY|CO)\.?)\s*\n"
+
+
+def titled(text: Column) -> Column:
+    """Every run of letters with a capital first."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), "")
+
+
+def company_of(text: Column) -> Column:
+    """The company that a cover page names, in title case but for LLC; null if it names none."""
+    found = _found(F.substring(text, 1, COMPANY_CHARS), COMPANY)
+    return F.regexp_replace(titled(stripped(found)), r"\bLlc\b", "LLC")
+
+
 def _or_missing(columns: dict[str, Column], *names: str) -> list[Column]:
     return [F.coalesce(columns[n].cast("string"), F.lit(MISSING[n])) for n in names]
 

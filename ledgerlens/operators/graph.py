@@ -235,6 +235,20 @@ def merged_properties(old: DataFrame, new: DataFrame, keys: list[str], propertie
     return both.select(*keys, F.map_concat(kept, F.coalesce("_new", F.create_map().cast("map<string,string>"))).alias(properties))
 
 
+def merged_documents(documents: DataFrame, found: DataFrame, at: Column, key: str = "document_id") -> DataFrame:
+    """Documents with metadata set by those found: new ones get ``created_at``, known ones keep it and get ``updated_at``; metadata that isn't given stays. ``found`` has one row for each key."""
+    given = [c for c in found.columns if c != key]
+    old = documents.withColumn("_old", F.lit(True))
+    new = found.select(key, *(F.col(c).alias(f"_new_{c}") for c in given), F.lit(True).alias("_new"))
+    both = old.join(new, key, "full")
+    known, met = F.coalesce("_old", F.lit(False)), F.coalesce("_new", F.lit(False))
+    set_ = {c: F.coalesce(f"_new_{c}", *([F.col(c)] if c in documents.columns else [])) for c in given}
+    rest = [c for c in documents.columns if c not in (key, *given, "created_at", "updated_at")]
+    created = F.when(known, F.col("created_at")).otherwise(at)
+    updated = F.when(known & met, at).otherwise(F.col("updated_at"))
+    return both.select(key, *rest, *(c.alias(n) for n, c in set_.items()), created.alias("created_at"), updated.alias("updated_at"))
+
+
 # Entities of one text
 
 

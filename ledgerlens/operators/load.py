@@ -161,6 +161,19 @@ def to_index(manifest: DataFrame, documents: DataFrame, version: str = "v3_hybri
     return documents.join(known, "doc_id", "left").where(wanted).select(*documents.columns)
 
 
+def updated_manifest(manifest: DataFrame, done: DataFrame, order: str = "extracted_at") -> DataFrame:
+    """The manifest with the rows of ``done`` in place of those of the same doc_id; of several, the last by ``order``. Columns that ``done`` lacks are null in its rows."""
+    last = done.groupBy("doc_id").agg(F.max_by(F.struct(*done.columns), F.struct(F.col(order), F.xxhash64(*done.columns))).alias("r")).select("r.*")
+    return manifest.join(last.select("doc_id"), "doc_id", "left_anti").unionByName(last, allowMissingColumns=True)
+
+
+def years_of(rows: DataFrame, keys: list[str], year: str = "fiscal_year") -> DataFrame:
+    """Of each key, its fiscal years, latest first, and the latest; years are numbers, or text that is cast to them, and what is none is left out."""
+    number = F.col(year).cast("string").try_cast("int")
+    years = F.sort_array(F.collect_set(number), asc=False)
+    return rows.groupBy(*keys).agg(years.alias("years"), F.max(number).alias("latest"))
+
+
 def manifest_totals(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("documents"), F.sum("page_count").alias("pages"), F.sum("chunk_count").alias("chunks"), F.round(F.sum("extraction_cost_usd"), 4).alias("cost_usd"))
 

@@ -159,6 +159,18 @@ def merge_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("k", F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("props"))
 
 
+@query(
+    "merge_documents",
+    "SELECT s_suppkey AS document_id, CASE WHEN s_suppkey % 3 = 0 THEN 'old' END AS note, CASE WHEN s_suppkey % 2 = 0 THEN coalesce(CASE WHEN s_suppkey % 4 = 0 THEN s_name END, CASE WHEN s_suppkey % 3 = 0 THEN 'known' END) ELSE 'known' END AS title,"
+    " CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 9 END AS created_at, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 9 END AS updated_at FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 2 = 0",
+)
+def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    known = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("document_id"), F.lit("old").alias("note"), F.lit("known").alias("title"), F.lit(1).alias("created_at"), F.lit(None).cast("int").alias("updated_at"))
+    found = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("document_id"), F.when(F.col("s_suppkey") % 4 == 0, F.col("s_name")).alias("title"))
+    return graph.merged_documents(known, found, F.lit(9))
+
+
 @query("entity_dedup", "SELECT lower(l_shipmode_like) AS text, count(*) AS mention_count FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN upper(l_returnflag) ELSE lower(l_returnflag) END || l_linestatus AS l_shipmode_like FROM lineitem) GROUP BY 1")
 def entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")

@@ -176,6 +176,31 @@ def child_page_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.child_pages(rows).select("parent_id", "child_index", "start_page")
 
 
+@query(
+    "fiscal_years",
+    "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT TRY_CAST(y AS INTEGER)) FILTER (TRY_CAST(y AS INTEGER) IS NOT NULL), 'DESC'), ',') AS years, max(TRY_CAST(y AS INTEGER)) AS latest FROM (SELECT o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS y FROM orders) GROUP BY 1",
+)
+def fiscal_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.year("o_orderdate").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", said.alias("fiscal_year"))
+    return load.years_of(rows, ["o_custkey"]).select("o_custkey", F.array_join("years", ",").alias("years"), "latest")
+
+
+@query(
+    "manifest_update",
+    "WITH m AS (SELECT s_name AS doc_id, CAST(s_suppkey % 40 AS INTEGER) AS page_count, abs(s_acctbal) AS cost FROM supplier WHERE s_suppkey % 3 > 0),"
+    " d AS (SELECT s_name AS doc_id, CAST(7 AS INTEGER) AS page_count, CAST(s_suppkey % 9 AS DOUBLE) AS cost FROM supplier WHERE s_suppkey % 2 = 0)"
+    " SELECT doc_id, page_count, cost FROM d UNION ALL SELECT * FROM m WHERE doc_id NOT IN (SELECT doc_id FROM d)",
+)
+def manifest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the suppliers are in the manifest; half of all are extracted anew, some of them twice."""
+    s = table(spark, sf_dir, "supplier")
+    known = s.where("s_suppkey % 3 > 0").select(F.col("s_name").alias("doc_id"), (F.col("s_suppkey") % 40).cast("int").alias("page_count"), F.abs("s_acctbal").alias("cost"), F.lit(0).alias("extracted_at"))
+    done = s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("doc_id"), F.lit(7).alias("page_count"), (F.col("s_suppkey") % 9).cast("double").alias("cost"), F.lit(2).alias("extracted_at"))
+    early = done.where("page_count = 7").withColumns({"page_count": F.lit(1), "extracted_at": F.lit(1)})
+    return load.updated_manifest(known, done.unionByName(early)).select("doc_id", "page_count", "cost")
+
+
 @query("text_page_filter", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '\\S')")
 def text_page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.with_text(table(spark, sf_dir, "conversations")).select("conv_id", "turn")

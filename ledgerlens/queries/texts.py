@@ -204,6 +204,17 @@ _derived(
 )
 
 
+_COVER = _case("doc_id", "concat('ACME ', upper(lang), ' CORPORATION')", "concat('Blue  ', lang, ', Widgets Llc')", "concat(upper(lang), ' & SONS CO.')", "source", "concat('THE ', lang, ' COMPANY ', chr(10), ' OF NOTE')")
+_NAMED = r"regexp_extract(substr(given, 1, 3000), '(?i)\n([A-Z][A-Z\s&,.]+(?:CORPORATION|CORP|INC|LLC|LTD|COMPANY|CO)\.?)\s*\n', 1)"
+_derived(
+    "company_from_text", "documents", "doc_id",
+    f"concat('FORM ', doc_id, chr(10), {_COVER}, ' ', chr(10), CASE WHEN doc_id % 7 = 0 THEN 'ok' ELSE text END)",
+    {"company": ("string", T.company_of)},
+    {"company": f"nullif(replace(array_to_string(list_transform(string_split({_TRIM.format(_NAMED)}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), 'Llc', 'LLC'), '')"},
+    digest=True,
+)
+
+
 @query("relevance_score_format", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(CAST(doc_id % 10 + 1 AS INTEGER) AS VARCHAR) || '/10' WHEN doc_id % 100 = 50 OR doc_id % 100 = 0 THEN '?/10' ELSE CAST(least(10, greatest(1, CAST(floor((doc_id % 50) / 50.0 * 10) AS INTEGER))) AS VARCHAR) || '/10' END AS relevance FROM documents")
 def relevance_score_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 10 + 1)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import chunking, load
+from ledgerlens.operators import chunking, graph, load
 from ledgerlens.plans import ingest
 from ledgerlens.providers import HashedTerms
 from ledgerlens.queries import ingest as queries
@@ -224,3 +224,22 @@ def test_chunk_queries_take_whole_documents(spark):
     rows = queries.QUERIES["chunk_parent_child"](spark, sf).collect()
     assert len(rows) == len(children) and {r.child_id for r in rows} == {f"{i}_parent_{c}_child_{k}" for i, c, k in children}
     assert sum(r.children for r in queries.QUERIES["chunk_stats"](spark, sf).collect()) == len(children)
+
+
+def test_manifest_is_updated_by_document(spark):
+    old = spark.createDataFrame([("a", 1, 5, True), ("b", 2, 5, True)], "doc_id string, page_count int, extracted_at int, indexed boolean")
+    done = spark.createDataFrame([("b", 9, 6), ("b", 8, 7), ("c", 3, 1)], "doc_id string, page_count int, extracted_at int")
+    got = sorted(map(tuple, load.updated_manifest(old, done).collect()))
+    assert got == [("a", 1, 5, True), ("b", 8, 7, None), ("c", 3, 1, None)]
+    assert sorted(r.doc_id for r in load.updated_manifest(old.limit(0), done).collect()) == ["b", "c"]
+
+
+def test_years_and_documents(spark):
+    rows = spark.createDataFrame([("a", "2024"), ("a", "999"), ("a", "x"), ("b", None)], "k string, fiscal_year string")
+    assert {r.k: (r.years, r.latest) for r in load.years_of(rows, ["k"]).collect()} == {"a": ([2024, 999], 2024), "b": ([], None)}
+    known = spark.createDataFrame([("a", "t", "x", 1, None), ("b", "u", "y", 2, 3)], "document_id string, title string, note string, created_at int, updated_at int")
+    found = spark.createDataFrame([("b", None, "10k"), ("c", "new", "ref")], "document_id string, title string, kind string")
+    got = {r.document_id: r.asDict() for r in graph.merged_documents(known, found, F.lit(9)).collect()}
+    assert (got["a"]["created_at"], got["a"]["updated_at"], got["a"]["kind"]) == (1, None, None)
+    assert (got["b"]["created_at"], got["b"]["updated_at"], got["b"]["title"], got["b"]["note"], got["b"]["kind"]) == (2, 9, "u", "y", "10k")
+    assert (got["c"]["created_at"], got["c"]["updated_at"], got["c"]["title"], got["c"]["note"]) == (9, None, "new", None)

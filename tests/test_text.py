@@ -115,6 +115,7 @@ _case(
     {"skip": ("boolean", T.not_relevant)},
 )
 _case("thinking_split", [("<thinking>a b</thinking> done", "a b", "done"), ("plain ", None, "plain "), ("x<Thinking>1</THINKING>y<thinking>2</thinking>", "1", "xy")], "content", {"thought": ("string", lambda c: T.thinking(c)[0]), "said": ("string", lambda c: T.thinking(c)[1])})
+_case("companies", [("x\nNVIDIA CORPORATION\nmore", "Nvidia Corporation"), ("x\n at&t inc.  \ny", None), ("x\nAT&T INC.\n", "At&T Inc."), ("x\nBlue Sea Llc\n", "Blue Sea LLC"), ("ACME CORP\n", None), ("a" * 3000 + "\nACME CORP\n", None), (None, None)], "text", {"company": ("string", T.company_of)})
 _case("error_kinds", [("HTTP 429", "rate limit"), ("Read timed out", "timeout"), ("Tool crashed", "tool"), ("Model unavailable", "model"), ("?", "other")], "message", {"kind": ("string", T.error_kind)})
 _case("ticker_lists", [("aapl, msft,,", "AAPL|MSFT"), (" nvda ", "NVDA"), (",", "")], "given", {"symbols": ("string", lambda c: F.array_join(T.ticker_list(c), "|"))})
 _case("epoch_times", [("0", "1970-01-01T00:00:00+00:00"), ("1700000000", "2023-11-14T22:13:20+00:00")], "seconds", {"iso": ("string", lambda c: T.epoch_text(c.cast("bigint")))})
