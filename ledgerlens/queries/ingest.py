@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import chunking, load
-from ledgerlens.session import table
+from ledgerlens.session import scratch, table
+from ledgerlens.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -201,6 +202,22 @@ def manifest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.updated_manifest(known, done.unionByName(early)).select("doc_id", "page_count", "cost")
 
 
+@query(
+    "table_commits",
+    "SELECT c_custkey, CASE WHEN c_custkey % 100 = 7 THEN 'changed' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 100 = 7 THEN NULL ELSE c_acctbal END AS balance FROM customer WHERE c_custkey % 100 <> 9"
+    " UNION ALL SELECT -1 - c_custkey, 'new', CAST(1 AS DOUBLE) FROM customer WHERE c_custkey % 100 = 7",
+)
+def table_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of all customers, of which one in a hundred is changed, one deleted, and one comes; each change is a commit that reads and writes the buckets of its keys."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    stored = tables.Table.create(c, scratch(spark, "customers"), ["c_custkey"], buckets=32)
+    some = c.where("c_custkey % 100 = 7")
+    changed = some.withColumns({"segment": F.lit("changed"), "balance": F.lit(None).cast("double")})
+    stored.upsert(changed.unionByName(some.withColumns({"c_custkey": -1 - F.col("c_custkey"), "segment": F.lit("new"), "balance": F.lit(1.0)})))
+    stored.delete(c.where("c_custkey % 100 = 9").select("c_custkey"))
+    return stored.read()
+
+
 @query("text_page_filter", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '\\S')")
 def text_page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.with_text(table(spark, sf_dir, "conversations")).select("conv_id", "turn")

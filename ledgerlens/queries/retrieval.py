@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import vector
+from ledgerlens.functions.text import bucket
+from ledgerlens.operators import pruned, vector
 from ledgerlens.plans import retrieve
 from ledgerlens.providers import HashedTerms
-from ledgerlens.session import table
+from ledgerlens.session import scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -161,6 +162,29 @@ def retrieve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("rrf_score", 9).alias("rrf_score"), F.array_join("sources", "+").alias("sources"), "relevance_score", F.md5("compressed_text").alias("compressed"))
 
 
+@query("dense_index_topk", f"SELECT {0} AS q, * FROM ({_top(VARIANTS[0], 10)}) UNION ALL SELECT 1, * FROM ({_top(VARIANTS[2], 10)})")
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches of a stored index of cells, which skips those whose bound can't reach the tenth score."""
+    folder = scratch(spark, "cells")
+    pruned.store_cells(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", folder, cells=64)
+    first, second = (pruned.dense_search(spark, folder, VARIANTS[i], 10)[0].select(F.lit(q).alias("q"), "id", F.round("score", 6).alias("score")) for q, i in ((0, 0), (1, 2)))
+    return first.union(second)
+
+
+@query(
+    "sparse_index_topk",
+    "WITH q AS (SELECT vec_id, unnest(list_distinct([vec_id * 3 % 97, vec_id * 7 % 97])) AS idx FROM embeddings) SELECT vec_id AS id, CAST(count(*) AS DOUBLE) AS score FROM q WHERE idx IN (3, 30, 60, 90) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
+)
+def sparse_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of stored postings, which skips parts of the documents whose bound can't reach the last score."""
+    folder = scratch(spark, "postings")
+    words = lambda n: F.concat(F.lit("term"), (F.col("vec_id") * n % 97).cast("string"))
+    docs = table(spark, sf_dir, "embeddings").select("vec_id", F.when(words(3) == words(7), words(3)).otherwise(F.concat_ws(" ", words(3), words(7))).alias("text"))
+    pruned.store_postings(docs, "vec_id", "text", folder, part_docs=64)
+    asked = spark.createDataFrame([(f"term{i}",) for i in (3, 30, 60, 90)], "token string").select(bucket(F.col("token")).alias("idx"), (F.lit(1.0) / F.log1p(F.lit(1.0))).alias("w"))
+    return pruned.sparse_search(spark, folder, asked, 25)[0].select("id", F.round("score", 9).alias("score"))
+
+
 @query("out_of_scope", "SELECT source, lang, max(doc_id % 11 * 0.5) < 3 AND bool_and(n_chars > 700) AS out_of_scope FROM documents GROUP BY 1, 2")
 def out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source and language as a question, its documents as what was found for it."""
