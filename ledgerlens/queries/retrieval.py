@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens import calls
 from ledgerlens.functions.text import bucket
 from ledgerlens.operators import pruned, vector
 from ledgerlens.plans import retrieve
@@ -185,6 +186,28 @@ def sparse_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pruned.sparse_search(spark, folder, asked, 25)[0].select("id", F.round("score", 9).alias("score"))
 
 
+def _model(request: str) -> str:
+    """Stands for a model: its score is the length of the passage, modulo 11; it fails for passages that begin with a vowel."""
+    passage = request.split("\nPassage: ", 1)[1].rsplit("\nAnswer", 1)[0]
+    if passage[:1] in "AEIOU":
+        raise OSError("the model is down")
+    return f"Score: {len(passage) % 11} of 10"
+
+
+_SEEN = "substr(text, 1, 2000)"
+
+
+@query(
+    "reranked_passages",
+    f"SELECT source AS question, doc_id, score AS relevance_score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM (SELECT source, doc_id, CASE WHEN coalesce({_SEEN}, '') = '' OR {_SEEN}[1] IN ('A', 'E', 'I', 'O', 'U') THEN CAST(5 AS DOUBLE) ELSE greatest(1.0, CAST(length({_SEEN}) % 11 AS DOUBLE)) END AS score FROM documents WHERE text IS NOT NULL) t",
+)
+def reranked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source is a question, its documents the passages; each different passage is asked about once, and failures count as 5."""
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("source").alias("question"), "doc_id", "text")
+    found = calls.reranked(rows, _model, calls.Policy(attempts=1))
+    return found.select("question", "doc_id", "relevance_score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("out_of_scope", "SELECT source, lang, max(doc_id % 11 * 0.5) < 3 AND bool_and(n_chars > 700) AS out_of_scope FROM documents GROUP BY 1, 2")
 def out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source and language as a question, its documents as what was found for it."""
