@@ -119,18 +119,19 @@ BREAKER = "user_id long, event_id long, rejected boolean, failures int"
 def breaker_states(calls: DataFrame) -> DataFrame:
     """(user_id, event_id, rejected, failures) for each call (user_id, event_id, ts, failed), by user in order of time.
 
-    What a call meets depends on all before it, so this is a fold over a user's calls. On a stream it keeps two
+    On a table, histories are parted into blocks (``breakers``). On a stream this is a fold that keeps two
     numbers for each user; rows of a micro-batch are taken in order.
     """
+    if not calls.isStreaming:
+        from ledgerlens.streaming import breakers  # it is built upon the values here
+
+        return breakers.breaker_states(calls)
 
     def run(rows: pd.DataFrame, breaker: Breaker) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "event_id"])
         out = [(u, e, *breaker.step(t.timestamp(), bool(f))) for u, e, t, f in rows[["user_id", "event_id", "ts", "failed"]].itertuples(index=False)]
         return pd.DataFrame(out, columns=["user_id", "event_id", "rejected", "failures"])
 
-    if not calls.isStreaming:
-        return calls.select("user_id", "event_id", "ts", "failed").groupBy("user_id").applyInPandas(lambda pdf: run(pdf, Breaker()), BREAKER)
-
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         breaker = Breaker(*state.get) if state.exists else Breaker()
         yield run(pd.concat(list(batches)), breaker)
