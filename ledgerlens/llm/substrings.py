@@ -257,15 +257,24 @@ def _suffixes(texts: DataFrame, contexts: DataFrame, plan: dict[int, dict[int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, places in zip(batch.column(0), batch.column(1), strict=True):
-                text = raw.as_py()
-                words = text.split()
-                h, _ = word_hashes([text])
-                hashes = [own.view(np.int64) for own in _prefixes(h)]
-                place, a, ctx, first = (places.values.field(k).to_numpy() for k in range(4))
-                for at in range(0, len(place), 4_096):
-                    some = slice(at, at + 4_096)
-                    yield pa.RecordBatch.from_arrays(cut(words, hashes, place[some], a[some], ctx[some], first[some]), schema=arrow)
+            raws, size, since = [], 0, 0
+            for k in range(batch.num_rows):
+                raws.append(batch.column(0)[k].as_py())
+                size += len(raws[-1])
+                if size >= FLUSH or k + 1 == batch.num_rows:
+                    yield from flush(raws, batch.column(1).slice(since, len(raws)))
+                    raws, size, since = [], 0, k + 1
+
+    def flush(raws: list[bytes], lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        h, sizes = word_hashes(raws)
+        words = b" ".join(raws).split()
+        hashes = [own.view(np.int64) for own in _prefixes(h)]
+        # Words are counted over all texts; a place's above its text's first.
+        shift = np.repeat((np.cumsum(sizes) - sizes) << 8, lists.value_lengths().to_numpy())
+        place, a, ctx, first = (lists.flatten().field(k).to_numpy() for k in range(4))
+        for at in range(0, len(place), 8_192):
+            some = slice(at, at + 8_192)
+            yield pa.RecordBatch.from_arrays(cut(words, hashes, (place + shift)[some], a[some], ctx[some], first[some]), schema=arrow)
 
     def cut(words: list[bytes], all_hashes: list[np.ndarray], place: np.ndarray, a: np.ndarray, ctx: np.ndarray, first: np.ndarray) -> list[pa.Array]:
         begin, end = (place >> 8) - (place >> 4 & 15), (place >> 8) - (place & 15) + LENGTH
@@ -375,17 +384,14 @@ def _spans(texts: DataFrame) -> DataFrame:
     return spans.agg(F.collect_list(F.struct("place", "mask")).alias("spans"))
 
 
-def _gone(n: int, spans: pa.StructArray | None) -> np.ndarray:
+def _gone(n: int, spans: pa.StructArray) -> np.ndarray:
     """Which of ``n`` words go."""
-    edge = np.zeros(n + 1, np.int64)
-    if spans is not None and len(spans):
-        place, mask = spans.field("place").to_numpy(), spans.field("mask").to_numpy()
-        begin, windows = (place >> 8) - (place >> 4 & 15), (place >> 4 & 15) - (place & 15) + 1
-        for k in range(PLACES):
-            start = begin[(mask >> k & 1 > 0) & (k < windows)] + k
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0
+    place, mask = spans.field("place").to_numpy(), spans.field("mask").to_numpy()
+    begin, windows = (place >> 8) - (place >> 4 & 15), (place >> 4 & 15) - (place & 15) + 1
+    turn = np.arange(PLACES)
+    start = (begin[:, None] + turn)[(mask[:, None] >> turn & 1 > 0) & (turn < windows[:, None])]
+    edge = np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
 
 
 def _judged(texts: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
@@ -400,9 +406,11 @@ def _judged(texts: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
                 out = []
                 for raw, own in zip(part.column(3), part.column(4), strict=True):
                     words = raw.as_py().split()
-                    gone = _gone(len(words), own.values)
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if own.is_valid else words)
-                    out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if keep_text else [])))
+                    left = words
+                    if own.is_valid:
+                        left = [w for w, g in zip(words, _gone(len(words), own.values).tolist(), strict=True) if not g]
+                    kept = b" ".join(left)
+                    out.append((len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if keep_text else [])))
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(arrow)[3:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], schema=arrow)
 
