@@ -163,6 +163,8 @@ def path_length(entities: DataFrame, mentions: DataFrame, start: str, end: str,
     if not frontier.join(ends, "entity_id", "left_semi").isEmpty():
         return spark.createDataFrame([(0,)], schema)
     seen, read = frontier, pairs.select("document_id").limit(0)
+    held: list[DataFrame] = []
+    out: list[tuple] = []
     for hop in range(1, min(hops, HOPS) + 1):
         docs = pairs.join(frontier, "entity_id", "left_semi").select("document_id").distinct().join(read, "document_id", "left_anti")
         frontier = pairs.join(docs, "document_id", "left_semi").select("entity_id").distinct().join(seen, "entity_id", "left_anti")
@@ -170,12 +172,16 @@ def path_length(entities: DataFrame, mentions: DataFrame, start: str, end: str,
             frontier, docs = frontier.checkpoint(), docs.checkpoint()
         else:
             frontier, docs = frontier.persist(), docs.persist()
+            held += [frontier, docs]
         if not frontier.join(ends, "entity_id", "left_semi").isEmpty():
-            return spark.createDataFrame([(2 * hop,)], schema)
+            out = [(2 * hop,)]
+            break
         if frontier.isEmpty():
             break
         seen, read = seen.union(frontier), read.union(docs)
-    return spark.createDataFrame([], schema)
+    for df in held:
+        df.unpersist()
+    return spark.createDataFrame(out, schema)
 
 
 def shortest_path(entities: DataFrame, mentions: DataFrame, start: str, end: str, hops: int = HOPS) -> DataFrame:
@@ -189,6 +195,7 @@ def shortest_path(entities: DataFrame, mentions: DataFrame, start: str, end: str
     pairs = mentions.select("document_id", "entity_id").distinct()
     frontier = starts.select("entity_id", F.lit(None).cast(pairs.schema["document_id"].dataType).alias("document_id"), F.col("entity_id").alias("came"))
     levels, seen = [frontier], starts
+    nodes: list[tuple] = []
     for _ in range(min(hops, HOPS) + 1):
         met = levels[-1].join(ends, "entity_id", "left_semi").orderBy("entity_id").first()
         if met is not None:
@@ -196,7 +203,7 @@ def shortest_path(entities: DataFrame, mentions: DataFrame, start: str, end: str
             for level in levels[:0:-1]:
                 row = level.where(F.col("entity_id") == nodes[-1][1]).first()
                 nodes += [("document", row.document_id), ("entity", row.came)]
-            return spark.createDataFrame([(i, kind, str(node)) for i, (kind, node) in enumerate(reversed(nodes))], schema)
+            break
         if len(levels) > min(hops, HOPS):
             break
         via = pairs.join(levels[-1].select(F.col("entity_id").alias("came")), pairs.entity_id == F.col("came")).groupBy("document_id").agg(F.min("came").alias("came"))
@@ -204,7 +211,9 @@ def shortest_path(entities: DataFrame, mentions: DataFrame, start: str, end: str
         found = found.checkpoint() if spark.sparkContext.getCheckpointDir() else found.persist()
         levels.append(found)
         seen = seen.union(found.select("entity_id"))
-    return spark.createDataFrame([], schema)
+    for level in levels[1:]:
+        level.unpersist()
+    return spark.createDataFrame([(i, kind, str(node)) for i, (kind, node) in enumerate(reversed(nodes))], schema)
 
 
 # Writing

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import entities, graph
+from ledgerlens.operators import entities, graph, trigrams
 from ledgerlens.plans import retrieve
-from ledgerlens.session import table
+from ledgerlens.session import scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -193,6 +193,15 @@ _KG = f"""
 """
 
 
+@query("entity_contains_index", "SELECT 'bolt' AS asked, entity_id, text FROM entities WHERE contains(lower(text), 'd bolt') UNION ALL SELECT 'OL', entity_id, text FROM entities WHERE contains(lower(text), 'ol')")
+def entity_contains_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lookups of a stored index of trigrams; the second text is too short for it."""
+    folder = scratch(spark, "names")
+    trigrams.store_names(_graph(spark, sf_dir)[0], folder)
+    first, second = (trigrams.names_with(spark, folder, asked).select(F.lit(name).alias("asked"), "entity_id", "text") for name, asked in (("bolt", "D Bolt"), ("OL", "OL")))
+    return first.union(second)
+
+
 @query(
     "kg_search",
     "SELECT document_id, min_by(text, seq * 100 + near * 10 + n) AS matched_entity, min_by(type, seq * 100 + near * 10 + n) AS entity_type, min_by(match_type, seq * 100 + near * 10 + n) AS match_type,"
