@@ -54,8 +54,9 @@ def distinct_items(pages: DataFrame, column: str, name: str, year: bool = True)
     return first_of(items.where(F.col(name).isNotNull()), keys, ["source_page", "_at"], rest)
 
 
-def by_revenue(items: DataFrame) -> DataFrame:
-    return items.orderBy(F.coalesce("revenue", F.lit(0)).desc())
+def by_revenue(items: DataFrame, *ties: str) -> DataFrame:
+    """The greatest revenue first, none counting as zero; ties in order of other columns."""
+    return items.orderBy(F.coalesce("revenue", F.lit(0)).desc(), *ties)
 
 
 def reference_documents(pages: DataFrame) -> DataFrame:

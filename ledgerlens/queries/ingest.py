@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import chunking, load
+from ledgerlens.plans import ingest
 from ledgerlens.session import scratch, table
 from ledgerlens.sources import tables
 
@@ -218,6 +219,74 @@ def table_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.read()
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as extracted documents: their lines as pages, with a metric, two segments and two risks each."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    segment = lambda n: F.struct(F.concat(F.lit(f"S{n}-"), "l_returnflag").alias("segment_name"), (F.col("l_linenumber") % 2 + 2020).alias("fiscal_year"), (F.col("l_quantity") * n).alias("revenue"))
+    risk = lambda n: F.struct(F.concat(F.lit(f"R{n}-"), "l_linestatus").alias("title"), F.col("l_linenumber").alias("note"))
+    page = F.struct(F.col("l_linenumber").alias("page_number"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_shipmode") if "l_shipmode" in li.columns else F.col("l_returnflag")).alias("text"), F.array(segment(1), segment(2)).alias("segment_data"), F.array(risk(1), risk(2)).alias("risk_factors"))
+    pages = li.select(F.col("l_orderkey").alias("o_orderkey"), page.alias("p")).groupBy("o_orderkey").agg(F.collect_list("p").alias("pages"))
+    return pages.join(o, "o_orderkey").withColumn("document_id", F.col("o_orderkey"))
+
+
+@query("page_explode", "SELECT l_orderkey AS document_id, l_linenumber AS page_number FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber % 3 > 0")
+def page_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with text of documents whose pages are arrays."""
+    return load.with_text(load.page_rows(_documents(spark, sf_dir))).select("document_id", "page_number")
+
+
+_ITEMS = "SELECT l_orderkey AS document_id, 'S' || n || '-' || l_returnflag AS segment_name, l_linenumber % 2 + 2020 AS fiscal_year, l_quantity * n AS revenue, l_linenumber AS source_page, n FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES (1), (2)) t(n)"
+
+
+@query("segment_unnest", f"SELECT document_id, segment_name, fiscal_year, source_page FROM (SELECT *, row_number() OVER (PARTITION BY document_id, segment_name, fiscal_year ORDER BY source_page, n) AS r FROM ({_ITEMS})) WHERE r = 1")
+def segment_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment and year of a document once, as on its first page."""
+    return load.distinct_items(load.page_rows(_documents(spark, sf_dir)), "segment_data", "segment_name").select("document_id", "segment_name", "fiscal_year", "source_page")
+
+
+@query("risk_unnest", "SELECT document_id, title, min(source_page) AS source_page FROM (SELECT l_orderkey AS document_id, 'R' || n || '-' || l_linestatus AS title, l_linenumber AS source_page FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES (1), (2)) t(n)) GROUP BY 1, 2")
+def risk_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load.distinct_items(load.page_rows(_documents(spark, sf_dir)), "risk_factors", "title", year=False).select("document_id", "title", "source_page")
+
+
+@query("items_by_revenue", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 > 0 THEN s_acctbal END AS revenue FROM supplier ORDER BY coalesce(CASE WHEN s_suppkey % 7 > 0 THEN s_acctbal END, 0) DESC, s_suppkey LIMIT 30")
+def items_by_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 7 > 0, F.col("s_acctbal")).alias("revenue"))
+    return load.by_revenue(rows, "s_suppkey").limit(30)
+
+
+@query(
+    "document_metadata",
+    "SELECT upper(lang) || '_10K_' || (2000 + doc_id % 25) || '_' || doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'reference' ELSE '10k' END AS document_type, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' END, ''), upper(lang)) AS ticker,"
+    " CASE WHEN doc_id % 5 = 0 THEN 1999 ELSE CAST(2000 + doc_id % 25 AS INTEGER) END AS fiscal_year, CASE WHEN doc_id % 4 = 0 THEN source ELSE 'document' END AS source_type, source AS source_name FROM documents WHERE lang IS NOT NULL",
+)
+def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata out of nested values, the ticker and the year out of the id where they are missing."""
+    d = F.col("doc_id")
+    none = F.lit(None).cast("string")
+    meta = F.struct(
+        none.alias("company"), F.when(d % 2 == 0, "").alias("ticker"), F.when(d % 5 == 0, 1999).alias("fiscal_year"), F.when(d % 4 == 0, F.col("source")).alias("source_type"), F.col("source"),
+        none.alias("publication_date"), none.alias("headline"),
+    )
+    name = F.concat(F.upper("lang"), F.lit("_10K_"), (2000 + d % 25).cast("string"), F.lit("_"), d.cast("string"))
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(name.alias("document_id"), F.when(d % 3 == 0, "news").otherwise("sec_10K").alias("document_type"), meta.alias("metadata"), F.lit(1).alias("total_pages"))
+    return ingest.document_metadata(rows).select("document_id", "document_type", "ticker", "fiscal_year", "source_type", "source_name")
+
+
+_HEAD = "CASE WHEN doc_id % 3 = 0 THEN '[10-K Filing] [' || coalesce(source, 'Unknown Company') || ' (N/A)] [FY' || (2000 + doc_id % 25) || '] [' || coalesce(lang, 'Unknown Section') || '] [Page ' || doc_id % 9 || ' of ?]' ELSE '[document] [' || coalesce(source, 'Unknown Source') || '] [Unknown Date]' END || chr(10) || chr(10)"
+
+
+@query("chunk_enrichment")
+def chunk_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their document's context before them, tokens counted anew."""
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("document_id", F.col("doc_id"))
+    children = d.select("document_id", F.substring("text", 1, 500).alias("text"), F.col("lang").alias("section"), (F.col("doc_id") % 9).alias("start_page"))
+    names = {"company": F.col("source"), "ticker": none, "fiscal_year": (2000 + F.col("doc_id") % 25).cast("int"), "total_pages": none, "source_type": none, "source_name": F.col("source"), "publication_date": none, "headline": none}
+    metadata = d.select("document_id", F.when(F.col("doc_id") % 3 == 0, "10k").otherwise("reference").alias("document_type"), *(c.alias(n) for n, c in names.items()))
+    return chunking.enriched(children, metadata).select(F.col("document_id").alias("doc_id"), F.md5("text").alias("text"), F.md5("text_raw").alias("text_raw"), "token_count")
+
+
 @query("text_page_filter", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '\\S')")
 def text_page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.with_text(table(spark, sf_dir, "conversations")).select("conv_id", "turn")
@@ -288,3 +357,6 @@ def chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = _parents(spark, sf_dir)
     return chunking.chunk_stats(parents, chunking.children_of(parents))
+
+
+ORACLES["chunk_enrichment"] = f"SELECT doc_id, md5({_HEAD} || substr(text, 1, 500)) AS text, md5(substr(text, 1, 500)) AS text_raw, {_count(f'({_HEAD} || substr(text, 1, 500))')} AS token_count FROM documents WHERE text IS NOT NULL"

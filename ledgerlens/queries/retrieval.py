@@ -208,6 +208,25 @@ def reranked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question", "doc_id", "relevance_score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("fusion_explanation", f"WITH {_FUSED} SELECT id, printf('RRF score %.4f from %s (like rank %s in one list)', rrf_score, {_SOURCES}, CAST(round(1.0 / rrf_score - 60, 1) AS VARCHAR)) AS said FROM fused")
+def fusion_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).select("id", vector.rrf_explanation(F.col("rrf_score"), F.col("sources")).alias("said"))
+
+
+@query(
+    "result_formatting",
+    "SELECT doc_id AS pos, md5('Source: ' || source || CASE WHEN doc_id % 3 = 0 THEN ': ' || lang ELSE ', Unknown Section' END || ', Page ' || doc_id % 7 || ' (Relevance: ' || CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 10 + 1 AS VARCHAR) ELSE '?' END || '/10)' || chr(10)"
+    " || CASE WHEN doc_id % 5 = 0 THEN 'short' ELSE text END || chr(10) || 'Matched: ' || CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END) AS shown FROM documents WHERE regexp_matches(text, '\\S') AND lang IS NOT NULL",
+)
+def result_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S") & F.col("lang").isNotNull()).select(
+        d.alias("pos"), F.col("source").alias("source_name"), F.when(d % 3 == 0, F.col("lang")).otherwise("").alias("headline"), F.lit("reference").alias("document_type"), (d % 7).cast("string").alias("start_page"),
+        F.when(d % 2 == 0, d % 10 + 1).alias("relevance_score"), F.when(d % 5 == 0, "short").otherwise("").alias("compressed_text"), F.lit("").alias("parent_text"), "text",
+    )
+    return retrieve.formatted(rows).select("pos", F.md5("shown").alias("shown"))
+
+
 @query("out_of_scope", "SELECT source, lang, max(doc_id % 11 * 0.5) < 3 AND bool_and(n_chars > 700) AS out_of_scope FROM documents GROUP BY 1, 2")
 def out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source and language as a question, its documents as what was found for it."""
