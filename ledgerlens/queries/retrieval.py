@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import calls
-from ledgerlens.functions.text import bucket
+from ledgerlens.functions.text import STOPWORDS, bucket
 from ledgerlens.operators import pruned, vector
 from ledgerlens.plans import retrieve
-from ledgerlens.providers import HashedTerms
+from ledgerlens.providers import HashedTerms, RuleAnalyst
+from ledgerlens.queries.relational import _text
 from ledgerlens.session import scratch, table
 
 QUERIES: dict = {}
@@ -153,7 +154,33 @@ def vector_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUESTION = "the revenue of that region and other things"
 
 
-@query("retrieve_pipeline")
+def _terms(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({text}), '[a-zA-Z0-9]+'), lambda t: length(t) >= 2 AND NOT list_contains([{', '.join(map(_text, STOPWORDS))}], t))"
+
+
+_ASKED = RuleAnalyst().analyse(QUESTION).variants
+_BUCKET = "CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) % 2147483647"
+_ONCE = "SELECT id, row_number() OVER (ORDER BY variant, rank) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY variant, rank) AS n FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY score DESC, id) AS rank FROM {} QUALIFY rank <= 15) QUALIFY n = 1)"
+_PIPELINE = f"""
+    WITH c AS (SELECT vec_id AS id, vec_id // 4 AS parent_id, embedding, text, lang FROM embeddings JOIN documents ON vec_id = doc_id),
+    v AS (SELECT * FROM (VALUES {', '.join(f"({i}, {_text(x)}, CAST({HashedTerms(64).embed(x)} AS DOUBLE[]))" for i, x in enumerate(_ASKED))}) t(variant, said, vec)),
+    dense AS (SELECT variant, id, list_sum(list_transform(list_zip(embedding, vec), lambda p: CAST(p[1] AS DOUBLE) * p[2])) AS score FROM c, v WHERE upper(lang) = 'EN'),
+    q AS (SELECT variant, {_BUCKET} AS idx, ln(1 + count(*)) AS qw FROM (SELECT variant, unnest({_terms('said')}) AS token FROM v) GROUP BY 1, 2),
+    w AS (SELECT id, {_BUCKET} AS idx, ln(1 + count(*)) AS w FROM (SELECT id, unnest({_terms('text')}) AS token FROM c) GROUP BY 1, 2),
+    sparse AS (SELECT id, variant, sum(w * qw) AS s FROM w JOIN q USING (idx) GROUP BY 1, 2),
+    both_ AS (SELECT variant, id, score + coalesce(s, 0) AS score FROM dense LEFT JOIN sparse USING (id, variant)),
+    lists AS (SELECT 0 AS list, 'dense' AS label, * FROM ({_ONCE.format('dense')}) UNION ALL SELECT 1, 'bm25', * FROM ({_ONCE.format('both_')})),
+    fused AS (SELECT id, sum(1.0 / (60 + pos)) AS rrf, string_agg(label, '+' ORDER BY list) AS sources, min(list * 1000000 + pos) AS first FROM lists GROUP BY 1),
+    placed AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, first) AS pos FROM fused JOIN c USING (id)),
+    best AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY rrf DESC, pos) = 1 ORDER BY rrf DESC, pos LIMIT 15),
+    judged AS (SELECT *, list_distinct({_terms(_text(QUESTION))}) AS asked FROM best),
+    scored AS (SELECT *, 1.0 + round(9 * (len(list_intersect(asked, {_terms('substr(text, 1, 2000)')})) / greatest(len(asked), 1)), 2) AS relevance FROM judged ORDER BY relevance DESC, rrf DESC, pos LIMIT 5),
+    kept AS (SELECT *, list_filter(string_split(regexp_replace(substr(text, 1, 4500), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(list_intersect(asked, {_terms('x')})) > 0) AS found FROM scored)
+    SELECT id, round(rrf, 9) AS rrf_score, sources, CAST(relevance AS DOUBLE) AS relevance_score, md5(CASE WHEN length(text) < 400 OR len(found) = 0 THEN text ELSE array_to_string(found, ' ') END) AS compressed FROM kept
+"""
+
+
+@query("retrieve_pipeline", _PIPELINE)
 def retrieve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     rows = e.join(d, e.vec_id == d.doc_id)
