@@ -299,16 +299,25 @@ def _count(text: str) -> str:
     return f"CAST(greatest(1, floor(len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')) * CAST(1.3 AS DOUBLE))) AS INTEGER)"
 
 
+def _short(s: str) -> str:
+    """The parts of a sentence of over 200 tokens: behind its clauses, kind by kind, at last 154 words each."""
+    words = "list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '')"
+    out = f"[{s}]"
+    for mark in chunking.CLAUSES:
+        out = f"flatten(list_transform({out}, lambda p: CASE WHEN {_count('p')} > 200 THEN string_split(replace(p, '{mark}', '{mark}' || chr(2)), chr(2)) ELSE [p] END))"
+    out = f"flatten(list_transform({out}, lambda p: CASE WHEN {_count('p')} > 200 THEN list_transform(range(0, len({words}), 154), lambda b: array_to_string({words}[b + 1:b + 154], ' ')) ELSE [p] END))"
+    return f"list_filter(list_transform({out}, lambda p: trim(p, {_BLANKS})), lambda p: p <> '')"
+
+
 def _packed(name: str, given: str, most: int, overlap: int = 50) -> str:
     """Tables of texts (key, text) cut into sentences and packed: ``{name}`` (key, i, text), by a recursion over the sentences.
 
-    A sentence of over 200 tokens is cut into 154 words each; the tables have none with clauses in them, and no text of over 100,000 characters.
+    The tables have no text of over 100,000 characters.
     """
     return f"""
-    {name}_s AS (SELECT key, s, row_number() OVER (PARTITION BY key ORDER BY i, k) AS j FROM (
-        SELECT key, i, unnest(CASE WHEN {_count('s')} > 200 THEN list_transform(range(0, len(regexp_split_to_array(s, '\\s+')), 154), lambda b: array_to_string(regexp_split_to_array(s, '\\s+')[b + 1:b + 154], ' ')) ELSE [s] END) AS s,
-            unnest(CASE WHEN {_count('s')} > 200 THEN range(0, len(regexp_split_to_array(s, '\\s+')), 154) ELSE [0] END) AS k
-        FROM (SELECT key, i, trim(s, {_BLANKS}) AS s FROM (SELECT key, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT key, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM {given}))) WHERE s <> '')),
+    {name}_p AS (SELECT key, i, CASE WHEN {_count('s')} > 200 THEN {_short('s')} ELSE [s] END AS parts
+        FROM (SELECT key, i, trim(s, {_BLANKS}) AS s FROM (SELECT key, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT key, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM {given}))) WHERE s <> ''),
+    {name}_s AS (SELECT key, s, row_number() OVER (PARTITION BY key ORDER BY i, k) AS j FROM (SELECT key, i, unnest(parts) AS s, unnest(range(len(parts))) AS k FROM {name}_p)),
     {name}_t AS (SELECT key, j, s, {_count('s')} AS t, CAST(sum({_count('s')}) OVER (PARTITION BY key ORDER BY j) AS BIGINT) AS c FROM {name}_s),
     {name}_o AS (SELECT *, c - t AS before FROM {name}_t),
     {name}_r AS (
