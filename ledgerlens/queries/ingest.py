@@ -180,7 +180,7 @@ def child_page_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fiscal_years",
-    "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT TRY_CAST(y AS INTEGER)) FILTER (TRY_CAST(y AS INTEGER) IS NOT NULL), 'DESC'), ',') AS years, max(TRY_CAST(y AS INTEGER)) AS latest FROM (SELECT o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS y FROM orders) GROUP BY 1",
+    "SELECT o_custkey, coalesce(array_to_string(list_sort(list(DISTINCT TRY_CAST(y AS INTEGER)) FILTER (TRY_CAST(y AS INTEGER) IS NOT NULL), 'DESC'), ','), '') AS years, max(TRY_CAST(y AS INTEGER)) AS latest FROM (SELECT o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS y FROM orders) GROUP BY 1",
 )
 def fiscal_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.year("o_orderdate").cast("string"))
