@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by collision counting.
 
 Vectors are dealt to blocks of bounded size. A block's index has, for each of
-``PROJECTIONS`` lines, its vectors' places on the line as one sorted array, and each vector's rank in it. The lines are random
+``PROJECTIONS`` lines, its vectors' places on the line as one sorted array, and which vector stands at each. The lines are random
 rotations of the axes, so that together they lose nothing of a distance, and counts vary less than on independent lines.
 A query opens a window around its own place on each line and widens all of them step
-by step, or narrows them where a step was too wide, the same arrays serving every radius (virtual rehashing). A vector whose rank falls into a
-window collides; those that collide on at least ``THRESHOLD`` of the lines are
+by step, the same arrays serving every radius (virtual rehashing). A step counts only the vectors that enter a window by it, once for each line.
+Those that collide on at least ``THRESHOLD`` of the lines are
 verified, that is, their distance is computed. It ends when the windows reach ``REACH`` times the ``k``-th best distance
 found to either side, or hold everything. All vectors of the block are within reach, none is dropped.
 
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import partitions, small_batches, stored
 
-PROJECTIONS, THRESHOLD, REACH, WIDEN, SEED = 128, 0.84, 1.5, 1.4, 7
+PROJECTIONS, THRESHOLD, REACH, WIDEN, SEED = 128, 0.72, 1.2, 1.3, 7
+#: Vectors of a block whose nearest ones tell how wide windows begin: at this share of what such distances ask for.
+PROBES, BEGIN = 16, 0.6
 BLOCK = 8_192
 
 
@@ -36,7 +38,7 @@ def lines(dim: int, count: int) -> np.ndarray:
 
 
 class CollisionIndex:
-    """Sorted projections of one block."""
+    """Sorted projections of one block: all lines in one row, each far from the next, so that all windows are looked up at once."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS):
         self.ids, self.vectors = ids, vectors
@@ -44,29 +46,40 @@ class CollisionIndex:
         self.lines = lines(vectors.shape[1], projections)
         places = (vectors @ self.lines).T
         order = np.argsort(places, axis=1)
-        self.ranks = np.empty((projections, n), np.uint16 if n < 1 << 16 else np.uint32)  # room for n itself
-        np.put_along_axis(self.ranks, order, np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
-        self.places = np.take_along_axis(places, order, axis=1)
-        self.start = max(np.sqrt(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1).mean()) / 3, 1e-12)
+        self.least, self.most = float(places.min()), float(places.max())
+        self.apart = np.arange(projections) * 4 * (self.most - self.least + 1)
+        self.places = (np.take_along_axis(places, order, axis=1) + self.apart[:, None]).ravel()
+        self.order = order.astype(np.int32).ravel()
+        self.begin = np.arange(projections) * n
+        some = vectors[:: max(1, n // PROBES)][:PROBES]
+        near = [float(np.partition(((vectors - v) ** 2).sum(axis=1), min(10, n - 1))[min(10, n - 1)]) for v in some]
+        self.start = max(BEGIN * REACH * float(np.sqrt(np.median(near))), 1e-12)
 
     def search(self, own: int, vector: np.ndarray, k: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and distances of the ``k`` nearest found, ties to smaller ids, without the id ``own``; and how many were verified."""
-        m, n = self.ranks.shape
-        need, here = int(np.ceil(threshold * m)), vector @ self.lines
-        done = self.ids == own
+        n, m = len(self.ids), len(self.apart)
+        need, wide = int(np.ceil(threshold * m)), self.most - self.least + 1
+        # Beyond a line's ends a place counts as at most a line's length away; its window is as wide as ever.
+        told = vector @ self.lines
+        here = np.clip(told, self.least - wide, self.most + wide) + self.apart
+        far = np.abs(here - self.apart - told)
+        ends = self.begin + n
+        low = high = np.clip(self.places.searchsorted(here), self.begin, ends)
+        counts, done = np.zeros(n, np.int64), self.ids == own
         found, distance = np.zeros(0, np.int64), np.zeros(0)
-        half, few, many = self.start, 0.0, np.inf  # half a window; the widest known to hold too few, the narrowest to hold very many
+        half = self.start
         while True:
-            low = np.fromiter((p.searchsorted(x) for p, x in zip(self.places, here - half, strict=True)), np.int64, m)
-            high = np.fromiter((p.searchsorted(x, "right") for p, x in zip(self.places, here + half, strict=True)), np.int64, m)
-            # Unsigned: ranks below a window wrap around to beyond it.
-            kind = self.ranks.dtype
-            inside = self.ranks - low.astype(kind)[:, None] < (high - low).astype(kind)[:, None]
-            ripe = np.flatnonzero((inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if m < 256 else np.uint32) >= need) & ~done)
-            if len(found) < k and len(ripe) > 4 * k and half > max(1.03 * few, self.start / 1000):
-                many = half
-                half = np.sqrt(few * many) if few else half / 4
-                continue
+            reach = np.clip(half - far, 0, 2 * wide)
+            until = self.places.searchsorted(np.concatenate([here - reach, here + reach]), "left")
+            until[m:] = self.places.searchsorted(here + reach, "right")
+            left, right = np.minimum(np.clip(until[:m], self.begin, ends), low), np.maximum(np.clip(until[m:], self.begin, ends), high)
+            # What enters: on each line the places before and after the window so far.
+            size = np.concatenate([low - left, right - high])
+            stop = np.cumsum(size)
+            entered = np.repeat(np.concatenate([left, high]) - stop + size, size) + np.arange(stop[-1])
+            counts += np.bincount(self.order[entered], minlength=n)
+            low, high = left, right
+            ripe = np.flatnonzero((counts >= need) & ~done)
             if len(ripe):
                 done[ripe] = True
                 found = np.concatenate([found, ripe])
@@ -75,11 +88,10 @@ class CollisionIndex:
                     best = np.lexsort((self.ids[found], distance))[:k]
                     found, distance = found[best], distance[best]
             enough = REACH * distance.max() if len(found) >= k else np.inf
-            if half >= enough or (low.max() == 0 and high.min() == n):
+            if half >= enough or int((high - low).min()) == n:
                 best = np.lexsort((self.ids[found], distance))
                 return self.ids[found[best]], distance[best], int(done.sum())
-            few = half
-            half = enough if len(found) >= k else min(half * WIDEN, np.sqrt(half * many))
+            half = min(half * WIDEN, enough)
 
 
 def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
