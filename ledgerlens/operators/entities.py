@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import Protocol
 
 import pyarrow as pa
@@ -107,7 +108,16 @@ def _blocks(patterns: DataFrame) -> list[list[tuple[str, list[str], bool]]]:
     return out
 
 
-_HITS = "array<struct<position: int, size: int, label: string, begin: int, end: int>>"
+_HITS = "array<struct<position: int, size: int, label: string, begin: int, end: int, raw_text: string>>"
+_HIT = pa.struct([("position", pa.int32()), ("size", pa.int32()), ("label", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("raw_text", pa.string())])
+
+
+def _listed(hits: list[list[tuple]]) -> pa.ListArray:
+    """Hits of each page as one column, made field by field."""
+    flat = [h for page in hits for h in page]
+    fields = zip(*flat, strict=True) if flat else [()] * len(_HIT)
+    offsets = [0, *accumulate(map(len, hits))]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(fields, _HIT, strict=True)], fields=list(_HIT)))
 
 
 def found_entities(pages: DataFrame, patterns: DataFrame, recogniser: Recogniser | None = None) -> DataFrame:
@@ -115,13 +125,14 @@ def found_entities(pages: DataFrame, patterns: DataFrame, recogniser: Recogniser
 
     Patterns of kind ``phrase`` match as they are, those of kind ``token`` in any case; what stands between two words, if it is none, isn't looked at. What a recogniser finds is added where no pattern matched. Entities of labels without
     a type, and of fewer than ``SHORTEST`` or more than ``LONGEST`` characters, are left out; ``text`` is normalised. Texts of null have none.
+    A find is cut out of its text where it is found, so that texts aren't copied for each of their finds.
     """
     spark = pages.sparkSession
     blocks = _blocks(patterns)
     given = pages.select("document_id", "page", "text")
     kinds = {f.name: f.dataType.simpleString() for f in given.schema}
-    schema = f"document_id {kinds['document_id']}, page {kinds['page']}, text string, hits {_HITS}"
-    hit = pa.list_(pa.struct([("position", pa.int32()), ("size", pa.int32()), ("label", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
+    keys = ["document_id", "page"] + ["text"] * (len(blocks) > 1)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", hits {_HITS}"
 
     def scan(block: list) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
@@ -129,33 +140,33 @@ def found_entities(pages: DataFrame, patterns: DataFrame, recogniser: Recogniser
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value)
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
                     texts = [t or "" for t in part.column(2).to_pylist()]
                     more = recogniser.spans(texts) if recogniser is not None and last else [[] for _ in texts]
                     hits = [_hits(automaton, t, s, whole) for t, s in zip(texts, more, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, hit)], names=["document_id", "page", "text", "hits"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], _listed(hits)], names=[*keys, "hits"])
 
         whole, last = len(blocks) == 1, block is blocks[-1]
         return given.mapInArrow(run, schema)
 
     scanned = scan(blocks[0])
     if len(blocks) > 1:
-        scanned = _together([scanned, *map(scan, blocks[1:])], schema, hit)
-    each = scanned.select("document_id", "page", F.explode("hits").alias("h"), F.substring("text", F.col("h.begin") + 1, F.col("h.end") - F.col("h.begin")).alias("raw_text"))
-    typed = each.select("document_id", "page", "raw_text", entity_type(F.col("h.label")).alias("type"), F.col("h.position").alias("position"), F.col("h.begin").alias("begin"), F.col("h.end").alias("end"))
+        scanned = _together([scanned, *map(scan, blocks[1:])], f"document_id {kinds['document_id']}, page {kinds['page']}, hits {_HITS}")
+    each = scanned.select("document_id", "page", F.explode("hits").alias("h"))
+    typed = each.select("document_id", "page", "h.raw_text", entity_type(F.col("h.label")).alias("type"), "h.position", "h.begin", "h.end")
     kept = typed.where(F.col("type").isNotNull() & F.length("raw_text").between(SHORTEST, LONGEST))
     return kept.select("document_id", "page", "raw_text", entity_text(F.col("raw_text"), F.col("type")).alias("text"), "type", "position", "begin", "end")
 
 
 def _hits(automaton: Automaton, text: str, spans: list[Span], whole: bool) -> list[tuple]:
-    """Finds as (position, size, label, begin, end): those apart, if this is the ``whole`` of the patterns; a recogniser's have size 0."""
+    """Finds as (position, size, label, begin, end, text): those apart, if this is the ``whole`` of the patterns; a recogniser's have size 0."""
     places = [m.span() for m in WORD.finditer(text)]
     finds = list(automaton.finds([text[b:e] for b, e in places]))
     if whole:
         finds = apart(finds, len(places))
-    out = [(p, n, label, places[p][0], places[p + n - 1][1]) for p, n, label in finds]
-    own = [(sum(e <= b for _, e in places) if len(places) < 64 else _word_at(places, b), 0, label, b, e) for b, e, label in spans if label.upper() in LABELS]
+    out = [(p, n, label, b, e, text[b:e]) for p, n, label in finds for b, e in ((places[p][0], places[p + n - 1][1]),)]
+    own = [(sum(e <= b for _, e in places) if len(places) < 64 else _word_at(places, b), 0, label, b, e, text[b:e]) for b, e, label in spans if label.upper() in LABELS]
     return _added(out, own) if whole else out + own
 
 
@@ -176,21 +187,21 @@ def _added(ruled: list[tuple], own: list[tuple]) -> list[tuple]:
     return sorted(out, key=lambda f: f[3])
 
 
-def _together(scans: list[DataFrame], schema: str, hit: pa.DataType) -> DataFrame:
+def _together(scans: list[DataFrame], schema: str) -> DataFrame:
     """Finds of several automata, apart from each other, by page; rows of one page and text are one."""
     union = scans[0]
     for s in scans[1:]:
         union = union.unionByName(s)
-    pages = union.groupBy("document_id", "page", "text").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    pages = union.groupBy("document_id", "page", "text").agg(F.flatten(F.collect_list("hits")).alias("hits")).drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for hits in batch.column(3).to_pylist():
-                finds = [(h["position"], h["size"], h["label"], h["begin"], h["end"]) for h in hits]
+            for hits in batch.column(2).to_pylist():
+                finds = [(h["position"], h["size"], h["label"], h["begin"], h["end"], h["raw_text"]) for h in hits]
                 ruled = sorted({f for f in finds if f[1]})
                 out.append(_added(apart(ruled, max((p + n for p, n, *_ in ruled), default=0)), [f for f in finds if not f[1]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, hit)], names=["document_id", "page", "text", "hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _listed(out)], names=["document_id", "page", "hits"])
 
     return pages.mapInArrow(run, schema)
 
@@ -200,14 +211,23 @@ def needs_entities(documents: DataFrame, known: DataFrame, force: bool = False)
     return documents if force else documents.join(known.select("document_id").distinct(), "document_id", "left_anti")
 
 
-def indexing_statistics(documents: DataFrame, wanted: DataFrame, pages: DataFrame, found: DataFrame, mentions: DataFrame) -> DataFrame:
+def indexing_statistics(documents: DataFrame, wanted: DataFrame, pages: DataFrame, found: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """One row: documents processed and skipped, pages, mentions, distinct texts in any case, and relationships made by an indexing run.
 
-    ``documents`` are all, ``wanted`` those to do, ``pages`` and ``found`` what these gave, ``mentions`` the edges. All counts are aggregates over tables, the distinct one in two steps.
+    ``documents`` are all, ``wanted`` those to do, ``pages`` and ``found`` what these gave, ``mentions`` the edges; without these there is one for each
+    document and text in any case. Finds are read once: counted by text (and document), then the counts are added up.
     """
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    unique = found.select(F.lower("text").alias("t")).distinct()
+    sums = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    own, text = F.count("*").alias("_n"), F.lower("text").alias("_t")
+    if mentions is None:
+        texts = found.groupBy("document_id", text).agg(own).groupBy("_t").agg(F.sum("_n").alias("_n"), F.count("*").alias("_edges"))
+    else:
+        texts = found.groupBy(text).agg(own).withColumn("_edges", F.lit(0))
+    finds = texts.agg(sums("_n").alias("total_entity_mentions"), F.count("*").alias("unique_entities"), sums("_edges").alias("relationships_created"))
+    if mentions is not None:
+        finds = finds.drop("relationships_created").crossJoin(count(mentions, "relationships_created"))
     done, every = count(wanted, "documents_processed"), count(documents, "_all")
-    out = done.crossJoin(every).crossJoin(count(pages, "total_pages")).crossJoin(count(found, "total_entity_mentions")).crossJoin(count(unique, "unique_entities")).crossJoin(count(mentions, "relationships_created"))
+    out = done.crossJoin(every).crossJoin(count(pages, "total_pages")).crossJoin(finds)
     skipped = (F.col("_all") - F.col("documents_processed")).alias("documents_skipped")
     return out.select("documents_processed", skipped, "total_pages", "total_entity_mentions", "unique_entities", "relationships_created")

@@ -267,7 +267,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_join(F.expr("regexp_extract_all(raw_text, '[A-Za-z0-9&./-]*[A-Za-z0-9]', 0)"), " ")
     said = F.struct("position", F.concat_ws(" ", F.col("position").cast("string"), "type", words).alias("said"))
-    rows = _found(spark, sf_dir).groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("mentions"), F.array_sort(F.collect_list(said)).alias("all"))
+    rows = _found(spark, sf_dir).groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("mentions"), F.sort_array(F.collect_list(said)).alias("all"))
     return rows.select("doc_id", "mentions", F.md5(F.array_join(F.transform("all", lambda x: x["said"]), ",")).alias("digest"))
 
 
@@ -283,5 +283,4 @@ def entity_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = entities.needs_entities(documents, documents.where("doc_id % 4 = 0"))
     pages = wanted.select("document_id", F.lit(1).alias("page"), "text")
     found = entities.found_entities(pages, _patterns(spark, sf_dir)).withColumn("text", F.array_join(F.expr("regexp_extract_all(raw_text, '[A-Za-z0-9&./-]*[A-Za-z0-9]', 0)"), " "))
-    edges = found.select("document_id", F.lower("text").alias("text")).distinct()
-    return entities.indexing_statistics(documents, wanted, pages, found, edges)
+    return entities.indexing_statistics(documents, wanted, pages, found)

@@ -85,3 +85,25 @@ def test_statistics(spark):
     got = indexing_statistics(documents, wanted, pages, found, found.limit(2)).first().asDict()
     assert got == {"documents_processed": 2, "documents_skipped": 1, "total_pages": 2, "total_entity_mentions": 3, "unique_entities": 2, "relationships_created": 2}
     assert indexing_statistics(documents, wanted.limit(0), pages.limit(0), found.limit(0), found.limit(0)).first().total_entity_mentions == 0
+
+
+class Recorded:
+    """Counts how often it is asked."""
+
+    def __init__(self, counter):
+        self.counter = counter
+
+    def spans(self, texts):
+        self.counter.add(len(texts))
+        return [[] for _ in texts]
+
+
+def test_statistics_read_finds_once(spark):
+    pages = spark.createDataFrame([("a", 1, "Acme met ACME, acme; Beta"), ("b", 1, "beta"), ("c", 1, None)], PAGES)
+    patterns = spark.createDataFrame([("ORG", "acme", "token"), ("ORG", "beta", "token")], PATTERNS)
+    asked = spark.sparkContext.accumulator(0)
+    found = found_entities(pages, patterns, Recorded(asked))
+    got = indexing_statistics(pages, pages, pages, found).first()
+    assert got.asDict() == {"documents_processed": 3, "documents_skipped": 0, "total_pages": 3, "total_entity_mentions": 5, "unique_entities": 2, "relationships_created": 3}
+    assert asked.value == 3
+    assert indexing_statistics(pages, pages, pages, found.limit(0)).first().relationships_created == 0
