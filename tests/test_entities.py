@@ -107,3 +107,16 @@ def test_statistics_read_finds_once(spark):
     assert got.asDict() == {"documents_processed": 3, "documents_skipped": 0, "total_pages": 3, "total_entity_mentions": 5, "unique_entities": 2, "relationships_created": 3}
     assert asked.value == 3
     assert indexing_statistics(pages, pages, pages, found.limit(0)).first().relationships_created == 0
+
+
+def test_finds_do_not_carry_their_page(spark):
+    text = "é acme \U0001f600 " * 3000
+    pages = spark.createDataFrame([("a", 1, text), ("b", 2, "x Acme")], PAGES)
+    found = found_entities(pages, spark.createDataFrame([("ORG", "acme", "token")], PATTERNS))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(x for x in plan.splitlines() if "Generate explode" in x)
+    assert "text" not in generate.split("Generate")[1].split("hits")[0]
+    scan = next(x for x in plan.splitlines() if "MapInArrow" in x)
+    assert ", text#" not in scan.split(")")[1]
+    got = found.where("document_id = 'a'").agg(F.count("*").alias("n"), F.collect_set("raw_text").alias("raw"), F.max("end").alias("last")).first()
+    assert (got.n, got.raw, got.last) == (3000, ["acme"], len(text) - 3)
