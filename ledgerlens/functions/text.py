@@ -127,10 +127,15 @@ def titled(text: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), "")
 
 
-def company_of(text: Column) -> Column:
+def titled_words(text: Column) -> Column:
+    """Every word with a capital first, where words end at spaces only."""
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
+
+
+def company_of(text: Column, title: Callable[[Column], Column] = titled) -> Column:
     """The company that a cover page names, in title case but for LLC; null if it names none."""
     found = _found(F.substring(text, 1, COMPANY_CHARS), COMPANY)
-    return F.regexp_replace(titled(stripped(found)), r"\bLlc\b", "LLC")
+    return F.replace(title(stripped(found)), F.lit("Llc"), F.lit("LLC"))
 
 
 def _or_missing(columns: dict[str, Column], *names: str) -> list[Column]:
