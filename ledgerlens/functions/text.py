@@ -211,7 +211,8 @@ def without_fence(text: Column) -> Column:
 
 
 def epoch_text(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """ISO text of a moment; a year of more than four digits has no sign."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit("+"))
 
 
 def ticker_list(text: Column) -> Column:

@@ -119,6 +119,7 @@ _case("companies", [("x\nNVIDIA CORPORATION\nmore", "Nvidia Corporation"), ("x\n
 _case("error_kinds", [("HTTP 429", "rate limit"), ("Read timed out", "timeout"), ("Tool crashed", "tool"), ("Model unavailable", "model"), ("?", "other")], "message", {"kind": ("string", T.error_kind)})
 _case("ticker_lists", [("aapl, msft,,", "AAPL|MSFT"), (" nvda ", "NVDA"), (",", "")], "given", {"symbols": ("string", lambda c: F.array_join(T.ticker_list(c), "|"))})
 _case("epoch_times", [("0", "1970-01-01T00:00:00+00:00"), ("1700000000", "2023-11-14T22:13:20+00:00")], "seconds", {"iso": ("string", lambda c: T.epoch_text(c.cast("bigint")))})
+_case("epoch_times_of_long_years", [("253402300799", "9999-12-31T23:59:59+00:00"), ("253402300800", "10000-01-01T00:00:00+00:00"), ("518394000001", "18397-04-02T13:20:01+00:00")], "seconds", {"iso": ("string", lambda c: T.epoch_text(c.cast("bigint")))})
 _case("companies_by_words", [("x\nAT&T INC.\n", "At&t Inc."), ("x\nTHE EN COMPANY \n OF POCO\n", "The En Company \n Of Poco"), ("x\nACME\nAND COMPANY\n", "Acme\nand Company"), ("x\nBlue  Sea Llc\n", "Blue  Sea LLC"), ("x", None)], "text", {"company": ("string", lambda c: T.company_of(c, T.titled_words))})
 _case("fence_strip", [("```json\n{}\n```", "{}"), ("SELECT 1", "SELECT 1"), ("```\na\n```", "a")], "answer", {"bare": ("string", T.without_fence)})
 _case("ten_k_flag", [("10K", True), ("sec_10k", True), ("reference", False), ("", False)], "kind", {"filing": ("boolean", lambda c: T.is_10k(F.lit(None).cast("string"), c))})
