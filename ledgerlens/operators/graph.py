@@ -67,12 +67,14 @@ def _two_away(mentions: DataFrame, edges: DataFrame) -> DataFrame:
     No path is listed. Of a middle's edges near a start only the least and the greatest are kept: some edge differs from a given one if these two
     differ, or the one there is does. Of a document's middles the same, which tells whether one differs from the end. So there is a row for
     each (start, middle), then for each (start, edge of a middle) and (start, document), and all are added up by tasks before they are shuffled.
+    Each join makes many rows of few bytes, which its task adds up in memory, so that its partitions keep their number and aren't put together by size.
     """
+    n = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     start = edges.select(F.col("entity_id").alias("_from"), "document_id").distinct()
-    near = mentions.join(start, "document_id").where("entity_id <> _from").groupBy("_from", F.col("entity_id").alias("_mid")).agg(F.min("edge_id").alias("_lo"), F.max("edge_id").alias("_hi"))
-    beyond = mentions.select(F.col("entity_id").alias("_mid"), "edge_id", "document_id").join(near, "_mid").where("_lo <> _hi OR edge_id <> _lo")
+    near = mentions.repartition(n, "document_id").join(start.repartition(n, "document_id"), "document_id").where("entity_id <> _from").groupBy("_from", F.col("entity_id").alias("_mid")).agg(F.min("edge_id").alias("_lo"), F.max("edge_id").alias("_hi"))
+    beyond = mentions.select(F.col("entity_id").alias("_mid"), "edge_id", "document_id").repartition(n, "_mid").join(near.repartition(n, "_mid"), "_mid").where("_lo <> _hi OR edge_id <> _lo")
     reached = beyond.groupBy("_from", "document_id").agg(F.min("_mid").alias("_first"), F.max("_mid").alias("_last"))
-    ends = mentions.select("document_id", "entity_id").distinct().join(reached, "document_id").where("entity_id <> _from AND (_first <> _last OR entity_id <> _first)")
+    ends = mentions.select("document_id", "entity_id").distinct().repartition(n, "document_id").join(reached.repartition(n, "document_id"), "document_id").where("entity_id <> _from AND (_first <> _last OR entity_id <> _first)")
     return ends.groupBy("entity_id").agg(F.countDistinct("document_id").alias("shared_docs"))
 
 

@@ -32,3 +32,21 @@ def test_new_mentions_are_not_shuffled(spark):
     assert merged.count() == 1_000_000
     top = merged._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
     assert top.startswith("Union")
+
+
+def test_joins_of_two_hops_keep_their_number_of_tasks(spark):
+    """Few bytes in a join's partitions make many rows, so adaptive execution isn't to put these together."""
+    mentions = spark.range(4000).selectExpr("id AS edge_id", "id div 4 AS document_id", "pmod(id * 7, 500) AS entity_id", "1 AS page")
+    found = graph._two_away(mentions, mentions.where("entity_id < 8"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 6
+    rows = {tuple(r) for r in mentions.select("document_id", "entity_id", "edge_id").collect()}
+    by_document, by_entity = {}, {}
+    for d, e, x in rows:
+        by_document.setdefault(d, set()).add((e, x))
+        by_entity.setdefault(e, set()).add((d, x))
+    want = {(c, d2) for d, a, _ in rows if a < 8 for b, x in by_document[d] if b != a for d2, y in by_entity[b] if y != x for c, _ in by_document[d2] if c not in (a, b)}
+    counts = {}
+    for c, _ in want:
+        counts[c] = counts.get(c, 0) + 1
+    assert {tuple(r) for r in found.collect()} == set(counts.items()) and counts
