@@ -257,18 +257,15 @@ _ENTITIES = f"""
 """
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Between an entity's words there may be white space of any kind, which its raw text has.
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
-    return entities.found_entities(pages, _patterns(spark, sf_dir))
-
-
 @query("entity_extraction", "SELECT doc_id, count(*) AS mentions, md5(string_agg(CAST(position AS VARCHAR) || ' ' || type || ' ' || raw, ',' ORDER BY position)) AS digest FROM kept GROUP BY 1", _ENTITIES)
 def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_join(F.expr("regexp_extract_all(raw_text, '[A-Za-z0-9&./-]*[A-Za-z0-9]', 0)"), " ")
-    said = F.struct("position", F.concat_ws(" ", F.col("position").cast("string"), "type", words).alias("said"))
-    rows = _found(spark, sf_dir).groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("mentions"), F.sort_array(F.collect_list(said)).alias("all"))
-    return rows.select("doc_id", "mentions", F.md5(F.array_join(F.transform("all", lambda x: x["said"]), ",")).alias("digest"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
+    found = entities.found_by_page(pages, _patterns(spark, sf_dir)).where(F.size("hits") > 0)
+    # Between an entity's words there may be white space of any kind, which its raw text has.
+    words = "IF(h.size = 1, h.raw_text, array_join(regexp_extract_all(h.raw_text, '[A-Za-z0-9&./-]*[A-Za-z0-9]', 0), ' '))"
+    said = F.expr(f"transform(hits, h -> struct(h.position AS position, CAST(h.position AS string) || ' ' || h.type || ' ' || {words} AS said))")
+    rows = found.groupBy(F.col("document_id").alias("doc_id")).agg(F.sum(F.size("hits")).alias("mentions"), F.sort_array(F.flatten(F.collect_list(said))).alias("all"))
+    return rows.select("doc_id", "mentions", F.md5(F.array_join(F.col("all.said"), ",")).alias("digest"))
 
 
 @query(

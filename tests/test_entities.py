@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import entities
@@ -120,3 +121,61 @@ def test_finds_do_not_carry_their_page(spark):
     assert ", text#" not in scan.split(")")[1]
     got = found.where("document_id = 'a'").agg(F.count("*").alias("n"), F.collect_set("raw_text").alias("raw"), F.max("end").alias("last")).first()
     assert (got.n, got.raw, got.last) == (3000, ["acme"], len(text) - 3)
+
+
+def test_words_of_many_texts_are_those_of_each():
+    rng = random.Random(5)
+    texts = [None, "", "-", "a", "b.", "-/.", "é", "x&", "&y"] + ["".join(rng.choices("aB3&./- é\n\U0001f600", k=rng.randrange(0, 12))) for _ in range(2000)]
+    for given in (pa.array(texts), pa.array(["zz", *texts, "yy"]).slice(1, len(texts)), pa.array(texts[:1], pa.string()), pa.array([], pa.string())):
+        w = entities.words_of(given)
+        want = [[m.group() for m in entities.WORD.finditer(t or "")] for t in given.to_pylist()]
+        said, lower = w.said.to_pylist(), w.lower.to_pylist()
+        assert [said[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)] == want
+        assert [x for part in want for x in part] == [bytes(w.data[a:b]).decode() for a, b in zip(w.begin, w.end, strict=True)] and lower == [x.lower() for x in said]
+
+
+def test_finds_of_many_texts_are_those_of_each(monkeypatch):
+    rng = random.Random(6)
+    letters = ["a", "b", "A", "c"]
+    for _ in range(60):
+        patterns = list({(tuple(rng.choices(letters, k=rng.randrange(1, 5))), rng.random() < 0.5): None for _ in range(rng.randrange(1, 9))})
+        known = sorted(((f"{rng.choice(['ORG', 'LAW', 'NONE'])}", [w if exact else w.lower() for w in own], exact) for own, exact in patterns), key=lambda p: not p[2])
+        texts = [rng.choice(["é ", ""]) + rng.choice([" ", "  ", ", "]).join(rng.choices([*letters, "d"], k=rng.randrange(0, 30))) for _ in range(12)]
+        want = []
+        for t in texts:
+            places = [m.span() for m in entities.WORD.finditer(t)]
+            # Of equals the exact ones come first.
+            finds = [(k, n, label) for exact in (True, False) for k, n, label in plain([t[b:e] for b, e in places], [p for p in known if p[2] == exact])]
+            left = {(k, n): (k, n) for k, n, _ in apart(finds, len(places))}
+            want.append([(k, n, places[k][0], places[k + n - 1][1]) for k, n in left])
+        labels = Automaton(known)
+        monkeypatch.setattr(entities, "SHORTEST", 0)
+        monkeypatch.setattr(entities, "LABELS", {"ORG": "o", "LAW": "l", "NONE": "n"})
+        got = entities._hits(labels, pa.array(texts), True).to_pylist()
+        assert [[(h["position"], h["size"], h["begin"], h["end"]) for h in page] for page in got] == want
+        assert all(h["raw_text"] == t[h["begin"] : h["end"]] for page, t in zip(got, texts, strict=True) for h in page)
+
+
+def test_texts_are_read_many_at_a_time(monkeypatch):
+    monkeypatch.setattr(entities, "PART_BYTES", 8)
+    sizes = [p.num_rows for p in entities._parts(pa.RecordBatch.from_arrays([pa.array([1] * 5)] * 2 + [pa.array(["abc", None, "x" * 40, "", "yy"])], names=["a", "b", "text"]))]
+    assert sizes == [2, 1, 2]
+
+
+def test_finds_of_a_page_are_one_row(spark):
+    pages = spark.createDataFrame([("a", 1, "Acme met ACME\n beta"), ("a", 2, "none"), ("b", 1, None)], PAGES)
+    patterns = spark.createDataFrame([("ORG", "acme", "token"), ("LAW", "ACME beta", "phrase"), ("NOTHING", "met", "token")], PATTERNS)
+    got = {(r.document_id, r.page): [(h.position, h.size, h.type, h.begin, h.end, h.raw_text) for h in r.hits] for r in entities.found_by_page(pages, patterns).collect()}
+    assert got == {("a", 1): [(0, 1, "Organization", 0, 4, "Acme"), (2, 2, "Regulation", 9, 19, "ACME\n beta")], ("a", 2): [], ("b", 1): []}
+
+
+def test_entity_extraction_makes_no_row_of_a_find(spark, tmp_path):
+    # Its finds are gathered by document anyway, so they stay lists of their pages.
+    from ledgerlens.queries.graphs import entity_extraction
+
+    words = " ".join(f"w{k}" for k in range(13))
+    spark.createDataFrame([(words,)], "text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, words), (1, "W0"), (2, "x"), (3, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entity_extraction(spark, str(tmp_path))
+    assert "Generate explode(hits" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.doc_id, r.mentions) for r in got.collect()] == [(1, 6)]  # three and two of three and two words, and one word alone
