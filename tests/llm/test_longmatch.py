@@ -54,6 +54,22 @@ def test_equals_brute_force(spark, seed, crowd):
     assert [tuple(got[i]) for i in range(len(texts))] == plain(texts)
 
 
+def test_planted_passages_go_by_their_bytes(spark):
+    """Passages of over 50 words that repeat across documents: those of 400 bytes go from each of these, shorter ones stay, and the text's own size tells nothing."""
+    rng = random.Random(12)
+
+    def words(n, letters, size):
+        return " ".join("".join(rng.choices(letters, k=size)) for _ in range(n))
+
+    long, short = words(60, "abcdefgh", 6), words(60, "ijklmnop", 5)
+    assert len(long) == 419 and len(short) == 359
+    texts = [f"{words(30, 'qrstuvwxyz', 7)}{a}{p}{b}{words(30, 'qrstuvwxyz', 7)}" for p in (long, short, "") for a, b in ("<>", "[]")]
+    got = {r.doc_id: r for r in passage_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in range(6)] == [419, 419, 0, 0, 0, 0]
+    assert [got[i].n_spans for i in range(6)] == [1, 1, 0, 0, 0, 0]
+    assert [got[i].n_bytes for i in range(6)] == [len(t) for t in texts]
+
+
 def test_repeated_rows_and_null_ids(spark):
     rng = random.Random(9)
     part = "".join(rng.choices("abcdef", k=800))
